@@ -22,7 +22,8 @@ def zone_sql(x, y):
 
 ZONED_SQL = f"""
 SELECT *, CASE WHEN location_x IS NOT NULL THEN {zone_sql('location_x', 'location_y')} END AS start_zone,
-  {zone_sql('coalesce(pass_end_x, location_x)', 'coalesce(pass_end_y, location_y)')} AS end_zone FROM e"""
+  CASE WHEN coalesce(pass_end_x, location_x) IS NOT NULL THEN
+    {zone_sql('coalesce(pass_end_x, location_x)', 'coalesce(pass_end_y, location_y)')} END AS end_zone FROM e"""
 
 
 def shifted(spark, sf_dir):
@@ -165,14 +166,14 @@ def split_roles(spark, sf_dir):
 
 
 @query("chronological_split", """
-SELECT side, count(*) AS rows, min(d) AS first_day, max(d) AS last_day FROM (
+SELECT side, count(*) AS rows, CAST(min(d) AS VARCHAR) AS first_day, CAST(max(d) AS VARCHAR) AS last_day FROM (
   SELECT CAST(clean_date AS DATE) AS d, CASE WHEN CAST(clean_date AS DATE) < (SELECT CAST(clean_date AS DATE) FROM (
       SELECT clean_date, row_number() OVER (ORDER BY clean_date, match_id) AS rn, count(*) OVER () AS n FROM m)
     WHERE rn = floor(n * 0.8) + 1) THEN 'earlier' ELSE 'later' END AS side FROM m)
 GROUP BY side""", "m")
 def chronological_split(spark, sf_dir):
     df = H.chronological_split(A.matches(spark, sf_dir), 0.8).withColumn("d", F.to_date("clean_date"))
-    return final(df.groupBy("side").agg(F.count(F.lit(1)).alias("rows"), F.min("d").alias("first_day"), F.max("d").alias("last_day")))
+    return final(df.groupBy("side").agg(F.count(F.lit(1)).alias("rows"), F.min("d").cast("string").alias("first_day"), F.max("d").cast("string").alias("last_day")))
 
 
 @query("season_filter", "SELECT match_id, season_name, home_team FROM m WHERE season_name IN ('1996', '1999')", "m")

@@ -68,7 +68,7 @@ def normalize_lineups(spark, sf_dir):
 
 
 @query("parse_odds", """
-SELECT CAST(match_id AS VARCHAR) AS "HomeTeam", CAST(clean_date AS DATE) AS clean_date, season_name, round(b365h, 9) AS "B365H" FROM m""", "m")
+SELECT CAST(match_id AS VARCHAR) AS "HomeTeam", CAST(CAST(clean_date AS DATE) AS VARCHAR) AS clean_date, season_name, round(b365h, 9) AS "B365H" FROM m""", "m")
 def parse_odds(spark, sf_dir):
     """Odds rows as text with two day-first date styles."""
     m = A.matches(spark, sf_dir)
@@ -77,25 +77,26 @@ def parse_odds(spark, sf_dir):
                    F.col("b365h").cast("string").alias("B365H"), F.col("b365d").cast("string").alias("B365D"),
                    F.col("b365a").cast("string").alias("B365A"), F.lit("x").alias("Referee"))
     odds = TB.parse_odds(raw, "all").withColumn("season_name", F.year("clean_date").cast("string"))
-    return final(odds.select("HomeTeam", "clean_date", "season_name", "B365H"))
+    return final(odds.select("HomeTeam", F.col("clean_date").cast("string").alias("clean_date"), "season_name", "B365H"))
 
 
 @query("read_odds_csv", """
-SELECT CAST(clean_date AS DATE) AS clean_date, CAST(match_id AS VARCHAR) AS "HomeTeam", round(b365d, 9) AS "B365D" FROM m""", "m")
+SELECT CAST(CAST(clean_date AS DATE) AS VARCHAR) AS clean_date, CAST(match_id AS VARCHAR) AS "HomeTeam", round(b365d, 9) AS "B365D" FROM m""", "m")
 def read_odds_csv(spark, sf_dir):
     m = A.matches(spark, sf_dir)
     path = scratch(spark, "odds")
     TB.write_csv(m.select(F.date_format("clean_date", "dd/MM/yyyy").alias("Date"), F.col("match_id").alias("HomeTeam"),
                           F.col("away_team").alias("AwayTeam"), F.col("b365h").alias("B365H"), F.col("b365d").alias("B365D"),
                           F.col("b365a").alias("B365A")), path)
-    return final(TB.read_odds_csv(spark, path, "all").select("clean_date", "HomeTeam", "B365D"))
+    return final(TB.read_odds_csv(spark, path, "all").select(F.col("clean_date").cast("string").alias("clean_date"), "HomeTeam", "B365D"))
 
 
 @query("read_matches", """
-SELECT match_id, CAST(clean_date AS DATE) AS match_date, season_name, home_team, away_team, home_score FROM m""", "m")
+SELECT match_id, CAST(CAST(clean_date AS DATE) AS VARCHAR) AS match_date, season_name, home_team, away_team, home_score FROM m""", "m")
 def read_matches(spark, sf_dir):
     m = A.matches(spark, sf_dir).withColumn("match_date", F.col("clean_date"))
-    return final(TB.read_matches(m).select("match_id", "match_date", "season_name", "home_team", "away_team", "home_score"))
+    df = TB.read_matches(m).withColumn("match_date", F.col("match_date").cast("string"))
+    return final(df.select("match_id", "match_date", "season_name", "home_team", "away_team", "home_score"))
 
 
 @query("table_roundtrip", "SELECT match_id, home_team, home_score FROM m WHERE season_name = '1998'", "m")
@@ -287,10 +288,6 @@ def quality_role_order(spark, sf_dir):
     return final(Q.partition_order_check(m, "split_role", "clean_date", ("train", "validation", "calibration", "pilot_holdout", "final_test")))
 
 
-def _missing_sql(c):
-    return f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS nulls, 0 AS nans, 0 AS infinite FROM e"
-
-
 MISSING = ("location_x", "pass_end_x", "shot_xg")
 
 

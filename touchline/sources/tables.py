@@ -57,10 +57,11 @@ def read_matches(source: DataFrame, season_name: str | None = None) -> DataFrame
 
 
 def day_first_date(text: str) -> F.Column:
+    """Day-first date with a two- or four-digit year; 69..99 mean 19xx."""
     value = F.col(text)
-    return F.to_date(F.coalesce(
-        F.try_to_timestamp(value, F.lit("dd/MM/yy")), F.try_to_timestamp(value, F.lit("dd/MM/yyyy"))
-    ))
+    short = F.to_date(F.try_to_timestamp(value, F.lit("dd/MM/yy")))
+    short = F.when(F.year(short) >= 2069, F.add_months(short, -1200)).otherwise(short)
+    return F.coalesce(short, F.to_date(F.try_to_timestamp(value, F.lit("dd/MM/yyyy"))))
 
 
 def parse_odds(raw: DataFrame, season_name: str) -> DataFrame:
