@@ -34,7 +34,7 @@ def node_table(model: Regressor) -> pd.DataFrame:
     return nodes.select(
         F.col("treeID").alias("tree"), F.col("id").alias("node"), "prediction", F.col("leftChild").alias("left"),
         F.col("rightChild").alias("right"), F.col("split.featureIndex").alias("feature"),
-        F.col("split.leftCategoriesOrThreshold")[0].alias("threshold"),
+        F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
     ).orderBy("tree", "node").toPandas()
 
 

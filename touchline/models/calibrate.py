@@ -14,24 +14,37 @@ P = ("p_A", "p_D", "p_H")
 PHASES = ("early", "middle", "late")
 
 
+def _apply_softmax(df: DataFrame, inputs: list[Column], weights, intercepts, names: Sequence[str], floor: bool) -> DataFrame:
+    """Softmax of linear scores in stages, so no expression is repeated inside
+    another. Weights may be numbers or columns."""
+    k = len(weights)
+    df = df.withColumns({f"_x{i}": x for i, x in enumerate(inputs)})
+    scores = {}
+    for j in range(k):
+        s = C.c(intercepts[j]) if isinstance(intercepts[j], Column) else F.lit(float(intercepts[j]))
+        for i in range(len(inputs)):
+            w = weights[j][i]
+            s = s + F.col(f"_x{i}") * (w if isinstance(w, Column) else F.lit(float(w)))
+        scores[f"_s{j}"] = s
+    df = df.withColumns(scores)
+    df = df.withColumn("_top", F.greatest(*[F.col(f"_s{j}") for j in range(k)]))
+    df = df.withColumns({f"_e{j}": F.exp(F.col(f"_s{j}") - F.col("_top")) for j in range(k)})
+    df = df.withColumn("_sum", sum((F.col(f"_e{j}") for j in range(1, k)), F.col("_e0")))
+    df = df.withColumns({n: F.col(f"_e{j}") / F.col("_sum") for j, n in enumerate(names)})
+    if floor:
+        df = df.withColumns(dict(zip(names, C.clipped_probabilities(list(names)))))
+    return df.drop("_top", "_sum", *[f"_x{i}" for i in range(len(inputs))], *[f"_{a}{j}" for a in "se" for j in range(k)])
+
+
 class PlattModel:
     """Multinomial logistic on log probabilities, applied as column arithmetic."""
 
     def __init__(self, weights: Sequence[Sequence[float]], intercepts: Sequence[float]):
         self.weights, self.intercepts = weights, intercepts
 
-    def columns(self, p: Sequence[str]) -> list[Column]:
-        logs = [F.log(x) for x in C.clipped_probabilities(p)]
-        scores = []
-        for row, b in zip(self.weights, self.intercepts):
-            s = F.lit(float(b))
-            for w, x in zip(row, logs):
-                s = s + x * float(w)
-            scores.append(s)
-        return C.clipped_probabilities(C.softmax(scores))
-
     def transform(self, df: DataFrame, p: Sequence[str] = P, names: Sequence[str] = P) -> DataFrame:
-        return df.withColumns(dict(zip(names, self.columns(p))))
+        logs = [F.log(x) for x in C.clipped_probabilities(p)]
+        return _apply_softmax(df, logs, self.weights, self.intercepts, names, True)
 
 
 def class_number(actual: str) -> Column:
@@ -72,21 +85,24 @@ def isotonic_calibrate(df: DataFrame, actual: str = "actual", p: Sequence[str] =
 
 
 class PhasePlatt:
-    """A Platt model per match phase, chosen by CASE: no union, no reordering."""
+    """A Platt model per match phase: CASE picks the coefficients of the row's
+    phase, so there is no union and no reordering."""
 
     def __init__(self, models: dict[str, PlattModel]):
         self.models = models
 
     def transform(self, df: DataFrame, minute: str = "snapshot_minute", p: Sequence[str] = P, names: Sequence[str] = P) -> DataFrame:
-        phase = C.match_phase(minute)
-        per = {k: m.columns(p) for k, m in self.models.items()}
-        out = {}
-        for i, n in enumerate(names):
-            col = None
-            for k, cols in per.items():
-                col = F.when(phase == k, cols[i]) if col is None else col.when(phase == k, cols[i])
-            out[n] = col
-        return df.withColumns(out)
+        k, d = len(names), len(p)
+        flat = {ph: F.array(*[F.lit(float(v)) for row, b in zip(m.weights, m.intercepts) for v in [*row, b]]) for ph, m in self.models.items()}
+        col = None
+        for ph, values in flat.items():
+            hit = C.match_phase(minute) == ph
+            col = F.when(hit, values) if col is None else col.when(hit, values)
+        out = df.withColumn("_coef", col)
+        at = lambda j, i: F.col("_coef")[j * (d + 1) + i]
+        logs = [F.log(x) for x in C.clipped_probabilities(p)]
+        weights = [[at(j, i) for i in range(d)] for j in range(k)]
+        return _apply_softmax(out, logs, weights, [at(j, d) for j in range(k)], names, True).drop("_coef")
 
 
 class PhaseIsotonic:
@@ -116,9 +132,7 @@ class MarginMapper:
         self.weights, self.intercepts = weights, intercepts
 
     def transform(self, df: DataFrame, prediction: str = "prediction", names: Sequence[str] = P) -> DataFrame:
-        x = F.col(prediction)
-        scores = [x * float(w) + float(b) for w, b in zip(self.weights, self.intercepts)]
-        return df.withColumns(dict(zip(names, C.softmax(scores))))
+        return _apply_softmax(df, [F.col(prediction)], [[w] for w in self.weights], self.intercepts, names, False)
 
 
 def margin_to_probs(df: DataFrame, prediction: str = "prediction", actual: str = "actual", c: float = 1.0) -> MarginMapper:

@@ -96,5 +96,10 @@ def adasyn(df: DataFrame, label: str, value, key: str = "id", vector: str = "vec
     total = shares.agg(F.sum("_ratio")).first()[0] or 0.0
     if total == 0:
         raise ValueError("no row of another class among the neighbors")
-    weighted = minority.join(shares, key).withColumn("_count", F.round(F.col("_ratio") / float(total) * (top - n)).cast("long"))
-    return _draw(_numbered(weighted, "_count", key), top - n, minority, k, key, vector, label, value, seed)
+    # Rounding the running total, not each share, keeps the exact number of rows.
+    running = sequence(minority.join(shares, key), [], [key], bound=n).running_sum("_ratio", "_upto").result()
+    scale = (top - n) / float(total)
+    seeds = running.withColumns({
+        "first": F.round((F.col("_upto") - F.col("_ratio")) * scale).cast("long"), "last": F.round(F.col("_upto") * scale).cast("long"),
+    }).where(F.col("last") > F.col("first"))
+    return _draw(seeds, top - n, minority, k, key, vector, label, value, seed)

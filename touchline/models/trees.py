@@ -65,7 +65,9 @@ def gradient_boosting_classifier(
         models = []
         for k in range(classes):
             gbt = GBTClassifier(maxIter=rounds, stepSize=rate, maxDepth=max_depth, subsamplingRate=row_share,
-                                featureSubsetStrategy=column_share, maxBins=bins, seed=seed, **_CLASS)
+                                featureSubsetStrategy=column_share, maxBins=bins, seed=seed,
+                                featuresCol=FEATURES, labelCol="_label", predictionCol="_prediction")
+            gbt = gbt.setProbabilityCol("_probability").setRawPredictionCol("_raw")
             models.append(gbt.fit(data.withColumn("_label", F.when(F.col(label) == k, 1.0).otherwise(0.0))))
     finally:
         data.unpersist()

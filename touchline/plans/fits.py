@@ -350,13 +350,13 @@ def smote(spark, sf_dir):
     return final(_shape(RS.smote(v, "label", small_class(v))))
 
 
-@query("borderline_smote")
+@query("borderline_smote", SMOTE_SQL, extra={"c": "SELECT label, count(*) AS n FROM embeddings GROUP BY 1"})
 def borderline_smote(spark, sf_dir):
     v = vectors(spark, sf_dir)
     return final(_shape(RS.borderline_smote(v, "label", small_class(v))))
 
 
-@query("adasyn")
+@query("adasyn", SMOTE_SQL, extra={"c": "SELECT label, count(*) AS n FROM embeddings GROUP BY 1"})
 def adasyn(spark, sf_dir):
     v = vectors(spark, sf_dir)
     return final(_shape(RS.adasyn(v, "label", small_class(v))))
@@ -366,18 +366,17 @@ def adasyn(spark, sf_dir):
 
 
 def _attribution(spark, sf_dir):
-    df = items(spark, sf_dir)
-    model = TR.random_forest_regressor(df, X, "price", trees=5, max_depth=4)
-    return df, model, AT.tree_attribution(df, model, "row_id")
+    df = _labelled(spark, sf_dir)
+    model = TR.random_forest_regressor(df, ODDS, "goal_margin", trees=5, max_depth=4)
+    return df, model, AT.tree_attribution(df, model, "match_id")
 
 
-@query("tree_attribution", """
-SELECT count(*) AS rows, CAST(0 AS DOUBLE) AS largest_gap FROM lineitem""")
+@query("tree_attribution", "SELECT count(*) AS rows, CAST(0 AS DOUBLE) AS largest_gap FROM orders")
 def tree_attribution(spark, sf_dir):
     """Contributions of each row must add up to its prediction minus the base."""
     df, model, attr = _attribution(spark, sf_dir)
     total = attr.groupBy("row_key").agg(F.sum("contribution").alias("c"), F.max("base").alias("base"))
-    pred = model.transform(df).select(F.col("row_id").alias("row_key"), "prediction")
+    pred = model.transform(df).select(F.col("match_id").alias("row_key"), "prediction")
     gap = F.abs(F.col("prediction") - F.col("base") - F.col("c"))
     return final(total.join(pred, "row_key").agg(F.count(F.lit(1)).alias("rows"), F.max(gap).alias("largest_gap")), 6)
 
@@ -390,3 +389,10 @@ def global_attribution(spark, sf_dir):
 @query("local_attribution")
 def local_attribution(spark, sf_dir):
     return final(AT.local_attribution(_attribution(spark, sf_dir)[2], 2).select("row_key", "feature", "contribution", "rank"), 6)
+
+
+@query("attribution_timeline")
+def attribution_timeline(spark, sf_dir):
+    """Top feature per snapshot minute (minutes derived from the match id)."""
+    attr = _attribution(spark, sf_dir)[2].withColumn("snapshot_minute", (F.col("row_key") % 19) * 5)
+    return final(AT.top_feature_timeline(attr, "snapshot_minute"), 6)
