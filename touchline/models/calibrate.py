@@ -11,6 +11,7 @@ from ..functions import columns as C, constants as K
 from .linear import multinomial_logistic
 
 P = ("p_A", "p_D", "p_H")
+TOLERANCE = 1e-6
 PHASES = ("early", "middle", "late")
 
 
@@ -53,7 +54,7 @@ def class_number(actual: str) -> Column:
 
 def platt_calibrate(df: DataFrame, actual: str = "actual", p: Sequence[str] = P, c: float = 1.0) -> PlattModel:
     logs = df.select(class_number(actual).alias("y"), *[F.log(x).alias(f"l{i}") for i, x in enumerate(C.clipped_probabilities(p))])
-    m = multinomial_logistic(logs, [f"l{i}" for i in range(len(p))], "y", c).model
+    m = multinomial_logistic(logs, [f"l{i}" for i in range(len(p))], "y", c, tol=TOLERANCE).model
     return PlattModel(m.coefficientMatrix.toArray().tolist(), m.interceptVector.toArray().tolist())
 
 
@@ -138,5 +139,5 @@ class MarginMapper:
 def margin_to_probs(df: DataFrame, prediction: str = "prediction", actual: str = "actual", c: float = 1.0) -> MarginMapper:
     """Outcome probabilities from one predicted margin."""
     data = df.select(F.col(prediction).cast("double").alias("x"), class_number(actual).alias("y"))
-    m = multinomial_logistic(data, ["x"], "y", c).model
+    m = multinomial_logistic(data, ["x"], "y", c, tol=TOLERANCE).model
     return MarginMapper([r[0] for r in m.coefficientMatrix.toArray().tolist()], m.interceptVector.toArray().tolist())
