@@ -8,35 +8,12 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import columns as C, constants as K
-from .linear import multinomial_logistic
+from .linear import apply_softmax, multinomial_logistic
 
 P = ("p_A", "p_D", "p_H")
-TOLERANCE = 1e-6
 PHASES = ("early", "middle", "late")
 
 
-def _apply_softmax(df: DataFrame, inputs: list[Column], weights, intercepts, names: Sequence[str], floor: bool) -> DataFrame:
-    """Softmax of linear scores in stages, so no expression is repeated inside
-    another. Weights may be numbers or columns."""
-    k = len(weights)
-    df = df.withColumns({f"_x{i}": x for i, x in enumerate(inputs)})
-    scores = {}
-    for j in range(k):
-        s = C.c(intercepts[j]) if isinstance(intercepts[j], Column) else F.lit(float(intercepts[j]))
-        for i in range(len(inputs)):
-            w = weights[j][i]
-            s = s + F.col(f"_x{i}") * (w if isinstance(w, Column) else F.lit(float(w)))
-        scores[f"_s{j}"] = s
-    df = df.withColumns(scores)
-    df = df.withColumn("_top", F.greatest(*[F.col(f"_s{j}") for j in range(k)]))
-    df = df.withColumns({f"_e{j}": F.exp(F.col(f"_s{j}") - F.col("_top")) for j in range(k)})
-    df = df.withColumn("_sum", sum((F.col(f"_e{j}") for j in range(1, k)), F.col("_e0")))
-    df = df.withColumns({n: F.col(f"_e{j}") / F.col("_sum") for j, n in enumerate(names)})
-    if floor:
-        df = df.withColumns(dict(zip(names, C.clipped_probabilities(list(names)))))
-    return df.drop("_top", "_sum", *[f"_x{i}" for i in range(len(inputs))], *[f"_{a}{j}" for a in "se" for j in range(k)])
-
-
 class PlattModel:
     """Multinomial logistic on log probabilities, applied as column arithmetic."""
 
@@ -45,7 +22,7 @@ class PlattModel:
 
     def transform(self, df: DataFrame, p: Sequence[str] = P, names: Sequence[str] = P) -> DataFrame:
         logs = [F.log(x) for x in C.clipped_probabilities(p)]
-        return _apply_softmax(df, logs, self.weights, self.intercepts, names, True)
+        return apply_softmax(df, logs, self.weights, self.intercepts, names, True)
 
 
 def class_number(actual: str) -> Column:
@@ -54,8 +31,8 @@ def class_number(actual: str) -> Column:
 
 def platt_calibrate(df: DataFrame, actual: str = "actual", p: Sequence[str] = P, c: float = 1.0) -> PlattModel:
     logs = df.select(class_number(actual).alias("y"), *[F.log(x).alias(f"l{i}") for i, x in enumerate(C.clipped_probabilities(p))])
-    m = multinomial_logistic(logs, [f"l{i}" for i in range(len(p))], "y", c, tol=TOLERANCE).model
-    return PlattModel(m.coefficientMatrix.toArray().tolist(), m.interceptVector.toArray().tolist())
+    m = multinomial_logistic(logs, [f"l{i}" for i in range(len(p))], "y", c, classes=len(p))
+    return PlattModel(m.weights, m.intercepts)
 
 
 class IsotonicModel:
@@ -103,7 +80,7 @@ class PhasePlatt:
         at = lambda j, i: F.col("_coef")[j * (d + 1) + i]
         logs = [F.log(x) for x in C.clipped_probabilities(p)]
         weights = [[at(j, i) for i in range(d)] for j in range(k)]
-        return _apply_softmax(out, logs, weights, [at(j, d) for j in range(k)], names, True).drop("_coef")
+        return apply_softmax(out, logs, weights, [at(j, d) for j in range(k)], names, True).drop("_coef")
 
 
 class PhaseIsotonic:
@@ -133,11 +110,11 @@ class MarginMapper:
         self.weights, self.intercepts = weights, intercepts
 
     def transform(self, df: DataFrame, prediction: str = "prediction", names: Sequence[str] = P) -> DataFrame:
-        return _apply_softmax(df, [F.col(prediction)], [[w] for w in self.weights], self.intercepts, names, False)
+        return apply_softmax(df, [F.col(prediction)], [[w] for w in self.weights], self.intercepts, names, False)
 
 
 def margin_to_probs(df: DataFrame, prediction: str = "prediction", actual: str = "actual", c: float = 1.0) -> MarginMapper:
     """Outcome probabilities from one predicted margin."""
     data = df.select(F.col(prediction).cast("double").alias("x"), class_number(actual).alias("y"))
-    m = multinomial_logistic(data, ["x"], "y", c, tol=TOLERANCE).model
-    return MarginMapper([r[0] for r in m.coefficientMatrix.toArray().tolist()], m.interceptVector.toArray().tolist())
+    m = multinomial_logistic(data, ["x"], "y", c, classes=3)
+    return MarginMapper([r[0] for r in m.weights], m.intercepts)

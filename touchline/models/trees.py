@@ -9,6 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import spread
 from .linear import FEATURES, Classifier, Regressor
 from .prepare import assemble
 
@@ -17,14 +18,14 @@ _CLASS = dict(featuresCol=FEATURES, labelCol="_label", probabilityCol="_probabil
 
 def random_forest_classifier(df: DataFrame, columns: Sequence[str], label: str, trees: int = 200, max_depth: int = 5, min_leaf: int = 3, seed: int = 42) -> Classifier:
     rf = RandomForestClassifier(numTrees=trees, maxDepth=max_depth, minInstancesPerNode=min_leaf, seed=seed, **_CLASS)
-    model = rf.fit(assemble(df, columns, FEATURES).withColumn("_label", F.col(label).cast("double")))
+    model = rf.fit(spread(assemble(df, columns, FEATURES).withColumn("_label", F.col(label).cast("double"))))
     return Classifier(model, columns, range(model.numClasses))
 
 
 def random_forest_regressor(df: DataFrame, columns: Sequence[str], target: str, trees: int = 200, max_depth: int = 5, min_leaf: int = 3, seed: int = 42) -> Regressor:
     rf = RandomForestRegressor(numTrees=trees, maxDepth=max_depth, minInstancesPerNode=min_leaf, seed=seed,
                                featuresCol=FEATURES, labelCol=target, predictionCol="_prediction")
-    return Regressor(rf.fit(assemble(df, columns, FEATURES)), columns)
+    return Regressor(rf.fit(spread(assemble(df, columns, FEATURES))), columns)
 
 
 def gradient_boosting_regressor(
@@ -37,7 +38,7 @@ def gradient_boosting_regressor(
     gbt = GBTRegressor(maxIter=rounds, stepSize=rate, maxDepth=max_depth, lossType=loss, subsamplingRate=row_share,
                        featureSubsetStrategy=column_share, maxBins=bins, seed=seed,
                        featuresCol=FEATURES, labelCol=target, predictionCol="_prediction")
-    return Regressor(gbt.fit(assemble(df, columns, FEATURES)), columns)
+    return Regressor(gbt.fit(spread(assemble(df, columns, FEATURES))), columns)
 
 
 class BoostedClassifier:
@@ -60,7 +61,7 @@ def gradient_boosting_classifier(
     row_share: float = 1.0, column_share: str = "all", bins: int = 32, seed: int = 42,
 ) -> BoostedClassifier:
     """Multiclass boosting as one-vs-rest; the assembled input is shared."""
-    data = assemble(df, columns, FEATURES).select(FEATURES, label).persist()
+    data = spread(assemble(df, columns, FEATURES).select(FEATURES, label)).persist()
     try:
         models = []
         for k in range(classes):

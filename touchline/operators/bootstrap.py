@@ -13,10 +13,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.hashing import poisson_one, uniform_hash
+from ..session import spread
 
 
 def _draw_means(df: DataFrame, groups: Sequence[str], unit: str, total: str, weight: str, draws: int) -> DataFrame:
-    drawn = df.select(*groups, unit, total, weight, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    drawn = spread(df).select(*groups, unit, total, weight, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
     w = poisson_one(uniform_hash(F.col("draw"), F.col(unit)))
     return drawn.withColumn("_w", w).groupBy(*groups, "draw").agg(
         F.try_divide(F.sum(F.col("_w") * F.col(total)), F.sum(F.col("_w") * F.col(weight))).alias("statistic")
