@@ -206,3 +206,9 @@ def test_fixed_split_dates(spark):
     df = spark.createDataFrame(rows, "s string, d string").withColumn("d", F.to_date("d"))
     assert [r[0] for r in df.select(C.split_role("s", "d")).collect()] == [
         "train", "validation", "validation", "calibration", "calibration", "pilot_holdout", "final_test"]
+
+
+def test_predictor_rules():
+    kinds = {"home_event_goals_roll5": "double", "home_score": "bigint", "home_team": "string"}
+    got = Q.predictor_rules(list(kinds), ["home_score"], ["_roll", "_expanding"], kinds)
+    assert ("home_score", "forbidden") in got and ("home_team", "not numeric") in got and not any(c.startswith("home_event") for c, _ in got)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.hashing import uniform_hash
 from ..operators.ordered import sequence
+from ..session import cut_lineage
 from .neighbors import exact_knn
 
 
@@ -61,7 +62,7 @@ def _plain(df: DataFrame, key: str, vector: str) -> DataFrame:
 def smote(df: DataFrame, label: str, value, key: str = "id", vector: str = "vector", k: int = 3, seed: int = 42) -> DataFrame:
     """Synthetic rows that bring class ``value`` up to the largest class."""
     n, top = _sizes(df, label, value)
-    minority = _plain(df.where(F.col(label) == value), key, vector).persist()
+    minority = cut_lineage(_plain(df.where(F.col(label) == value), key, vector))
     seeds = _numbered(_even_counts(minority, top - n, n, key), "_count", key)
     return _draw(seeds, top - n, minority, k, key, vector, label, value, seed)
 
@@ -78,8 +79,8 @@ def danger_rows(df: DataFrame, label: str, value, key: str = "id", vector: str =
 def borderline_smote(df: DataFrame, label: str, value, key: str = "id", vector: str = "vector", k: int = 3, m: int = 10, seed: int = 42) -> DataFrame:
     """SMOTE seeded only from danger rows."""
     n, top = _sizes(df, label, value)
-    minority = _plain(df.where(F.col(label) == value), key, vector).persist()
-    danger = minority.join(danger_rows(df, label, value, key, vector, m), key, "left_semi").persist()
+    minority = cut_lineage(_plain(df.where(F.col(label) == value), key, vector))
+    danger = cut_lineage(minority.join(danger_rows(df, label, value, key, vector, m), key, "left_semi"))
     found = danger.count()
     if found == 0:
         return _draw(danger.withColumns({"first": F.lit(0).cast("long"), "last": F.lit(0).cast("long")}).where(F.lit(False)), 0, minority, k, key, vector, label, value, seed)
@@ -90,7 +91,7 @@ def borderline_smote(df: DataFrame, label: str, value, key: str = "id", vector:
 def adasyn(df: DataFrame, label: str, value, key: str = "id", vector: str = "vector", k: int = 3, seed: int = 42) -> DataFrame:
     """Synthetic counts proportional to the share of other classes nearby."""
     n, top = _sizes(df, label, value)
-    minority = _plain(df.where(F.col(label) == value), key, vector).persist()
+    minority = cut_lineage(_plain(df.where(F.col(label) == value), key, vector))
     other = df.select(F.col(key).cast("long").alias("neighbor"), (F.col(label) != value).cast("int").alias("_other"))
     shares = exact_knn(minority, df, k, key, vector).join(other, "neighbor").groupBy(key).agg(F.avg("_other").alias("_ratio"))
     total = shares.agg(F.sum("_ratio")).first()[0] or 0.0

@@ -197,3 +197,22 @@ def season_summary(rows: DataFrame, keys: Sequence[str] = ("season_name", "team"
     return rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("matches"), F.min(date).alias("first_date"), F.max(date).alias("last_date")
     )
+
+
+def describe_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Count, mean, sample deviation, minimum and maximum per column, one scan."""
+    aggs, entries = [], []
+    for i, x in enumerate(columns):
+        v = C.no_nan(F.col(x).cast("double"))
+        parts = {"present": F.count(v), "mean": F.avg(v), "std": F.stddev_samp(v), "minimum": F.min(v), "maximum": F.max(v)}
+        aggs += [e.alias(f"_{k}{i}") for k, e in parts.items()]
+        entries.append(F.struct(F.lit(x).alias("column_name"), *[F.col(f"_{k}{i}").alias(k) for k in parts]))
+    return df.agg(*aggs).select(F.inline(F.array(*entries)))
+
+
+def rows_with_missing(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row: rows, rows with any listed column missing."""
+    gap = None
+    for x in columns:
+        gap = F.col(x).isNull() if gap is None else gap | F.col(x).isNull()
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(gap).alias("rows_with_missing"))

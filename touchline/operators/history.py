@@ -22,17 +22,19 @@ def entity_history(
     expanding: bool = True,
     strict: bool = True,
     max_rows: int | None = None,
+    bound: int | None = None,
 ) -> tuple[DataFrame, list[str]]:
     """Previous match time, matches played, rest days, rolling and expanding means.
 
     All frames share one window specification, so one sort serves them all.
     Histories run across seasons. In strict mode a previous match that is not
     strictly earlier raises.
+    ``bound`` is a proven bound on rows per entity, which saves counting them.
     """
     date = order[0]
     name = lambda m, w: f"{prefix}{m}_roll{w}" if w else f"{prefix}{m}_expanding"
     source, played, rest = f"{prefix}source_match_time", f"{prefix}matches_played_prior", f"{prefix}rest_days"
-    seq = sequence(rows, [entity], list(order), max_rows=max_rows)
+    seq = sequence(rows, [entity], list(order), bound=bound, max_rows=max_rows)
     seq = seq.trailing_means(metrics, windows, expanding, name)
     seq = seq.row_number("_row").neighbor({source: F.col(date)}, -1)
     df = seq.result()
@@ -135,3 +137,13 @@ def chronological_split(rows: DataFrame, fraction: float, date: str = "clean_dat
     upto = per_day.withColumn("_upto", F.sum("_n").over(W.orderBy("_day"))).withColumn("_all", F.sum("_n").over(W.partitionBy()))
     cut = upto.where(F.col("_upto") > F.floor(F.col("_all") * F.lit(fraction))).agg(F.min("_day").alias("_cut"))
     return rows.withColumn("side", F.when(day < cut.scalar(), "earlier").otherwise("later"))
+
+
+def first_match_check(history: DataFrame, prefix: str, feature: str) -> DataFrame:
+    """One row: first matches with history, later matches without any."""
+    played = F.col(f"{prefix}matches_played_prior")
+    return history.agg(
+        F.count_if(played == 0).alias("first_matches"),
+        F.count_if((played == 0) & F.col(feature).isNotNull()).alias("first_with_history"),
+        F.count_if((played > 0) & F.col(feature).isNull()).alias("later_without_history"),
+    )

@@ -318,3 +318,11 @@ def frozen_baselines(spark, sf_dir):
     grid = SN.snapshot_grid(A.table(spark, sf_dir, "events").select(F.col("user_id").alias("match_id")).distinct())
     market = R.add_market(A.matches(spark, sf_dir)).select("match_id", *[F.col(f"market_prob_{k}").alias(f"p_{k}") for k in "ADH"])
     return final(grid.select("match_id", "snapshot_minute").join(market, "match_id"))
+
+
+@query("worst_group", """
+SELECT season_name, round(mean_rps, 9) AS mean_rps FROM (SELECT season_name, avg(rps) AS mean_rps FROM lc GROUP BY 1) ORDER BY 2 DESC, 1 LIMIT 1""", "m", LOSS)
+def worst_group(spark, sf_dir):
+    """The group with the largest mean loss."""
+    means = losses(spark, sf_dir).groupBy("season_name").agg(F.round(F.avg("rps"), 9).alias("mean_rps"))
+    return R.top_rows(means, [F.col("mean_rps").desc(), F.col("season_name")], 1)

@@ -222,3 +222,12 @@ def feature_groups(spark, sf_dir):
         total = F.sum(F.col(x)) if total is None else total + F.sum(F.col(x))
     return pivot.select(*family).agg(
         F.lit("conventional").alias("group_name"), F.lit(len(family)).cast("long").alias("columns"), F.round(total, 6).alias("checksum"))
+
+
+@query("first_match_check", """
+SELECT count(*) FILTER (WHERE event_matches_played_prior = 0) AS first_matches,
+  count(*) FILTER (WHERE event_matches_played_prior = 0 AND event_points_roll5 IS NOT NULL) AS first_with_history,
+  count(*) FILTER (WHERE event_matches_played_prior > 0 AND event_points_roll5 IS NULL) AS later_without_history FROM h""", "m", HIST)
+def first_match_check(spark, sf_dir):
+    df, _ = H.entity_history(long_rows(spark, sf_dir), ("points",), "event_")
+    return H.first_match_check(df, "event_", "event_points_roll5")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..operators import events as E, network as N, ordered as O, possession as PO, scoring as SC
+from ..operators import events as E, history as H, network as N, ordered as O, possession as PO, scoring as SC
 from ..sources import adapters as A
-from .histories import LONG
+from .histories import LONG, history_sql
 from .registry import final, query
 from .scalars import ZONED_SQL
 
@@ -273,3 +273,28 @@ def pearson(spark, sf_dir):
     rows = E.team_long(A.matches(spark, sf_dir))
     return final(rows.groupBy("season_name").agg(SC.guarded_pearson("goals_for", "points").alias("correlation"),
                                                  SC.guarded_pearson("goals_for", F.lit(1.0)).alias("constant")))
+
+
+NET = ("mean_zone_leakage", "completed_passes", "switching_factor")
+
+
+@query("network_history", "SELECT * EXCLUDE (is_home, clean_date) FROM h", "e", {
+    **SUPRA, "l": f"""SELECT match_id, TIMESTAMP '2020-01-01' + to_days(CAST(match_id AS INTEGER)) AS clean_date, layer || CAST(match_id % 7 AS VARCHAR) AS team,
+  CASE layer WHEN 'home' THEN 1 ELSE 0 END AS is_home, {', '.join(f'round({m}, 6) AS {m}' for m in NET)} FROM tm""", "h": history_sql(NET, "net_")})
+def network_history(spark, sf_dir):
+    """Lagged histories of network metrics, one fixture per match of the event view."""
+    rows = N.network_team_metrics(N.zone_metrics(network_inputs(spark, sf_dir)[2]), centrality=False)
+    day0 = F.lit("2020-01-01").cast("timestamp_ntz")
+    rows = rows.select("match_id", F.timestamp_add("DAY", F.col("match_id").cast("int"), day0).alias("clean_date"),
+                       F.concat("layer", (F.col("match_id") % 7).cast("string")).alias("team"), *[F.round(m, 6).alias(m) for m in NET])
+    # A team plays at most once per match: matches bound the rows per team.
+    bound = A.table(spark, sf_dir, "events").select("user_id").distinct().count()
+    df, features = H.entity_history(rows, NET, "net_", bound=bound)
+    return final(df.select("match_id", "team", *features))
+
+
+@query("network_team_centrality")
+def network_team_centrality(spark, sf_dir):
+    """All thirteen network metrics of the history family per match and side."""
+    z = N.zone_metrics_with_centrality(network_inputs(spark, sf_dir)[2])
+    return final(N.network_team_metrics(z).select("match_id", "layer", *K.NETWORK_METRICS), 6)

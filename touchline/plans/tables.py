@@ -333,3 +333,23 @@ def extreme_rows(spark, sf_dir):
     high = R.top_rows(ev, [F.col("shot_xg").desc(), F.col("id")], 10).withColumn("side", F.lit("high"))
     low = R.top_rows(ev, [F.col("shot_xg"), F.col("id")], 10).withColumn("side", F.lit("low"))
     return final(high.unionByName(low))
+
+
+DESCRIBED = ("location_x", "shot_xg", "t")
+
+
+@query("describe_columns", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count({c}) AS present, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, round(min({c}), 6) AS minimum, round(max({c}), 6) AS maximum FROM e"
+    for c in DESCRIBED), "e")
+def describe_columns(spark, sf_dir):
+    return final(E.describe_columns(A.events(spark, sf_dir), DESCRIBED), 6)
+
+
+@query("rows_with_missing", "SELECT count(*) AS rows, count(*) FILTER (WHERE location_x IS NULL OR pass_end_x IS NULL) AS rows_with_missing FROM e", "e")
+def rows_with_missing(spark, sf_dir):
+    return E.rows_with_missing(A.events(spark, sf_dir), ["location_x", "pass_end_x"])
+
+
+@query("exactly_one", "SELECT match_id, home_team FROM m WHERE match_id = 7", "m")
+def exactly_one(spark, sf_dir):
+    return R.exactly_one(A.matches(spark, sf_dir).select("match_id", "home_team"), F.col("match_id") == 7)
