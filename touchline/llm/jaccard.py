@@ -7,20 +7,23 @@ sets form one class, named by a 64-bit hash of the set, and all work is on
 classes.
 
 1. One pass over the texts gives sizes, class names, the suffix profile (how
-   many shingles fall into each of 16 ranges) and a count sketch of all
+   many shingles fall into each of 32 ranges) and a count sketch of all
    shingles: ``2^SKETCH_BITS`` counters, summed in a tree, of fixed size.
 2. A second pass orders each set by (counter, hash), rarest first, and emits
    its prefix: two sets that link share a shingle there. A class met before by
    the same task is not emitted again.
-3. Shingles held by one class alone are dropped. In each round every posting
-   list links its classes to one pivot of the list (another in each round), so
-   a list of m classes gives m - 1 pairs; pairs pass the length, positional and
-   suffix filters, are made distinct, and are verified once on the full sets.
-   Verified links merge components.
-4. The rest: in lists that still hold several components, all pairs of classes
-   of different components that pass the filters are verified. Pairs inside a
-   component cannot change the result and are not made. So no link between
-   components is lost.
+3. Shingles held by one class alone are dropped. Every posting list links its
+   classes to its pivot, the class with the smallest name, so a list of m
+   classes gives m - 1 pairs; those that pass the length and suffix filters are
+   verified on the full sets. Verified links merge components.
+4. Lists of more than ``CELL`` classes are dealt into cells of about that many,
+   by another hash in each of ``ROUNDS`` rounds, and classes of different
+   components in a cell are compared. A large group of near copies grows
+   together here, with pairs in proportion to its size.
+5. The rest: in lists that still hold several components, pairs of classes of
+   different components that pass the length, positional and suffix filters, all
+   inside the join, are verified once. Pairs inside a component cannot change
+   the result and are not made. So no link between components is lost.
 
 The result has one row per document. Null and empty texts have an empty set and
 link with nothing (also not with each other). Rows without an id make no link;
@@ -47,9 +50,10 @@ from .components import components
 
 SKETCH_BITS = 20
 SKETCH_ROW = 1 << 14  # counters per row while summing
-RANGES = 16  # of the suffix profile
+RANGES = 32  # of the suffix profile
 BITMAP_BITS = 23
-ROUNDS = 3  # of pivots before the rest
+CELL = 16  # classes of a long list that are compared with each other in a round
+ROUNDS = 3
 TREE = 64
 
 _SPACE = np.zeros(256, bool)
@@ -103,7 +107,7 @@ def prefix_length(n: int, percent: int) -> int:
 def profiles(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, cls, profile) of all rows, and the summed sketch as (place, counters)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    fields = f"doc_id {kind}, n long, cls long, profile array<int>, place int, counters binary"
+    fields = f"doc_id {kind}, n long, cls long, profile array<tinyint>, place int, counters binary"
     size = 1 << SKETCH_BITS
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)
 
@@ -114,17 +118,17 @@ def profiles(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
             for _, values in shingle_sets(b.column(1), words):
                 n.append(len(values))
                 cls.append(class_name(values) if len(values) else None)
-                profile.append(np.bincount((values >> np.uint64(60)).astype(np.int64), minlength=RANGES).astype(np.int32))
+                profile.append(np.minimum(np.bincount((values >> np.uint64(59)).astype(np.int64), minlength=RANGES), 127).astype(np.int8))
                 np.add.at(total, (values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
             m = len(b)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(profile, pa.list_(pa.int32())), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
+                [b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(profile, pa.list_(pa.int8())), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
                 names=["doc_id", "n", "cls", "profile", "place", "counters"],
             )
         rows = [(i // SKETCH_ROW, zlib.compress(total[i : i + SKETCH_ROW].tobytes(), 1)) for i in range(0, size, SKETCH_ROW)] if total.any() else []
         m = len(rows)
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(m, id_type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int32())), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())],
+            [pa.nulls(m, id_type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int8())), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())],
             names=["doc_id", "n", "cls", "profile", "place", "counters"],
         )
 
@@ -149,11 +153,11 @@ def sketch_of(spark, sketch: DataFrame) -> Broadcast:  # noqa: ANN001
 
 
 def prefixes(docs: DataFrame, words: int, percent: int, sketch: Broadcast) -> DataFrame:
-    """(h, cls, n, pos): the rarest shingles of each class, once per task."""
+    """(h, cls, at): the rarest shingles of each class, once per task; at is size * 2^32 + place."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for b in batches:
-            h, cls, n, pos = [], [], [], []
+            h, cls, at = [], [], []
             for _, values in shingle_sets(b.column(0), words):
                 if not len(values) or (name := class_name(values)) in met:
                     continue
@@ -163,13 +167,12 @@ def prefixes(docs: DataFrame, words: int, percent: int, sketch: Broadcast) -> Da
                 first = values[np.lexsort((values, count))[:p]]
                 h.append(first)
                 cls.append(np.full(p, name))
-                n.append(np.full(p, len(values)))
-                pos.append(np.arange(p))
+                at.append((len(values) << 32) + np.arange(p))
             if h:
-                columns = [np.concatenate(h).view(np.int64), np.concatenate(cls).astype(np.int64), np.concatenate(n).astype(np.int32), np.concatenate(pos).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "cls", "n", "pos"])
+                columns = [np.concatenate(h).view(np.int64), np.concatenate(cls).astype(np.int64), np.concatenate(at).astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "cls", "at"])
 
-    return docs.select("text").mapInArrow(run, "h long, cls long, n int, pos int")
+    return docs.select("text").mapInArrow(run, "h long, cls long, at long")
 
 
 def _needed(a: Column, b: Column, percent: int) -> Column:
@@ -210,16 +213,28 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return saved(read.join(wanted, "cls").where("id = doc_id").select("cls", "members").dropDuplicates(["cls"]))
 
 
-def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link, each checked once on full sets.
+def _apart(p: str, q: str, n: Column, m: Column, percent: int) -> Column:
+    """Suffix filter: whether two sets of sizes n and m with these profiles may link.
 
-    The suffix filter comes first: sets differ at least by the sum over the
-    ranges of the differences of their profiles.
+    They differ at least by the sum over the ranges of the differences of their
+    (capped) profiles, and sets that link by at most both sizes less twice the
+    overlap.
     """
+    least = sum(F.abs(F.col(p)[i].cast("int") - F.col(q)[i].cast("int")) for i in range(RANGES))
+    return least <= n + m - 2 * _needed(n, m, percent)
+
+
+def filtered(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that pass the length and suffix filters."""
     one = classes.select(F.col("cls").alias("a"), F.col("n").alias("an"), F.col("profile").alias("ap"))
-    two = classes.select(F.col("cls").alias("b"), F.col("n").alias("bn"), F.col("profile").alias("bp"))
-    apart = sum(F.abs(F.col("ap")[i] - F.col("bp")[i]) for i in range(RANGES))
-    checked = pairs.join(one, "a").join(two, "b").where(apart <= F.col("an") + F.col("bn") - 2 * _needed(F.col("an"), F.col("bn"), percent)).select("a", "b")
+    two = classes.select(F.col("cls").alias("b2"), F.col("n").alias("bn"), F.col("profile").alias("bp"))
+    alike = F.least("an", "bn") * 100 >= F.greatest("an", "bn") * percent
+    fits = alike & _apart("ap", "bp", F.col("an"), F.col("bn"), percent)
+    return pairs.join(one, "a").join(two, (F.col("b") == F.col("b2")) & fits).select("a", "b")
+
+
+def verified(checked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that link, each checked once on full sets."""
     joined = checked.join(sets.select(F.col("cls").alias("a"), F.col("members").alias("am")), "a").join(sets.select(F.col("cls").alias("b"), F.col("members").alias("bm")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,34 +257,21 @@ def join_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     sketch = sketch_of(spark, sketch)
     classes = saved(rows.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min_by("profile", "n").alias("profile")))
     dealt = prefixes(docs.where("doc_id IS NOT NULL"), words, percent, sketch).repartition("h")
-    shared = dealt.groupBy("h").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("h")
-    posts = saved(dealt.join(shared, "h").distinct())
-    wanted = classes.join(posts.select("cls").distinct(), "cls").select("cls", "doc_id")
-    sets = sets_of(docs, wanted, words)
-
-    links, known, tried = None, None, None
-    for turn in range(ROUNDS):
-        now = _with_root(posts, known)
-        pivot = F.min(F.struct(F.xxhash64("root", F.lit(turn)).alias("o"), F.xxhash64("cls", F.lit(turn)).alias("r"), "cls", "n", "pos", "root"))
-        pivots = now.groupBy("h").agg(pivot.alias("p"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        pivots = pivots.select("h", F.col("p.cls").alias("other"), F.col("p.n").alias("other_n"), F.col("p.pos").alias("other_pos"), F.col("p.root").alias("other_root"))
-        pairs = _pairs(now.join(pivots, "h").where("root <> other_root"), percent, tried)
-        pairs = saved(pairs)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if pairs.isEmpty():
-            break
-        found = verified(pairs, classes, sets, percent)
-        links = found if links is None else links.unionByName(found)
-        known = saved(components(links, "a", "b"))
-    now = _with_root(posts, known)
-    open_lists = now.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
-    now = saved(now.join(open_lists, "h"))
-    others = now.select("h", F.col("cls").alias("other"), F.col("n").alias("other_n"), F.col("pos").alias("other_pos"), F.col("root").alias("other_root"))
-    pairs = saved(_pairs(now.join(others, "h").where("root < other_root"), percent, tried))
-    if not pairs.isEmpty():
-        found = verified(pairs, classes, sets, percent)
-        links = found if links is None else links.unionByName(found)
-        known = saved(components(links, "a", "b"))
+    # both readers of the shuffled rows name all columns, so that Spark shuffles them once
+    lists = dealt.groupBy("h").agg(F.min("cls").alias("pivot"), F.max("cls").alias("high"), F.max("at").alias("top"))
+    shared = lists.where("pivot <> high AND top >= 0").select("h", "pivot")
+    posts = saved(dealt.join(shared.hint("shuffle_hash"), "h").select("h", "cls", "at", "pivot").distinct())
+    found = _Found(docs, classes, words, percent)
+    stars = posts.where("cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct()
+    found.check(filtered(stars, classes, percent))
+    sizes = posts.groupBy("h").count().where(F.col("count") > CELL)
+    hot = saved(posts.join(sizes, "h").withColumn("cells", F.ceil(F.col("count") / CELL)).select("h", "cls", "at", "cells"))
+    if not hot.isEmpty():
+        for turn in range(ROUNDS):
+            cell = F.pmod(F.xxhash64("cls", F.lit(turn)), F.col("cells"))
+            found.check(_rest(hot.withColumn("cell", cell), classes, found.roots, percent))
+    found.check(_rest(posts.withColumn("cell", F.lit(0).cast("long")), classes, found.roots, percent))
+    known = found.roots
 
     named = _with_root(classes.select("cls", "doc_id"), known)
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -277,6 +279,33 @@ def join_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     return rows.join(label, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+class _Found:
+    """What has been verified: pairs tried, sets read, links, and the component (root) of each linked class."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> None:
+        self.docs, self.classes, self.words, self.percent = docs, classes, words, percent
+        self.tried = self.sets = self.links = self.roots = None
+
+    def check(self, candidates: DataFrame) -> None:
+        """Verify the candidates not tried before and merge the components that they link."""
+        checked = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        checked = saved(checked if self.tried is None else checked.join(self.tried, ["a", "b"], "left_anti"))
+        self.tried = _more(self.tried, checked)
+        if checked.isEmpty():
+            return
+        ends = checked.select(F.col("a").alias("cls")).union(checked.select(F.col("b").alias("cls"))).distinct()
+        if self.sets is not None:
+            ends = ends.join(self.sets.select("cls"), "cls", "left_anti")
+        wanted = saved(self.classes.join(ends, "cls").select("cls", "doc_id"))
+        self.sets = _more(self.sets, sets_of(self.docs, wanted, self.words))
+        self.links = _more(self.links, verified(checked, self.sets, self.percent))
+        self.roots = saved(components(self.links, "a", "b"))
+
+
+def _more(old: DataFrame | None, new: DataFrame) -> DataFrame:
+    return new if old is None else old.unionByName(new)
+
+
 def _with_root(rows: DataFrame, known: DataFrame | None) -> DataFrame:
     """``rows`` with the component found so far of each class."""
     if known is None:
@@ -284,10 +313,16 @@ def _with_root(rows: DataFrame, known: DataFrame | None) -> DataFrame:
     return rows.join(known.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
 
 
-def _pairs(candidates: DataFrame, percent: int, tried: DataFrame | None) -> DataFrame:
-    """Distinct new pairs (a, b), a < b, that pass the length and positional filters."""
-    pairs = candidates.where(_possible(percent)).select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
-    return pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+def _rest(posts: DataFrame, classes: DataFrame, roots: DataFrame | None, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a cell of a list and pass all filters."""
+    rows = _with_root(posts.select("h", "cls", "at", "cell"), roots)
+    lists = rows.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
+    place = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos")
+    rows = saved(rows.join(lists, "h").join(classes.select("cls", "n", "profile"), "cls").select("h", "cell", "cls", "root", "n", place, "profile"))
+    others = rows.select(*[F.col(c).alias(f"other_{c}") for c in rows.columns])
+    fits = (F.col("root") < F.col("other_root")) & _possible(percent) & _apart("profile", "other_profile", F.col("n"), F.col("other_n"), percent)
+    same = (F.col("h") == F.col("other_h")) & (F.col("cell") == F.col("other_cell"))
+    return rows.join(others, same & fits).select(F.col("cls").alias("a"), F.col("other_cls").alias("b")).distinct()
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
