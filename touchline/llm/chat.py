@@ -64,9 +64,9 @@ def best_paths(nodes: DataFrame, branches: int) -> DataFrame:
     sums = saved(sums)
     while not levels[-1].isEmpty() and len(levels) < MAX_LEVELS:
         far = sums.select("k", F.col("node").alias("above"), F.col("above").alias("next"), F.col("score").alias("more"), F.col("length").alias("steps"))
-        sums = saved(
-            sums.join(far, ["k", "above"], "left").select("k", "node", F.col("next").alias("above"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"), (F.col("length") + F.coalesce("steps", F.lit(0))).alias("length"))
-        )
+        moved = sums.where("above IS NOT NULL").join(far, ["k", "above"], "left")
+        moved = moved.select("k", "node", F.col("next").alias("above"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"), (F.col("length") + F.coalesce("steps", F.lit(0))).alias("length"))
+        sums = saved(sums.where("above IS NULL").select("k", "node", "above", "score", "length").unionByName(moved))  # paths that reached the root rest
         levels.append(saved(sums.where("above IS NOT NULL").select("k", "node", "above")))
     totals = sums.where("above IS NULL").select("k", "node", "score", "length")  # cycles never end
     order = Window.partitionBy("k").orderBy(F.desc("total"), F.desc("length"), "node")
