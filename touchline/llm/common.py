@@ -13,7 +13,7 @@ from pyspark.sql.types import StructField, StructType
 
 from touchline.session import shared_folder
 
-CHUNK_BYTES = 1 << 22  # text handled at a time inside a task
+CHUNK_BYTES = 1 << 20  # text handled at a time inside a task
 NGRAM_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -150,15 +150,22 @@ class PresenceModel:
         return 1.0 / (1.0 + np.exp(-np.clip(out + self.bias, -60, 60)))
 
 
-def presence_rows(array: pa.Array, features: Callable, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, feature) pairs of all texts, as (text index, feature index), sorted by text."""
-    rows, index = [], []
+def presence_chunks(array: pa.Array, features: Callable, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct (text, feature) pairs chunk by chunk, as (text index, feature index), sorted by text."""
     for first, _, data, offsets in text_chunks(array):
         keys = [(r.astype(np.int64) << bits) | i.astype(np.int64) for r, i in features(data, offsets, bits)]
         found = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-        rows.append((found >> bits) + first)
-        index.append((found & ((1 << bits) - 1)).astype(np.int32))
-    return (np.concatenate(rows), np.concatenate(index)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+        yield ((found >> bits) + first).astype(np.int32), (found & ((1 << bits) - 1)).astype(np.int32)
+
+
+def presence_rows(array: pa.Array, features: Callable, bits: int, live: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of all texts, only those of ``live`` features if given."""
+    rows, index = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for r, i in presence_chunks(array, features, bits):
+        keep = slice(None) if live is None else live[i]
+        rows.append(r[keep])
+        index.append(i[keep])
+    return np.concatenate(rows), np.concatenate(index)
 
 
 def any_of(conditions: list[Column]) -> Column:

@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField
 
-from .common import NGRAM_FACTOR, PresenceModel, append_columns, mixed, presence_rows, sample_of_labels
+from .common import NGRAM_FACTOR, PresenceModel, append_columns, mixed, presence_chunks, presence_rows, sample_of_labels
 
-SIZES = (4, 5, 6)
+SIZES = (3, 4, 5, 6)
 BITS = 20
-FIT_ROWS = 8000  # bound of the labelled sample
-SMOOTHING = 0.5
-MIN_RATIO = 1.5  # features whose ratio is nearer to zero weigh nothing
-RIDGE = 0.02
+FIT_ROWS = 6000  # bound of the labelled sample
+SMOOTHING = 1.0
+MIN_RATIO = 1.0  # features whose ratio is nearer to zero weigh nothing
+RIDGE = 5.0
 STEPS = 80
 
 _LOWER = np.arange(0x250, dtype=np.uint32)
@@ -70,16 +70,17 @@ def fit_texts(texts: pa.Array, labels: np.ndarray, bits: int = BITS) -> Presence
     if not pos or not neg:
         share = pos / max(pos + neg, 1)
         return PresenceModel(bits, np.zeros(1 << bits, np.float32), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-    rows, index = presence_rows(texts, features, bits)
-    positive = labels[rows] == 1
-    p = np.bincount(index[positive], minlength=1 << bits)
-    q = np.bincount(index[~positive], minlength=1 << bits)
+    p, q = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+    for r, i in presence_chunks(texts, features, bits):
+        positive = labels[r] == 1
+        p += np.bincount(i[positive], minlength=1 << bits)
+        q += np.bincount(i[~positive], minlength=1 << bits)
     ratio = np.log((p + SMOOTHING) / (pos + 2 * SMOOTHING)) - np.log((q + SMOOTHING) / (neg + 2 * SMOOTHING))
     ratio[(np.abs(ratio) < MIN_RATIO) | (p + q < 3)] = 0
-    keep = ratio[index] != 0
-    rows, index = rows[keep], index[keep]
-    names, place = np.unique(index, return_inverse=True)
-    x = ratio[names][place]
+    names = np.flatnonzero(ratio)
+    rows, index = presence_rows(texts, features, bits, ratio != 0)  # a second pass keeps what weighs
+    place = (np.cumsum(ratio != 0) - 1)[index].astype(np.int32)
+    x = ratio.astype(np.float32)[index]
     y = (labels == 1).astype(float)
     w, bias = np.zeros(len(names)), float(np.log(pos / neg))
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
