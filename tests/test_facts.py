@@ -52,10 +52,20 @@ def test_late_tagged_event_is_left_out(spark):
 
 def test_right_eigenvector():
     a = np.array([[1.0, 2.0], [1.0, 0.0]])
-    v, value, residual = N.dominant_right_vector(a)
-    assert np.isclose(v.sum(), 1) and residual < 1e-10 and (v >= 0).all() and np.isclose(value, 2.0)
-    v, value, residual = N.dominant_right_vector(np.zeros((4, 4)))
-    assert np.allclose(v, 0.25) and value == 0.0
+    periodic = np.array([[0.0, 3.0], [3.0, 0.0]])
+    chain = np.array([[0.0, 2.0], [0.0, 0.0]])  # all eigenvalues are 0
+    v, value, residual = N.perron_vectors(np.stack([a, periodic, np.zeros((2, 2)), chain]))
+    assert np.allclose(v.sum(axis=1), 1) and (residual < 1e-10).all() and (v >= 0).all()
+    assert np.allclose(value, [2.0, 3.0, 0.0, 0.0], atol=1e-9)
+    assert np.allclose(v[1:3], 0.5) and np.allclose(v[3], [1.0, 0.0])
+
+
+def test_stacked_vectors_agree_with_eig():
+    rng = np.random.default_rng(12)
+    stack = rng.integers(0, 4, (30, 40, 40)) * (rng.random((30, 40, 40)) < 0.3).astype(float)
+    v, value, residual = N.perron_vectors(stack)
+    largest = [np.abs(np.linalg.eigvals(a)).max() for a in stack]
+    assert np.allclose(value, largest, rtol=1e-10) and (residual < 1e-10).all() and (v >= 0).all()
 
 
 def test_zone_ratios(spark):
@@ -71,7 +81,7 @@ def test_power_iteration_agrees_with_dense(spark):
     rows = [(1, int(i), int(j), int(a[i, j])) for i in range(40) for j in range(40) if a[i, j]]
     edges = spark.createDataFrame(rows, "match_id long, src int, dst int, weight long")
     got = N.power_centrality(edges, tolerance=1e-8).orderBy("node").toPandas()
-    want, value, _ = N.dominant_right_vector(a.astype(float))
+    (want,), (value,), _ = N.perron_vectors(a[None].astype(float))
     np.testing.assert_allclose(got["centrality"], want, atol=1e-7)
     assert got["eigenvalue"].iloc[0] == pytest.approx(value, rel=1e-6) and got["residual"].iloc[0] < 1e-4
 

@@ -127,21 +127,35 @@ def test_softmax_regression_is_stationary(spark):
     x = rng.normal(size=(400, 2))
     y = np.where(x[:, 0] + rng.normal(size=400) > 0.5, 2, np.where(x[:, 1] > 0, 1, 0))
     df = frame(spark, x, y=y)
-    for small in (True, False):
-        limit, LI.SMALL_PROBLEM = LI.SMALL_PROBLEM, (80 if small else 0)
-        try:
-            m = LI.multinomial_logistic(df, ["x0", "x1"], "y", c=0.5, max_iter=500, tol=1e-12)
-        finally:
-            LI.SMALL_PROBLEM = limit
-        w = np.array(m.weights) if small else m.model.coefficientMatrix.toArray()
-        b = np.array(m.intercepts) if small else m.model.interceptVector.toArray()
-        s = x @ w.T + b
-        p = np.exp(s - s.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        r = p - np.eye(3)[y]
-        assert np.abs(0.5 * r.T @ x + w).max() < 1e-3 and np.abs(r.sum(axis=0)).max() < 1e-3
-        got = m.transform(df, ("a", "b", "c")).orderBy("id").select("a", "b", "c").toPandas().to_numpy()
-        np.testing.assert_allclose(got, p, atol=1e-9)
+    m = LI.multinomial_logistic(df, ["x0", "x1"], "y", c=0.5, max_iter=500, tol=1e-12)
+    s = x @ np.array(m.weights).T + np.array(m.intercepts)
+    p = np.exp(s - s.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    r = p - np.eye(3)[y]
+    assert np.abs(0.5 * r.T @ x + np.array(m.weights)).max() < 1e-3 and np.abs(r.sum(axis=0)).max() < 1e-3
+    got = m.transform(df, ("a", "b", "c")).orderBy("id").select("a", "b", "c").toPandas().to_numpy()
+    np.testing.assert_allclose(got, p, atol=1e-9)
+    none = LI.multinomial_logistic(df.where("id < 0"), ["x0", "x1"], "y", classes=3)
+    assert none.intercepts == [0.0] * 3 and len(none.weights) == 3
+    more = LI.multinomial_logistic(df, ["x0", "x1"], "y", classes=4)
+    assert len(more.weights) == 4
+
+
+def test_sampled_fits_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(600, 3)).round(1)
+    x[:200] = x[0]  # a third of all rows are equal
+    df = frame(spark, x, y=x[:, 0] + (x[:, 1] > 0))
+    seen = set()
+    for parts in (2, 4, 8):
+        mixed = df.orderBy(F.rand(parts)).repartition(parts)
+        forest = TR.random_forest_regressor(mixed, ["x0", "x1", "x2"], "y", trees=3, max_depth=3, parts=6)
+        boosted = TR.gradient_boosting_regressor(mixed, ["x0", "x1", "x2"], "y", rounds=3, row_share=0.5, parts=6)
+        both = [m.transform(df).orderBy("id").toPandas()["prediction"].round(9) for m in (forest, boosted)]
+        seen.add(tuple(map(tuple, both)))
+    assert len(seen) == 1
+    lots = PR.dealt(df, ["x0", "x1", "x2"], "y", 6)
+    assert lots.count() == 600 and lots.rdd.getNumPartitions() == 6
 
 
 def test_ridge_closed_form(spark):

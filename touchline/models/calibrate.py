@@ -102,7 +102,7 @@ def phase_calibrate(df: DataFrame, minute: str = "snapshot_minute", actual: str
         return PhasePlatt({k: platt_calibrate(df.where(phase == k), actual, p) for k in PHASES})
     if method == "isotonic":
         return PhaseIsotonic({k: isotonic_calibrate(df.where(phase == k), actual, p) for k in PHASES})
-    raise ValueError("method must be 'platt' or 'isotonic'")
+    raise ValueError(f"unknown calibration {method!r}")
 
 
 class MarginMapper:

@@ -1,4 +1,4 @@
-"""Forests and boosting on pyspark.ml."""
+"""Forests and boosting on pyspark.ml, on rows dealt the same way at every size and core count."""
 
 from __future__ import annotations
 
@@ -9,36 +9,39 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import spread
 from .linear import FEATURES, Classifier, Regressor
-from .prepare import assemble
+from .prepare import PARTS, assemble, dealt
 
 _CLASS = dict(featuresCol=FEATURES, labelCol="_label", probabilityCol="_probability", rawPredictionCol="_raw", predictionCol="_prediction")
 
 
-def random_forest_classifier(df: DataFrame, columns: Sequence[str], label: str, trees: int = 200, max_depth: int = 5, min_leaf: int = 3, seed: int = 42) -> Classifier:
+def _rows(df: DataFrame, columns: Sequence[str], label: str, parts: int) -> DataFrame:
+    return assemble(dealt(df, columns, label, parts), columns, FEATURES).select(FEATURES, F.col(label).cast("double").alias("_label"))
+
+
+def random_forest_classifier(df: DataFrame, columns: Sequence[str], label: str, trees: int = 200, max_depth: int = 5, min_leaf: int = 3, seed: int = 42, parts: int = PARTS) -> Classifier:
     rf = RandomForestClassifier(numTrees=trees, maxDepth=max_depth, minInstancesPerNode=min_leaf, seed=seed, **_CLASS)
-    model = rf.fit(spread(assemble(df, columns, FEATURES).withColumn("_label", F.col(label).cast("double"))))
+    model = rf.fit(_rows(df, columns, label, parts))
     return Classifier(model, columns, range(model.numClasses))
 
 
-def random_forest_regressor(df: DataFrame, columns: Sequence[str], target: str, trees: int = 200, max_depth: int = 5, min_leaf: int = 3, seed: int = 42) -> Regressor:
+def random_forest_regressor(df: DataFrame, columns: Sequence[str], target: str, trees: int = 200, max_depth: int = 5, min_leaf: int = 3, seed: int = 42, parts: int = PARTS) -> Regressor:
     rf = RandomForestRegressor(numTrees=trees, maxDepth=max_depth, minInstancesPerNode=min_leaf, seed=seed,
-                               featuresCol=FEATURES, labelCol=target, predictionCol="_prediction")
-    return Regressor(rf.fit(spread(assemble(df, columns, FEATURES))), columns)
+                               featuresCol=FEATURES, labelCol="_label", predictionCol="_prediction")
+    return Regressor(rf.fit(_rows(df, columns, target, parts)), columns)
 
 
 def gradient_boosting_regressor(
     df: DataFrame, columns: Sequence[str], target: str, rounds: int = 100, rate: float = 0.04, max_depth: int = 2,
-    loss: str = "absolute", row_share: float = 1.0, column_share: str = "all", bins: int = 32, seed: int = 42,
+    loss: str = "absolute", row_share: float = 1.0, column_share: str = "all", bins: int = 32, seed: int = 42, parts: int = PARTS,
 ) -> Regressor:
     """Boosted trees. Huber loss is not offered by Spark: 'absolute' is the robust
     choice, 'squared' the plain one. Row and column shares and a bin count give
     the histogram variant."""
     gbt = GBTRegressor(maxIter=rounds, stepSize=rate, maxDepth=max_depth, lossType=loss, subsamplingRate=row_share,
                        featureSubsetStrategy=column_share, maxBins=bins, seed=seed,
-                       featuresCol=FEATURES, labelCol=target, predictionCol="_prediction")
-    return Regressor(gbt.fit(spread(assemble(df, columns, FEATURES))), columns)
+                       featuresCol=FEATURES, labelCol="_label", predictionCol="_prediction")
+    return Regressor(gbt.fit(_rows(df, columns, target, parts)), columns)
 
 
 class BoostedClassifier:
@@ -58,10 +61,10 @@ class BoostedClassifier:
 
 def gradient_boosting_classifier(
     df: DataFrame, columns: Sequence[str], label: str, classes: int, rounds: int = 100, rate: float = 0.04, max_depth: int = 2,
-    row_share: float = 1.0, column_share: str = "all", bins: int = 32, seed: int = 42,
+    row_share: float = 1.0, column_share: str = "all", bins: int = 32, seed: int = 42, parts: int = PARTS,
 ) -> BoostedClassifier:
     """Multiclass boosting as one-vs-rest; the assembled input is shared."""
-    data = spread(assemble(df, columns, FEATURES).select(FEATURES, label)).persist()
+    data = _rows(df, columns, label, parts).withColumnRenamed("_label", "_class").persist()
     try:
         models = []
         for k in range(classes):
@@ -69,7 +72,7 @@ def gradient_boosting_classifier(
                                 featureSubsetStrategy=column_share, maxBins=bins, seed=seed,
                                 featuresCol=FEATURES, labelCol="_label", predictionCol="_prediction")
             gbt = gbt.setProbabilityCol("_probability").setRawPredictionCol("_raw")
-            models.append(gbt.fit(data.withColumn("_label", F.when(F.col(label) == k, 1.0).otherwise(0.0))))
+            models.append(gbt.fit(data.withColumn("_label", F.when(F.col("_class") == k, 1.0).otherwise(0.0))))
     finally:
         data.unpersist()
     return BoostedClassifier(models, columns)

@@ -28,20 +28,23 @@ def alias_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(K.TEAM_ALIASES), "source_team string, odds_team string")
 
 
+def without_alias(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """(team, n): every name whose mapped column is missing, with its rows; names are pre-aggregated."""
+    misses = F.array(*[F.when(F.col(out).isNull(), F.struct(F.col(name).alias("team"))) for name, out in columns.items()])
+    found = df.select(F.explode(misses).alias("m")).where("m IS NOT NULL")
+    return found.groupBy(F.col("m.team").alias("team")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def alias_lookup(df: DataFrame, aliases: DataFrame, columns: dict[str, str], source="source_team", target="odds_team",
                  strict: bool = True) -> DataFrame:
-    """Map team names; in strict mode any miss is an error listing the names."""
+    """Map team names; in strict mode any miss is an error. ``without_alias`` lists all names that miss."""
     for name, out in columns.items():
         side = aliases.select(F.col(source).alias(name), F.col(target).alias(out))
         df = df.join(side, name, "left")
     if strict:
-        lost = None
-        for name, out in columns.items():
-            part = df.where(F.col(out).isNull()).select(F.col(name).alias("team"))
-            lost = part if lost is None else lost.unionByName(part)
-        names = [str(r["team"]) for r in lost.distinct().orderBy("team").limit(100).collect()]
-        if names:
-            raise QualityError(f"teams without alias: {names}")
+        lost = without_alias(df, columns).agg(F.count(F.lit(1)).alias("teams"), F.min("team").alias("first")).first()
+        if lost["teams"]:
+            raise QualityError(f"{lost['teams']} teams without alias, the first is {lost['first']}")
     return df
 
 

@@ -1,7 +1,7 @@
 """Match and event views over the shared test tables.
 
 Only integer arithmetic, CASE, row_number and timestamp offsets are used, so any
-SQL engine gives the same rows (``plans/oracle_views.py`` holds the SQL twin).
+SQL engine gives the same rows.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, cust = F.col("o_orderkey"), F.col("o_custkey")
     home = F.pmod(cust, F.lit(40))
     away = (home + 1 + (k * 7 + cust) % 39) % 40
-    kickoff = F.timestamp_add("MICROSECOND", k.cast("int"), F.col("o_orderdate"))
+    seconds = (k.cast("decimal(20,0)") / F.lit(1_000_000)).cast("decimal(18,6)")  # keys may exceed 32 bits
+    kickoff = F.col("o_orderdate") + F.make_dt_interval(secs=seconds)
     return table(spark, sf_dir, "orders").select(
         k.alias("match_id"),
         kickoff.alias("clean_date"),
