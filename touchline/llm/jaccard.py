@@ -17,9 +17,9 @@ classes.
    classes gives m - 1 pairs; those that pass the length and suffix filters are
    verified on the full sets. Verified links merge components.
 4. Lists of more than ``CELL`` classes are dealt into cells of about that many,
-   by another hash in each of ``ROUNDS`` rounds, and classes of different
-   components in a cell are compared. A large group of near copies grows
-   together here, with pairs in proportion to its size.
+   by ``ROUNDS`` different hashes, and classes of different components in a cell
+   are compared. A large group of near copies grows together here, with pairs in
+   proportion to its size.
 5. The rest: in lists that still hold several components, pairs of classes of
    different components that pass the length, positional and suffix filters, all
    inside the join, are verified once. Pairs inside a component cannot change
@@ -52,8 +52,8 @@ SKETCH_BITS = 20
 SKETCH_ROW = 1 << 14  # counters per row while summing
 RANGES = 32  # of the suffix profile
 BITMAP_BITS = 23
-CELL = 16  # classes of a long list that are compared with each other in a round
-ROUNDS = 3
+CELL = 16  # classes of a long list that are compared with each other
+ROUNDS = 3  # ways to deal a long list into cells
 TREE = 64
 
 _SPACE = np.zeros(256, bool)
@@ -267,9 +267,9 @@ def join_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     sizes = posts.groupBy("h").count().where(F.col("count") > CELL)
     hot = saved(posts.join(sizes, "h").withColumn("cells", F.ceil(F.col("count") / CELL)).select("h", "cls", "at", "cells"))
     if not hot.isEmpty():
-        for turn in range(ROUNDS):
-            cell = F.pmod(F.xxhash64("cls", F.lit(turn)), F.col("cells"))
-            found.check(_rest(hot.withColumn("cell", cell), classes, found.roots, percent))
+        turns = hot.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(ROUNDS - 1))))
+        cell = F.pmod(F.xxhash64("cls", "turn"), F.col("cells")) * ROUNDS + F.col("turn")
+        found.check(_rest(turns.withColumn("cell", cell), classes, found.roots, percent))
     found.check(_rest(posts.withColumn("cell", F.lit(0).cast("long")), classes, found.roots, percent))
     known = found.roots
 
