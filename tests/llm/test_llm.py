@@ -258,6 +258,40 @@ def test_language_code_lengths_against_brute_force(spark):
             assert model.lengths(pa.array([text]))[0, i] == pytest.approx(bits, rel=1e-5)
 
 
+def test_language_rare_scripts_beside_a_dominant_one(spark):
+    latin = [chr(c) for c in range(33, 127) if not 65 <= c <= 90]  # more than the 63 that once had symbols
+    dealt = np.random.default_rng(3)
+
+    def texts(letters, n, words):
+        return [" ".join("".join(dealt.choice(letters, 4)) for _ in range(words)) for _ in range(n)]
+
+    # The two languages of a script differ in nothing but which of its letters they use.
+    letters = {"c1": "абвгдежз", "c2": "ийклмноп", "h1": "你好世界中文字人", "h2": "日本語東京大学生"}
+    rows = [(t, "zz") for t in texts(latin, 400, 40)] + [(t, lang) for lang, x in letters.items() for t in texts(list(x), 3, 12)]
+    frame = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = language.fit(frame, 10**6, 10**6 - 1)
+    used = {b for t, _ in rows for b in t.lower().encode()}
+    assert len(used) > 64 and all(model.table[b] == b for b in used)
+    new = [(t, lang) for lang, x in letters.items() for t in texts(list(x), 5, 6)]
+    asked = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(new)], "doc_id long, text string, lang string")
+    assert [(r.lang_pred, r.score > 0.99) for r in language.predict(asked, model).orderBy("doc_id").collect()] == [(lang, True) for _, lang in new]
+
+    one, was = language.STRINGS_AT_ONCE, language.counts(frame, model.table, 32).toPandas().sort_values(["lang", "code"])
+    language.STRINGS_AT_ONCE = 50  # handed on many times
+    try:
+        again = language.counts(frame, model.table, 32).toPandas().sort_values(["lang", "code"])
+    finally:
+        language.STRINGS_AT_ONCE = one
+    want = {}
+    for t, lang in rows:
+        b = b"   " + bytes(x + 32 if 65 <= x <= 90 else x for x in t.encode())
+        for k in range(len(b) - 3):
+            key = lang, int.from_bytes(b[k : k + 4], "big")
+            want[key] = want.get(key, 0) + 1
+    for found in (was, again):
+        assert dict(zip(zip(found["lang"], found["code"], strict=True), found["n"], strict=True)) == want
+
+
 def test_language_held_out(spark, odd):
     sf = "/root/testdata/sf0.01"
     known = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}

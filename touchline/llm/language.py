@@ -2,20 +2,23 @@
 
 Every language owns a context tree of depth ``ORDER``: how often a symbol
 followed each of the last three, two, one and zero symbols. Symbols are bytes
-with A-Z lower-cased; the 63 most frequent of the training texts stand for
-themselves, the others share one symbol and are told apart at a uniform cost.
+with A-Z lower-cased; every byte value of the training texts stands for itself,
+of whatever language or script. The values that no training text has, so that
+no tree can tell them apart, share one symbol and are told apart at a uniform cost.
 In the deepest context that the language has seen, a symbol seen there costs
 -log2(c / (T + d)), c its count, T the total and d the number of different
 symbols; else an escape -log2(d / (T + d)) is paid and the context gets
-shorter, down to a uniform choice. Contexts never seen cost nothing to leave.
+shorter, down to a uniform choice among 64, 128 or 256 symbols, whichever
+first holds all. Contexts never seen cost nothing to leave.
 The costs are exact sums of these, no symbol is skipped, and scoring does not
 change the statistics. A text belongs to the language with the shortest code;
 its score is that language's share in the posterior with equal priors.
 
 As the statistics are frozen, the code length of a symbol depends on four
-symbols alone, so all costs are tabulated once: 64^2 and 64^3 cells per
-language for the shorter contexts, and one row for each of the at most 64^4
-four-symbol strings seen. The model's size is bounded by that, not by the data.
+symbols alone, so all costs are tabulated once: dense for contexts of at most
+one symbol, and sorted tables with one row for each string of three or four
+symbols seen. The model grows with the different strings of four bytes that the
+texts hold and the number of languages, not with the number of texts.
 
 A text that is null or has no letter is ``und`` with score 0; ties go to the
 smaller name. Rows are judged one by one: repeated rows alike, an empty table
@@ -35,110 +38,124 @@ from pyspark.sql.types import DoubleType, StringType, StructField
 
 from .common import append_columns, held_out, text_chunks
 
-SYMBOLS = 64
-OTHER = SYMBOLS - 1
+SYMBOLS = 256
+OTHER = SYMBOLS - 1  # no byte of UTF-8
+LEAST_UNIFORM = 6  # bits of the uniform choice at least
+PAD = 32  # stands before every text
 ORDER = 3
 LETTER = re.compile(r"[^\W\d_]")
-LANGUAGES_AT_ONCE = 8  # dense count arrays that a task keeps before it hands them on
+STRINGS_AT_ONCE = 1 << 20  # counted strings that a task keeps before it hands them on
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
 def alphabet(docs: DataFrame) -> np.ndarray:
-    """Symbol of each byte, by byte counts over all texts of ``docs``."""
+    """Symbol of each byte: itself if any text of ``docs`` has it."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(256, np.int64)
         for b in batches:
             for _, _, data, _ in text_chunks(b.column(0)):
                 total += np.bincount(_LOWER[data], minlength=256)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], names=["byte", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total), pa.int32())], names=["byte"])
 
-    found = docs.select("text").mapInArrow(count, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()  # at most 256 rows
+    found = docs.select("text").mapInArrow(count, "byte int").distinct().collect()  # at most 256 rows
     table = np.full(256, OTHER, np.uint8)
-    for place, row in enumerate(sorted(found, key=lambda r: (-r["n"], r["byte"]))[:OTHER]):
-        table[row["byte"]] = place
+    for byte in {PAD, *(row["byte"] for row in found)}:
+        table[byte] = byte
     table[65:91] = table[97:123]
     return table
 
 
 def codes(symbols: np.ndarray, offsets: np.ndarray, pad: int) -> np.ndarray:
     """The last four symbols up to each place as one number; ``pad`` stands before every text."""
-    s = np.concatenate([np.full(ORDER, pad, np.uint8), symbols]).astype(np.int32)
+    s = np.concatenate([np.full(ORDER, pad, np.uint8), symbols]).astype(np.uint32)
     n = len(symbols)
-    out = (s[:n] << 18) | (s[1 : n + 1] << 12) | (s[2 : n + 2] << 6) | s[3 : n + 3]
+    out = (s[:n] << 24) | (s[1 : n + 1] << 16) | (s[2 : n + 2] << 8) | s[3 : n + 3]
     starts = np.unique(offsets[:-1][np.diff(offsets) > 0])
     lengths = offsets[np.searchsorted(offsets, starts, "right")] - starts
     for k in range(ORDER):  # places whose context reaches over the start of the text
         at = starts[lengths > k] + k
-        own = out[at] & ((1 << (6 * (k + 1))) - 1)
-        before = sum(pad << (6 * j) for j in range(k + 1, ORDER + 1))
+        own = out[at] & ((1 << (8 * (k + 1))) - 1)
+        before = sum(pad << (8 * j) for j in range(k + 1, ORDER + 1))
         out[at] = own | before
     return out
 
 
+def added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys, sorted, and the sum of ``n`` of each."""
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+
 def counts(docs: DataFrame, table: np.ndarray, pad: int) -> DataFrame:
     """(lang, code, n): four-symbol strings of all texts, added up inside tasks first."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[str, np.ndarray] = {}
+        names: dict[str, int] = {}
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # keys are the place of the language and the code, with counts
+        size = 0
 
-        def hand_on() -> Iterator[pa.RecordBatch]:
-            for lang in sorted(own):
-                used = np.flatnonzero(own[lang])
-                for i in range(0, len(used), 1 << 16):
-                    part = used[i : i + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(part, pa.int32()), pa.array(own[lang][part], pa.int64())], names=["lang", "code", "n"])
-            own.clear()
+        def hand_on(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            langs = pa.array(list(names), pa.string())
+            for i in range(0, len(keys), 1 << 16):
+                part = keys[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([langs.take(pa.array(part >> 32)), pa.array(part & 0xFFFFFFFF), pa.array(n[i : i + (1 << 16)])], names=["lang", "code", "n"])
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            return added(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))
 
         for b in batches:
             langs = np.array(b.column(1).to_pylist(), object)
             for lang in sorted(set(langs)):
-                mine = b.column(0).filter(pa.array(langs == lang))
-                if lang not in own and len(own) == LANGUAGES_AT_ONCE:
-                    yield from hand_on()
-                total = own.setdefault(lang, np.zeros(SYMBOLS ** (ORDER + 1), np.int32))
-                for _, _, data, offsets in text_chunks(mine):
+                place = names.setdefault(lang, len(names))
+                for _, _, data, offsets in text_chunks(b.column(0).filter(pa.array(langs == lang))):
                     found, n = np.unique(codes(table[data], offsets, pad), return_counts=True)
-                    total[found] += n.astype(np.int32)
-        yield from hand_on()
+                    held.append((found.astype(np.int64) | (place << 32), n.astype(np.int64)))
+                    size += len(found)
+                    if size > 2 * STRINGS_AT_ONCE:
+                        held = [merged()]
+                        size = len(held[0][0])
+                        if size > STRINGS_AT_ONCE:
+                            yield from hand_on(*held.pop())
+                            size = 0
+        if held:
+            yield from hand_on(*merged())
 
-    return docs.select("text", "lang").mapInArrow(count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    return docs.select("text", "lang").mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
 class Model:
-    """Cost tables in bits of all languages."""
+    """Cost tables in bits of all languages; ``code`` holds four symbols, ``lang`` the place in ``langs``."""
 
     def __init__(self, table: np.ndarray, pad: int, langs: list[str], lang: np.ndarray, code: np.ndarray, n: np.ndarray) -> None:
         self.table, self.pad, self.langs = table, pad, langs
-        k = len(langs)
-        self.known = np.unique(code)  # sorted four-symbol strings, a row each
-        self.slot = np.full(SYMBOLS**4, -1, np.int32)
-        self.slot[self.known] = np.arange(len(self.known))
-        self.shorter = np.zeros((k, SYMBOLS**3), np.float32)  # cost with at most two symbols of context
-        self.escape = np.zeros((k, SYMBOLS**3), np.float32)  # cost of leaving the context of three symbols
+        k, own = len(langs), len(set(table.tolist()) - {OTHER})
+        self.known = np.unique(code.astype(np.uint32))  # sorted strings of four symbols, a row each
+        self.known3 = np.unique(self.known & 0xFFFFFF)  # of three
+        self.contexts = np.unique(self.known >> 8)  # contexts of three
+        self.shorter = np.zeros((k, SYMBOLS**2), np.float32)  # cost with at most one symbol of context
+        self.escape2 = np.zeros((k, SYMBOLS**2), np.float32)  # cost of leaving the context of two symbols
+        self.cost3 = np.zeros((k, len(self.known3)), np.float32)
+        self.escape3 = np.zeros((k, len(self.contexts) + 1), np.float32)  # the last is that of contexts never seen
         self.full = np.zeros((k, len(self.known)), np.float32)
-        others = 256 - len(set(table.tolist()) - {OTHER})
+        uniform = np.full(SYMBOLS, max(LEAST_UNIFORM, np.ceil(np.log2(own + 1))), float)
+        uniform[OTHER] += np.log2(max(256 - own, 1))
         for i in range(k):
-            own = lang == i
-            cost = np.full(SYMBOLS, np.log2(SYMBOLS))
-            full_counts = np.bincount(code[own] & (SYMBOLS - 1), weights=n[own], minlength=SYMBOLS)
-            cost, _ = self._deeper(full_counts[None, :], cost[None, :])
-            for depth in (1, 2):
-                cells = np.bincount(code[own] & (SYMBOLS ** (depth + 1) - 1), weights=n[own], minlength=SYMBOLS ** (depth + 1))
-                below = np.broadcast_to(cost, (SYMBOLS**depth // cost.shape[0],) + cost.shape).reshape(SYMBOLS**depth, SYMBOLS)
-                cost, _ = self._deeper(cells.reshape(-1, SYMBOLS), below)
-            extra = np.zeros(SYMBOLS)
-            extra[OTHER] = np.log2(max(others, 1))
-            self.shorter[i] = (cost + extra).reshape(-1)
-            context, c = code[own] >> 6, n[own].astype(float)
-            total = np.bincount(context, weights=c, minlength=SYMBOLS**3)
-            kinds = np.bincount(context, minlength=SYMBOLS**3)
-            seen = total > 0
-            self.escape[i][seen] = -np.log2(kinds[seen] / (total[seen] + kinds[seen]))
-            self.full[i] = self.escape[i][self.known >> 6] + self.shorter[i][self.known & (SYMBOLS**3 - 1)]
-            at = np.searchsorted(self.known, code[own])
-            self.full[i][at] = -np.log2(c / (total[context] + kinds[context])) + extra[code[own] & (SYMBOLS - 1)]
+            mine = lang == i
+            code4, n4 = code[mine].astype(np.uint32), n[mine].astype(float)
+            cost, _ = self._deeper(np.bincount(code4 & 0xFF, weights=n4, minlength=SYMBOLS)[None, :], uniform[None, :])
+            cells = np.bincount(code4 & 0xFFFF, weights=n4, minlength=SYMBOLS**2).reshape(-1, SYMBOLS)
+            cost, _ = self._deeper(cells, np.broadcast_to(cost, cells.shape))
+            self.shorter[i] = cost.reshape(-1)
+            code3, n3 = added(code4 & 0xFFFFFF, n4)
+            spent, self.escape2[i] = self._sparse(code3, n3, np.arange(SYMBOLS**2))
+            self.cost3[i] = self.escape2[i][self.known3 >> 8] + self.shorter[i][self.known3 & 0xFFFF]
+            self.cost3[i][np.searchsorted(self.known3, code3)] = spent
+            spent, self.escape3[i, :-1] = self._sparse(code4, n4, self.contexts)
+            self.full[i] = self.escape3[i][np.searchsorted(self.contexts, self.known >> 8)] + self.cost3[i][np.searchsorted(self.known3, self.known & 0xFFFFFF)]
+            self.full[i][np.searchsorted(self.known, code4)] = spent
 
     @staticmethod
     def _deeper(cells: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,23 +164,44 @@ class Model:
             escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
             return np.where(cells > 0, -np.log2(cells / (total + kinds)), escape + below), escape
 
+    @staticmethod
+    def _sparse(code: np.ndarray, n: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cost of each different string seen, and of leaving each of the sorted contexts."""
+        at = np.searchsorted(contexts, code >> 8)
+        total, kinds = np.bincount(at, weights=n, minlength=len(contexts)), np.bincount(at, minlength=len(contexts))
+        escape = np.zeros(len(contexts))
+        seen = total > 0
+        escape[seen] = -np.log2(kinds[seen] / (total[seen] + kinds[seen]))
+        return -np.log2(n / (total[at] + kinds[at])), escape
+
+    @staticmethod
+    def _places(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row of each wanted string in a sorted table, and whether it is there."""
+        at = np.minimum(np.searchsorted(known, wanted), max(len(known) - 1, 0))
+        return at, known[at] == wanted if len(known) else np.zeros(len(wanted), bool)
+
     def lengths(self, array: pa.Array) -> np.ndarray:
         """Code length in bits of every text under every language."""
         out = np.zeros((len(array), len(self.langs)))
         for first, end, data, offsets in text_chunks(array):
-            if not len(data):
+            if not len(data) or not len(self.known):
                 continue
             code = codes(self.table[data], offsets, self.pad)
-            slot = self.slot[code]
-            code &= SYMBOLS**3 - 1
-            missing = np.flatnonzero(slot < 0)
-            context = np.empty(0, np.int32)
-            if len(missing):
-                context = codes(self.table[data], offsets, self.pad)[missing] >> 6
+            slot, there = self._places(self.known, code)
+            missing = np.flatnonzero(~there)
+            code = code[missing]
+            context, there = self._places(self.contexts, code >> 8)
+            context[~there] = len(self.contexts)
+            code &= 0xFFFFFF
+            slot3, there = self._places(self.known3, code)
+            short = np.flatnonzero(~there)
+            code = code[short]
             full = np.flatnonzero(np.diff(offsets) > 0)
             for i in range(len(self.langs)):
+                less = self.cost3[i][slot3]
+                less[short] = self.escape2[i][code >> 8] + self.shorter[i][code & 0xFFFF]
                 cost = self.full[i][slot]
-                cost[missing] = self.escape[i][context] + self.shorter[i][code[missing]]
+                cost[missing] = self.escape3[i][context] + less
                 out[first + full, i] = np.add.reduceat(cost, offsets[full], dtype=np.float64)
         return out
 
@@ -172,11 +210,13 @@ def fit(docs: DataFrame, parts: int = 4, part: int = 2) -> Model:
     """Trees of all rows with a language outside fold ``part`` of ``parts``; null texts count as empty."""
     rows = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), parts, part))
     table = alphabet(rows)
-    pad = int(table[32])
-    found = counts(rows, table, pad).toPandas()  # at most 64^4 strings per language
-    langs = sorted(set(found["lang"]))
-    place = found["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(np.int64) if len(found) else np.zeros(0, np.int64)
-    return Model(table, pad, langs, place, found["code"].to_numpy(np.int64), found["n"].to_numpy(np.int64))
+    found = counts(rows, table, PAD).toArrow()  # a row for each different string of a language
+    names = found.column("lang").combine_chunks().dictionary_encode()
+    langs = sorted(names.dictionary.to_pylist())
+    rank = np.array([langs.index(x) for x in names.dictionary.to_pylist()], np.int64)
+    code, n = (found.column(x).to_numpy() for x in ("code", "n"))
+    order = np.argsort(code, kind="stable")
+    return Model(table, PAD, langs, rank[names.indices.to_numpy()][order], code[order], n[order])
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
