@@ -222,3 +222,22 @@ def test_predictor_rules():
     kinds = {"home_event_goals_roll5": "double", "home_score": "bigint", "home_team": "string"}
     got = Q.predictor_rules(list(kinds), ["home_score"], ["_roll", "_expanding"], kinds)
     assert ("home_score", "forbidden") in got and ("home_team", "not numeric") in got and not any(c.startswith("home_event") for c, _ in got)
+
+
+def test_whole_tables_and_reference_draws(spark, sf):
+    import glob
+    import os
+
+    import pyarrow.parquet as pq
+    import __spark_entry__ as entry
+
+    queries = entry.queries()
+    rows = {os.path.basename(f)[:-8]: pq.read_metadata(f).num_rows for f in glob.glob(f"{sf}/*.parquet")}
+    assert {r.table_name: r.rows for r in queries["table_manifest_all"](spark, sf).collect()} == rows
+    seasons = queries["union_all_seasons"](spark, sf)
+    assert seasons.count() == seasons.where(F.col("first_score").isNotNull() | F.col("second_score").isNotNull()).count() == rows["orders"]
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    assert queries["selection_stability_all"](spark, sf).count() == part.select("p_type").distinct().count()
+    assert queries["concept_rollup_all"](spark, sf).agg(F.sum("features")).first()[0] == part.select("p_type").distinct().count()
+    for name in ("bootstrap_ci_2000", "paired_loss_difference_2000"):
+        assert {r.draws for r in queries[name](spark, sf).collect()} == {2000}

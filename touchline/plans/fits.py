@@ -147,6 +147,22 @@ def histogram_boosting(spark, sf_dir):
     return final(m.transform(df).select("row_id", "prediction"), 6)
 
 
+# The same forests at the size of the reference.
+
+
+@query("random_forest_classifier_200")
+def random_forest_classifier_200(spark, sf_dir):
+    df = items(spark, sf_dir)
+    m = TR.random_forest_classifier(df, X, "y", trees=200)
+    return final(m.transform(df, ("p_A", "p_D", "p_H")).select("row_id", "p_A", "p_D", "p_H"), 6)
+
+
+@query("random_forest_regressor_200")
+def random_forest_regressor_200(spark, sf_dir):
+    df = items(spark, sf_dir)
+    return final(TR.random_forest_regressor(df, X, "price", trees=200).transform(df).select("row_id", "prediction"), 6)
+
+
 @query("rbf_ridge")
 def rbf_ridge(spark, sf_dir):
     df = items(spark, sf_dir)

@@ -203,6 +203,15 @@ def bootstrap_ci(spark, sf_dir):
     return final(B.bootstrap_ci(losses(spark, sf_dir), "rps", "match_id", ["model"], draws=500))
 
 
+@query("bootstrap_ci_2000", f"""
+SELECT x.model, x.rows, round(x.mean, 9) AS mean, y.draws, round(y.lo, 9) AS ci_lower, round(y.hi, 9) AS ci_upper
+FROM (SELECT model, count(*) AS rows, avg(v) AS mean FROM src GROUP BY 1) x JOIN (
+  SELECT model, count(statistic) AS draws, quantile_cont(statistic, 0.025) AS lo, quantile_cont(statistic, 0.975) AS hi FROM st GROUP BY 1) y USING (model)""",
+       "m", boot(ROWS_SRC, 2000, "model"))
+def bootstrap_ci_2000(spark, sf_dir):
+    return final(B.bootstrap_ci(losses(spark, sf_dir), "rps", "match_id", ["model"], draws=2000))
+
+
 @query("group_bootstrap_ci", f"""
 SELECT x.model, x.clusters, round(x.mean, 9) AS mean, y.draws, round(y.lo, 9) AS ci_lower, round(y.hi, 9) AS ci_upper
 FROM (SELECT model, count(*) AS clusters, sum(v) / sum(n) AS mean FROM src GROUP BY 1) x JOIN (
@@ -223,8 +232,21 @@ FROM (SELECT model, count(*) AS rows, avg(v) AS mean FROM src GROUP BY 1) x JOIN
   SELECT model, count(statistic) AS draws, quantile_cont(statistic, 0.025) AS lo, quantile_cont(statistic, 0.975) AS hi FROM st GROUP BY 1) y USING (model)""",
        "m", boot(PAIRED_SRC, 500, "model"))
 def paired_loss_difference(spark, sf_dir):
+    return _paired(spark, sf_dir, 500)
+
+
+@query("paired_loss_difference_2000", f"""
+SELECT x.model, x.rows, round(x.mean, 9) AS mean, y.draws, round(y.lo, 9) AS ci_lower, round(y.hi, 9) AS ci_upper
+FROM (SELECT model, count(*) AS rows, avg(v) AS mean FROM src GROUP BY 1) x JOIN (
+  SELECT model, count(statistic) AS draws, quantile_cont(statistic, 0.025) AS lo, quantile_cont(statistic, 0.975) AS hi FROM st GROUP BY 1) y USING (model)""",
+       "m", boot(PAIRED_SRC, 2000, "model"))
+def paired_loss_difference_2000(spark, sf_dir):
+    return _paired(spark, sf_dir, 2000)
+
+
+def _paired(spark, sf_dir, draws):
     diff = SC.paired_loss_difference(losses(spark, sf_dir), "market", ["match_id"]).where(F.col("model") != "market")
-    return final(B.bootstrap_ci(diff.select("model", "match_id", "difference"), "difference", "match_id", ["model"], draws=500))
+    return final(B.bootstrap_ci(diff.select("model", "match_id", "difference"), "difference", "match_id", ["model"], draws=draws))
 
 
 # -- folds and selection ---------------------------------------------------------
@@ -284,8 +306,22 @@ def selection_stability(spark, sf_dir):
     return final(_stability(spark, sf_dir)).withColumn("mean_importance", F.round("mean_importance", 6))
 
 
+ALL_STABLE_SQL = "SELECT p_type AS feature, p_size % 4 AS fold, p_retailprice AS importance FROM part"
+
+
+@query("selection_stability_all", """
+SELECT feature, count(*) AS folds_selected, round(avg(i), 6) AS mean_importance, round(count(*) / 4.0::DOUBLE, 9) AS selection_rate
+FROM (SELECT feature, fold, sum(importance) AS i FROM s GROUP BY 1, 2) GROUP BY 1""", extra={"s": ALL_STABLE_SQL})
+def selection_stability_all(spark, sf_dir):
+    """Every row of the table."""
+    return final(_stable(A.table(spark, sf_dir, "part"))).withColumn("mean_importance", F.round("mean_importance", 6))
+
+
 def _stability(spark, sf_dir):
-    t = A.table(spark, sf_dir, "part").where(F.col("p_size") % 5 != 0)
+    return _stable(A.table(spark, sf_dir, "part").where(F.col("p_size") % 5 != 0))
+
+
+def _stable(t):
     return SC.selection_stability(t.select(F.col("p_type").alias("feature"), (F.col("p_size") % 4).alias("fold"), F.col("p_retailprice").alias("importance")), 4)
 
 
@@ -298,6 +334,15 @@ def concept_rollup(spark, sf_dir):
     return final(df).withColumn("importance", F.round("importance", 4))
 
 
+@query("concept_rollup_all", """
+SELECT concept, count(*) AS features, round(sum(mi), 4) AS importance, round(avg(sr), 9) AS mean_selection_rate FROM (
+  SELECT feature, CASE WHEN contains(lower(feature), 'promo') THEN 'offer' WHEN contains(lower(feature), 'standard') THEN 'plain' ELSE 'other' END AS concept,
+    avg(i) AS mi, count(*) / 4.0::DOUBLE AS sr FROM (SELECT feature, fold, sum(importance) AS i FROM s GROUP BY 1, 2) GROUP BY 1) GROUP BY 1""", extra={"s": ALL_STABLE_SQL})
+def concept_rollup_all(spark, sf_dir):
+    df = SC.concept_rollup(_stable(A.table(spark, sf_dir, "part")), (("promo", "offer"), ("standard", "plain")))
+    return final(df).withColumn("importance", F.round("importance", 4))
+
+
 @query("attach_targets", """
 SELECT match_id, split_role, outcome, CAST(goal_margin AS BIGINT) AS goal_margin FROM r WHERE split_role <> 'final_test'""", "m", {"k": MARKET_SQL, "r": ROLE_SQL})
 def attach_targets(spark, sf_dir):

@@ -136,6 +136,19 @@ def union_seasons(spark, sf_dir):
     return TB.union_seasons([one, two])
 
 
+@query("union_all_seasons", """
+SELECT match_id, CASE WHEN CAST(season_name AS BIGINT) % 2 = 1 THEN CAST(home_score AS DOUBLE) END AS first_score,
+  CASE WHEN CAST(season_name AS BIGINT) % 2 = 0 THEN CAST(away_score AS DOUBLE) END AS second_score
+FROM m""", "m")
+def union_all_seasons(spark, sf_dir):
+    """Every season, odd years with one set of columns and even years with the other."""
+    m = A.matches(spark, sf_dir)
+    odd = F.col("season_name").cast("long") % 2 == 1
+    one = m.where(odd).select("match_id", F.col("home_score").cast("double").alias("first_score"))
+    two = m.where(~odd).select("match_id", F.col("away_score").cast("double").alias("second_score"))
+    return TB.union_seasons([one, two])
+
+
 LOG_SQL = """
 SELECT coalesce(a.match_id, b.match_id) AS match_id,
   CASE WHEN a.match_id IS NULL THEN 'unexpected' WHEN b.n IS NULL THEN 'failed' ELSE 'success' END AS status, coalesce(b.n, 0) AS events
@@ -168,6 +181,16 @@ def table_manifest(spark, sf_dir):
     return TB.table_manifest({n: A.table(spark, sf_dir, n) for n in names})
 
 
+ALL_TABLES = ("benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "pages", "part",
+              "region", "supplier")
+
+
+@query("table_manifest_all")
+def table_manifest_all(spark, sf_dir):
+    """The manifest of every table."""
+    return TB.table_manifest({n: A.table(spark, sf_dir, n) for n in ALL_TABLES})
+
+
 # -- joins and set operations --------------------------------------------------
 
 ODDS_SQL = "SELECT clean_date, home_team, away_team, b365h FROM m WHERE match_id % 7 <> 0"
