@@ -63,6 +63,19 @@ def test_tree_sum_equals_brute_force(spark):
     np.testing.assert_allclose(got, pred, atol=1e-9)
 
 
+def test_tree_sum_of_wide_features_equals_brute_force(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(900, 2))  # 900 different values per feature, more than max_bins
+    x[:, 1] = np.round(x[:, 1], 2)
+    y = (x[:, 0] > 0.1234) * 2.0 + (x[:, 0] > 0.9) * (x[:, 1] > -0.4) * 3.0 + rng.normal(0, 0.05, 900)
+    df = frame(spark, x, y=y)
+    want, pred = brute_force_sum(x, y, 4)
+    for bins in (256, 16):
+        m = FG.figs_regressor(df, ["x0", "x1"], "y", max_rules=4, max_bins=bins)
+        assert [(h["tree"], int(h["feature"][1]), round(h["threshold"], 9), round(h["gain"], 6)) for h in m.history] == want
+        np.testing.assert_allclose(m.predict(df).orderBy("id").toPandas()["prediction"], pred, atol=1e-9)
+
+
 def test_toy_uses_three_features(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(2000, 3))
