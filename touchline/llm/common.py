@@ -168,5 +168,27 @@ def presence_rows(array: pa.Array, features: Callable, bits: int, live: np.ndarr
     return np.concatenate(rows), np.concatenate(index)
 
 
+class ByteCache(dict):
+    """Values by text in two generations of about ``limit`` bytes each."""
+
+    ENTRY = 200  # bytes that an entry takes besides its text and value
+
+    def __init__(self, make: Callable[[str], bytes], limit: int) -> None:
+        super().__init__()
+        self.make, self.limit, self.held, self.old = make, limit, 0, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= 64:
+            self.held += self.ENTRY + len(key) + len(value)
+            if self.held > self.limit:
+                self.old, self.held = dict(self), 0
+                self.clear()
+            self[key] = value
+        return value
+
+
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))

@@ -10,17 +10,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, exhaustive, jaccard, language, mixing, packing, permutation, quality, toxicity, urls
+from . import chat, exhaustive, jaccard, language, mixing, packing, permutation, quality, tokenfiles, toxicity, urls
 from .common import held_out, read
 
 THRESHOLD = 0.3
 RULES: list[urls.Rule] = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
-def tokenizer() -> str:
+def tokenizer(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +87,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_total").alias("source_size"), F.round("mix_target", 6).alias("target"), taken.alias("taken"))
 
 
+def op13_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = tokenfiles.new_folder(spark)
+    tokenfiles.write(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), folder)
+    return tokenfiles.read(spark, folder)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -95,7 +101,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack, "op2_toxicity": op2_toxicity, "op3_quality": op3_quality, "op4_urls": op4_urls, "op5_permutation": op5_permutation,
-    "op6_topk": op6_topk, "op7_language": op7_language, "op8_jaccard": op8_jaccard, "op9_chat": op9_chat, "op10_mixing": op10_mixing, "pipeline": pipeline,
+    "op6_topk": op6_topk, "op7_language": op7_language, "op8_jaccard": op8_jaccard, "op9_chat": op9_chat, "op10_mixing": op10_mixing,
+    "op13_tokenfiles": op13_tokenfiles, "pipeline": pipeline,
 }
 
 
