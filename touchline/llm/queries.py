@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, exhaustive, jaccard, language, mixing, packing, permutation, quality, tokenfiles, toxicity, urls
+from . import chat, exhaustive, jaccard, language, mixing, packing, permutation, quality, signatures, spelling, tokenfiles, toxicity, urls
 from .common import held_out, read
 
 THRESHOLD = 0.3
@@ -87,6 +87,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_total").alias("source_size"), F.round("mix_target", 6).alias("target"), taken.alias("taken"))
 
 
+def _damaged(runs: DataFrame) -> DataFrame:
+    """Runs as words; where 199 divides the crc32 of id and run, one code point is missing."""
+    name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "run")
+    told = runs.withColumn("h", F.crc32(name.cast("binary")))
+    at = (F.col("h") % F.length("run")).cast("int")
+    cut = F.concat(F.substr("run", F.lit(1), at), F.substr("run", at + 2))
+    return told.select(F.when(F.col("h") % 199 == 0, cut).otherwise(F.col("run")).alias("word"))
+
+
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _damaged(spelling.long_runs(read(spark, sf_dir, "documents"), 6))
+    return spelling.variants(spelling.vocabulary(words, 6, 5))
+
+
+def op12_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signatures.top_k(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), 20)
+
+
 def op13_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = tokenfiles.new_folder(spark)
     tokenfiles.write(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), folder)
@@ -102,7 +120,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack, "op2_toxicity": op2_toxicity, "op3_quality": op3_quality, "op4_urls": op4_urls, "op5_permutation": op5_permutation,
     "op6_topk": op6_topk, "op7_language": op7_language, "op8_jaccard": op8_jaccard, "op9_chat": op9_chat, "op10_mixing": op10_mixing,
-    "op13_tokenfiles": op13_tokenfiles, "pipeline": pipeline,
+    "op11_spelling": op11_spelling, "op12_signatures": op12_signatures, "op13_tokenfiles": op13_tokenfiles, "pipeline": pipeline,
 }
 
 
@@ -143,6 +161,33 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(3 + sum(6 + length(role) + 7 + length(text) + 4 + marks) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id""",
+    # crc32 byte by byte with a table made here; the code points are below 256, so they take one or two bytes
+    "op11_spelling": r"""WITH RECURSIVE z AS (SELECT [list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) FOR i IN range(256)] AS t),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]{6,}')) AS run FROM documents),
+g AS (SELECT doc_id, run, count(*) AS times, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS s FROM r GROUP BY ALL),
+y AS (SELECT run, times, flatten([CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [CAST(192 + (unicode(x) >> 6) AS BIGINT), CAST(128 + (unicode(x) & 63) AS BIGINT)] END FOR x IN string_split(s, '')]) AS b FROM g),
+h AS (SELECT run, times, xor(list_reduce(list_prepend(4294967295, b), lambda c, k: xor(c >> 8, t[CAST(xor(c, k) & 255 AS INTEGER) + 1])), 4294967295) AS h FROM y, z),
+d AS (SELECT times, CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word FROM h),
+v AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM d WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+x AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (SELECT a.word, b.word AS other, b.n AS other_n FROM x a JOIN x b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+  UNION SELECT x.word, v.word, v.n FROM x JOIN v ON v.word = x.cut UNION SELECT v.word, x.word, x.n FROM x JOIN v ON v.word = x.cut),
+o AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS k, count(*) OVER (PARTITION BY word) AS n_near FROM p),
+f AS (SELECT v.word, v.n, coalesce(o.n_near, 0) AS n_near, CASE WHEN other_n >= 5 * v.n THEN other END AS form, CASE WHEN other_n >= 5 * v.n THEN other_n END AS form_n
+  FROM v LEFT JOIN o ON o.word = v.word AND k = 1),
+c AS (SELECT word, word AS at, 0 AS hops FROM f UNION ALL SELECT c.word, f.form, hops + 1 FROM c JOIN f ON f.word = c.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, (SELECT arg_max(c.at, c.hops) FROM c WHERE c.word = f.word) AS root, f.n, f.n_near, f.form_n FROM f""",
+    "op12_signatures": r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+n AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM c GROUP BY doc_id),
+s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM n),
+m AS (SELECT doc_id, 75 + (25 * n * docs) // total AS m FROM n, s),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+f AS (SELECT term, count(*) AS df FROM c GROUP BY term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM f, s),
+r AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN c USING (term) JOIN m USING (doc_id) GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 20""",
     "op10_mixing": r"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
   CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 5) AS BIGINT) AS u FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
