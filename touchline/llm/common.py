@@ -8,6 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -22,18 +23,43 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame, options: dict | None = None) -> DataFrame:
+def saved(df: DataFrame, options: dict | None = None, folder: str | None = None) -> DataFrame:
     """A written copy in the shared folder.
 
     It cuts the lineage, outlives lost executors, and gives later joins the true
     size of the table, so Spark broadcasts it only if it is small.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    path = f"{folder or shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def filesystem(folder: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system and the path in it of a folder's name as Spark writes it."""
+    if folder.startswith("file:") and not folder.startswith("file://"):
+        folder = "file://" + folder.removeprefix("file:")
+    return pa.fs.FileSystem.from_uri(folder)
+
+
+class Scratch:
+    """Written copies of intermediate tables, dropped together once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+    def saved(self, df: DataFrame) -> DataFrame:
+        return saved(df, folder=self.folder)
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """A copy of ``df`` that stays; all others go."""
+        out = saved(df)
+        fs, path = filesystem(self.folder)
+        if fs.get_file_info(path).type != pa.fs.FileType.NotFound:
+            fs.delete_dir(path)
+        return out
+
+
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
     """Whether crc32(doc_id as text) mod parts is ``part``; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))

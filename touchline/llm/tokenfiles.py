@@ -7,8 +7,9 @@ two columns without nulls:
 
 - ``ids``: fixed-size lists of ``LENGTH`` unsigned ids (16 bits if the
   vocabulary allows it, else 32);
-- ``mask``: fixed-size lists of as many bytes: ``TOKEN``, ``LAST`` (the end id of
-  a document) or ``PADDING`` (behind the last document of the shard).
+- ``mask``: fixed-size lists of as many bits: false for padding, which only
+  stands behind the last document of a shard;
+- ``last``: bits that are true for the end id of each document.
 
 All batches of a file but the last hold ``ROWS`` sequences and so take the same
 number of bytes; the place of any batch follows from the first one, and a mapped
@@ -26,6 +27,7 @@ Files are written with ``pyarrow.fs`` to any folder that it and all executors re
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -38,18 +40,31 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from touchline.session import shared_folder
 
-from .common import ByteCache
+from .common import ByteCache, filesystem
 
 LENGTH = 2048  # ids of a sequence
 ROWS = 64  # sequences of a batch
 SHARD_CHARS = 24 << 20  # characters of text per shard, on average
 END_ID = 0
-PADDING, TOKEN, LAST = 0, 1, 2
 CACHE_BYTES = 40 << 20  # of a generation of a worker's cache
 
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-PIECES = regex.compile(rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-COMMON = regex.compile("[\x00-\u02ff\u0400-\u045f\u2010-\u2027]*")  # characters of long standing; others may be classed anew
+
+
+def _class(kind: str) -> str:
+    """The Latin characters of a Unicode class, for patterns of ``re``."""
+    found = [c for c in range(0x250) if regex.match(rf"\p{{{kind}}}", chr(c))]
+    first = [c for c in found if c - 1 not in found]
+    last = [c for c in found if c + 1 not in found]
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(first, last, strict=True))
+
+
+def _pattern(letters: str, digits: str) -> str:
+    return rf"'(?:[sdmt]|ll|ve|re)| ?[{letters}]+| ?[{digits}]+| ?[^{SPACE}{letters}{digits}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+
+
+LATIN, COMMON = re.compile("[\x00-\u024f]*"), regex.compile("[\x00-\u02ff\u0400-\u045f\u2010-\u2027]*")  # others may be classed anew some day
+PIECES, LATIN_PIECES = regex.compile(_pattern(r"\p{L}", r"\p{N}")), re.compile(_pattern(_class("L"), _class("N")))  # the second is faster
 
 
 class ByteEncoder:
@@ -79,10 +94,14 @@ class ByteEncoder:
         return self._packed([t.id for t in self.merge(piece.encode().decode("latin-1").translate(self.letters))])
 
     def encode(self, text: str) -> bytes:
-        if "<|" in text or not (text.isascii() or COMMON.fullmatch(text)):
+        if "<|" not in text and (text.isascii() or LATIN.fullmatch(text)):
+            pieces = LATIN_PIECES.findall(text)
+        elif "<|" not in text and COMMON.fullmatch(text):
+            pieces = PIECES.findall(text)
+        else:
             return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         known = self.by_piece
-        return b"".join([known[p] for p in PIECES.findall(text)])
+        return b"".join([known[p] for p in pieces])
 
 
 _ENCODERS: dict[str, ByteEncoder] = {}
@@ -94,13 +113,6 @@ def encoder(path: str) -> ByteEncoder:
     return _ENCODERS[path]
 
 
-def filesystem(folder: str) -> tuple[pa.fs.FileSystem, str]:
-    """The file system and the path in it of a folder's name as Spark writes it."""
-    if folder.startswith("file:") and not folder.startswith("file://"):
-        folder = "file://" + folder.removeprefix("file:")
-    return pa.fs.FileSystem.from_uri(folder)
-
-
 class _Writer:
     """The two files of one shard."""
 
@@ -110,44 +122,45 @@ class _Writer:
         self.name = f"{shard:07d}-{uuid.uuid4().hex}"
         self.kind, self.length, self.rows = kind, length, rows
         value = pa.from_numpy_dtype(kind)
-        self.schema = pa.schema([pa.field("ids", pa.list_(pa.field("item", value, False), length), False), pa.field("mask", pa.list_(pa.field("item", pa.uint8(), False), length), False)])
+        self.schema = pa.schema([(name, pa.list_(pa.field("item", of, False), length)) for name, of in (("ids", value), ("mask", pa.bool_()), ("last", pa.bool_()))])
+        self.schema = pa.schema([f.with_nullable(False) for f in self.schema])
         self.index_schema = pa.schema([("doc_id", id_type), ("start", pa.int64()), ("length", pa.int64())])
         self.streams = [self.fs.open_output_stream(f"{root}/{self.name}.{x}.arrows") for x in ("ids", "docs")]
         self.sequences, self.index = pa.ipc.new_stream(self.streams[0], self.schema), pa.ipc.new_stream(self.streams[1], self.index_schema)
-        self.waiting, self.mask, self.held = [], [], 0  # ids and masks not yet written
-        self.docs = self.ids = 0
+        self.waiting, self.held = [], 0  # ids not yet written
+        self.ends: list[np.ndarray] = []  # places of end ids since the last batch
+        self.docs = self.ids = self.written = 0
 
     def add(self, doc_ids: pa.Array, encoded: list[bytes]) -> None:
         size = np.array([len(x) // self.kind.itemsize for x in encoded], np.int64)
-        start = self.ids + np.append(0, np.cumsum(size)[:-1])
-        self.index.write_batch(pa.RecordBatch.from_arrays([doc_ids, pa.array(start), pa.array(size)], schema=self.index_schema))
+        ends = self.ids + np.cumsum(size)
+        self.index.write_batch(pa.RecordBatch.from_arrays([doc_ids, pa.array(ends - size), pa.array(size)], schema=self.index_schema))
         self.docs += len(encoded)
-        self.ids += int(size.sum())
-        for x, n in zip(encoded, size, strict=True):
-            mask = np.full(n, TOKEN, np.uint8)
-            mask[-1] = LAST
+        self.ids = int(ends[-1])
+        self.ends.append(ends - 1)
+        for x in encoded:
             self.waiting.append(x)
-            self.mask.append(mask)
-            self.held += int(n)
+            self.held += len(x) // self.kind.itemsize
             if self.held >= self.rows * self.length:
                 self._write(False)
 
     def _write(self, all_of_it: bool) -> None:
-        ids, mask = np.frombuffer(b"".join(self.waiting), self.kind), np.concatenate(self.mask)
-        step = self.rows * self.length
-        whole = len(ids) // step * step
-        for at in range(0, whole, step):
-            self._batch(ids[at : at + step], mask[at : at + step])
-        ids, mask = ids[whole:], mask[whole:]
-        if all_of_it and len(ids):
-            short = -len(ids) % self.length
-            self._batch(np.append(ids, np.zeros(short, self.kind)), np.append(mask, np.full(short, PADDING, np.uint8)))
-            ids, mask = ids[:0], mask[:0]
-        self.waiting, self.mask, self.held = [ids.tobytes()], [mask], len(ids)
-
-    def _batch(self, ids: np.ndarray, mask: np.ndarray) -> None:
-        columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), type=f.type) for x, f in zip((ids, mask), self.schema, strict=True)]
-        self.sequences.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
+        ids, ends, step = np.frombuffer(b"".join(self.waiting), self.kind), np.concatenate(self.ends), self.rows * self.length
+        stop = len(ids) if all_of_it else len(ids) // step * step
+        for at in range(0, stop, step):
+            part = ids[at : at + step]
+            last = ends[np.searchsorted(ends, self.written) : np.searchsorted(ends, self.written + len(part))] - self.written
+            self._batch(part, last)
+            self.written += len(part)
+        self.waiting, self.held, self.ends = [ids[stop:].tobytes()], len(ids) - stop, [ends[np.searchsorted(ends, self.written) :]]
+
+    def _batch(self, ids: np.ndarray, last: np.ndarray) -> None:
+        size = -(-len(ids) // self.length) * self.length
+        columns = np.zeros(size, self.kind), np.arange(size) < len(ids), np.zeros(size, bool)
+        columns[0][: len(ids)] = ids
+        columns[2][last] = True
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), type=f.type) for x, f in zip(columns, self.schema, strict=True)]
+        self.sequences.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
     def close(self) -> None:
         if self.held:
@@ -189,6 +202,10 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, le
     return spark.read.parquet(f"{folder}/shards")
 
 
+def flat_ids(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column(0).flatten().to_numpy(zero_copy_only=True)
+
+
 class Sequences:
     """Random access to the sequences of one file; local files are mapped, others read in ranges."""
 
@@ -206,16 +223,17 @@ class Sequences:
         self.source.seek(at)
         return pa.ipc.read_record_batch(pa.ipc.read_message(self.source), self.schema)
 
-    def batch(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and masks of batch k as arrays over the file's own bytes, one row per sequence."""
-        b = self._batch(self.first + k * self.step)
-        return tuple(c.flatten().to_numpy(zero_copy_only=True).reshape(len(b), self.length) for c in b.columns)
+    def batch(self, k: int) -> pa.RecordBatch:
+        """Batch k over the file's own bytes."""
+        return self._batch(self.first + k * self.step)
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        ids, mask = self.batch(i // self.rows)
-        return ids[i % self.rows], mask[i % self.rows]
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.Array]:
+        """Ids and mask of sequence i, without a copy."""
+        b, row = self.batch(i // self.rows), i % self.rows
+        mask = b.column(1).flatten().slice(row * self.length, self.length)
+        return flat_ids(b)[row * self.length : (row + 1) * self.length], mask
 
-    def batches(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def batches(self) -> Iterator[pa.RecordBatch]:
         k, size = 0, self.source.size()
         while self.first + k * self.step < size - 8:  # the end mark of a stream takes 8 bytes
             yield self.batch(k)
@@ -225,7 +243,7 @@ class Sequences:
         """The ids of a document, given its place in the file."""
         parts, step = [], self.rows * self.length
         for k in range(start // step, (start + n - 1) // step + 1):
-            flat = self.batch(k)[0].reshape(-1)
+            flat = flat_ids(self.batch(k))
             parts.append(flat[max(0, start - k * step) : start + n - k * step])
         return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
@@ -261,14 +279,15 @@ def read(spark: SparkSession, folder: str, id_type: str = "long") -> DataFrame:
 
 def _digests(folder: str, name: str, base: int) -> Iterator[pa.RecordBatch]:
     listed, done, size, crc = documents(folder, name), 0, 0, 0
-    for ids, mask in Sequences(folder, name).batches():
-        ids, mask = ids.reshape(-1).astype("<u4"), mask.reshape(-1)
+    for batch in Sequences(folder, name).batches():
+        ids = flat_ids(batch).astype("<u4")
+        mask, last = (c.flatten().to_numpy(zero_copy_only=False) for c in batch.columns[1:])
         sizes, crcs, at = [], [], 0
-        for end in np.flatnonzero(mask == LAST) + 1:
+        for end in np.flatnonzero(last) + 1:
             sizes.append(size + int(end) - at)
             crcs.append(zlib.crc32(ids[at:end], crc))
             at, size, crc = int(end), 0, 0
-        rest = int((mask[at:] != PADDING).sum())
+        rest = int(mask[at:].sum())
         size, crc = size + rest, zlib.crc32(ids[at : at + rest], crc)
         own = listed.slice(done, len(sizes))
         if own.column("length").to_pylist() != sizes:
