@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from .common import saved
@@ -19,7 +21,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("u") != F.col("v")).distinct()
 
 
-def components(links: DataFrame, a: str, b: str) -> DataFrame:
+def components(links: DataFrame, a: str, b: str, save: Callable[[DataFrame], DataFrame] = saved) -> DataFrame:
     """(node, root) for every node of ``links``; root is the smallest node reachable.
 
     Stars only ever need the smallest neighbour, a partial aggregate, so a hub
@@ -28,9 +30,9 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     are left out; no links, no rows.
     """
     ends = links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    edges = saved(ends.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    edges = save(ends.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     while not _only_stars(edges):
-        edges = saved(_star(_star(edges, True), False))
+        edges = save(_star(_star(edges, True), False))
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
 

@@ -36,7 +36,7 @@ probability N^2 / 2^65.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -44,14 +44,16 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import LongType, StructField
 
-from .common import NGRAM_FACTOR, mixed, run_hashes, saved, text_chunks
+from .common import NGRAM_FACTOR, Scratch, append_columns, mixed, run_hashes, text_chunks
 from .components import components
 
 SKETCH_BITS = 20
 SKETCH_ROW = 1 << 14  # counters per row while summing
 RANGES = 32  # of the suffix profile
-BITMAP_BITS = 23
+SMALL_ROWS = 1 << 20  # wanted rows up to which their ids are sent to all tasks
+CLASS = "jaccard_class_of_text"  # helper column
 CELL = 16  # classes of a long list that are compared with each other
 ROUNDS = 3  # ways to deal a long list into cells
 TREE = 64
@@ -104,7 +106,7 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
-def profiles(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+def profiles(docs: DataFrame, words: int, keep: Scratch) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, cls, profile) of all rows, and the summed sketch as (place, counters)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     fields = f"doc_id {kind}, n long, cls long, profile array<tinyint>, place int, counters binary"
@@ -132,7 +134,7 @@ def profiles(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
             names=["doc_id", "n", "cls", "profile", "place", "counters"],
         )
 
-    found = saved(docs.select("doc_id", "text").mapInArrow(run, fields))
+    found = keep.saved(docs.select("doc_id", "text").mapInArrow(run, fields))
     sketch = found.where("place IS NOT NULL").select("place", "counters").withColumn("task", F.pmod(F.xxhash64("counters"), F.lit(TREE)))
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
@@ -187,32 +189,6 @@ def _possible(percent: int) -> Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (rest >= _needed(n, m, percent))
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(cls, members) for the classes of ``wanted`` (cls, doc_id): the full sets, read again from the texts.
-
-    A bitmap of 2^BITMAP_BITS bits over the wanted ids, of that size whatever the
-    data, spares most other texts; the join makes it exact.
-    """
-    spark = docs.sparkSession
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITMAP_BITS))
-    marks = wanted.select(slot.alias("s")).groupBy(F.shiftright("s", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 AS INT))")).alias("bits")).toPandas()
-    bits = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
-    bits[marks["word"].to_numpy(np.int64)] = marks["bits"].to_numpy(np.int64)
-    shared = spark.sparkContext.broadcast(bits)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = b.column(2).to_numpy()
-            b = b.filter(pa.array((shared.value[s >> 6] >> (s & 63)) & 1 == 1))
-            found = [v for _, v in shingle_sets(b.column(1), words)]
-            names = pa.array([class_name(v) if len(v) else None for v in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), names, pa.array([v.tobytes() for v in found], pa.binary())], names=["id", "cls", "members"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    read = docs.where("doc_id IS NOT NULL").select("doc_id", "text", slot.alias("s")).mapInArrow(run, f"id {kind}, cls long, members binary")
-    return saved(read.join(wanted, "cls").where("id = doc_id").select("cls", "members").dropDuplicates(["cls"]))
-
-
 def _apart(p: str, q: str, n: Column, m: Column, percent: int) -> Column:
     """Suffix filter: whether two sets of sizes n and m with these profiles may link.
 
@@ -233,77 +209,96 @@ def filtered(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, (F.col("b") == F.col("b2")) & fits).select("a", "b")
 
 
-def verified(checked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link, each checked once on full sets."""
-    joined = checked.join(sets.select(F.col("cls").alias("a"), F.col("members").alias("am")), "a").join(sets.select(F.col("cls").alias("b"), F.col("members").alias("bm")), "b")
+def verified(docs: DataFrame, classes: DataFrame, checked: DataFrame, words: int, percent: int, keep: Scratch) -> DataFrame:
+    """The pairs (a, b) of ``checked`` that link, each checked once on full sets.
+
+    Texts travel, not sets: they are smaller. The wanted ones are read once, with
+    the classes whose side they take; b's text goes to a, which has few different
+    values (the pivots), and a large group of copies is dealt by the join.
+    """
+    ends = checked.select(F.col("b").alias("cls"), "a").unionByName(checked.select(F.col("a").alias("cls"), "a").distinct())
+    wanted = keep.saved(classes.select("cls", "doc_id").join(ends, "cls").withColumnRenamed("doc_id", "wanted_id"))
+    read = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+    if wanted.count() <= SMALL_ROWS:
+        read = read.join(F.broadcast(wanted.select("wanted_id").distinct()), F.col("doc_id") == F.col("wanted_id"), "left_semi")
+    told = keep.saved(read.join(wanted, F.col("doc_id") == F.col("wanted_id")).select("cls", "a", "text"))
+    one = told.where("cls = a").select("a", F.col("text").alias("one"))
+    two = told.where("cls <> a").select("a", F.col("cls").alias("b"), F.col("text").alias("two"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.searchsorted(x, y)
-                common = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            if not len(b):
+                continue
+            texts = b.column(2).dictionary_encode()  # a pivot's text once a batch
+            firsts = [v for _, v in shingle_sets(texts.dictionary, words)]
+            link = []
+            for a, c, at, (_, y) in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts.indices.to_pylist(), shingle_sets(b.column(3), words), strict=True):
+                x = firsts[at]
+                if not len(x) or not len(y) or class_name(x) != a or class_name(y) != c:
+                    link.append(False)  # another text of the same id
+                    continue
+                place = np.searchsorted(x, y)
+                common = int((x[np.minimum(place, len(x) - 1)] == y).sum())
+                link.append(100 * common >= percent * (len(x) + len(y) - common))
+            yield b.select(["a", "b"]).filter(pa.array(link, pa.bool_()))
 
-    return saved(joined.select("a", "b", "am", "bm").mapInArrow(verify, "a long, b long"))
+    return keep.saved(one.join(two, "a").select("a", "b", "one", "two").mapInArrow(verify, "a long, b long").distinct())
 
 
 def join_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id): the smallest id reachable by links."""
-    spark = docs.sparkSession
-    rows, sketch = profiles(docs, words)
-    sketch = sketch_of(spark, sketch)
-    classes = saved(rows.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min_by("profile", "n").alias("profile")))
+    keep = Scratch(docs.sparkSession)
+    named, least = _grouped(docs, words, percent, keep)
+    label = named.select("cls", "root").join(least, "root").select("cls", "component_id")
+    rows = keep.rows.join(label, "cls", "left")
+    return keep.result(rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
+
+
+def _grouped(docs: DataFrame, words: int, percent: int, keep: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(cls, doc_id, root) of all classes and (root, component_id); ``keep.rows`` has the rows with their classes."""
+    keep.rows, sketch = profiles(docs, words, keep)
+    sketch = sketch_of(docs.sparkSession, sketch)
+    classes = keep.saved(keep.rows.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min_by("profile", "n").alias("profile")))
     dealt = prefixes(docs.where("doc_id IS NOT NULL"), words, percent, sketch).repartition("h")
     # both readers of the shuffled rows name all columns, so that Spark shuffles them once
     lists = dealt.groupBy("h").agg(F.min("cls").alias("pivot"), F.max("cls").alias("high"), F.max("at").alias("top"))
     shared = lists.where("pivot <> high AND top >= 0").select("h", "pivot")
-    posts = saved(dealt.join(shared.hint("shuffle_hash"), "h").select("h", "cls", "at", "pivot").distinct())
-    found = _Found(docs, classes, words, percent)
+    posts = keep.saved(dealt.join(shared.hint("shuffle_hash"), "h").select("h", "cls", "at", "pivot").distinct())
+    sketch.destroy()
+    found = _Found(docs, classes, words, percent, keep)
     stars = posts.where("cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct()
     found.check(filtered(stars, classes, percent))
     sizes = posts.groupBy("h").count().where(F.col("count") > CELL)
-    hot = saved(posts.join(sizes, "h").withColumn("cells", F.ceil(F.col("count") / CELL)).select("h", "cls", "at", "cells"))
+    hot = keep.saved(posts.join(sizes, "h").withColumn("cells", F.ceil(F.col("count") / CELL)).select("h", "cls", "at", "cells"))
     if not hot.isEmpty():
         turns = hot.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(ROUNDS - 1))))
         cell = F.pmod(F.xxhash64("cls", "turn"), F.col("cells")) * ROUNDS + F.col("turn")
-        found.check(_rest(turns.withColumn("cell", cell), classes, found.roots, percent))
-    found.check(_rest(posts.withColumn("cell", F.lit(0).cast("long")), classes, found.roots, percent))
-    known = found.roots
-
-    named = _with_root(classes.select("cls", "doc_id"), known)
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    label = named.select("cls", "root").join(least, "root").select("cls", "component_id")
-    return rows.join(label, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        found.check(_rest(turns.withColumn("cell", cell), classes, found.roots, percent, keep))
+    found.check(_rest(posts.withColumn("cell", F.lit(0).cast("long")), classes, found.roots, percent, keep))
+    named = keep.saved(_with_root(classes.select("cls", "doc_id"), found.roots))
+    return named, named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
 
 
 class _Found:
-    """What has been verified: pairs tried, sets read, links, and the component (root) of each linked class."""
+    """What has been verified: pairs tried and the component (root) of each linked class."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> None:
-        self.docs, self.classes, self.words, self.percent = docs, classes, words, percent
-        self.tried = self.sets = self.links = self.roots = None
+    def __init__(self, docs: DataFrame, classes: DataFrame, words: int, percent: int, keep: Scratch) -> None:
+        self.docs, self.classes, self.words, self.percent, self.keep = docs, classes, words, percent, keep
+        self.tried = self.roots = None
 
     def check(self, candidates: DataFrame) -> None:
         """Verify the candidates not tried before and merge the components that they link."""
         checked = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        checked = saved(checked if self.tried is None else checked.join(self.tried, ["a", "b"], "left_anti"))
-        self.tried = _more(self.tried, checked)
+        checked = self.keep.saved(checked if self.tried is None else checked.join(self.tried, ["a", "b"], "left_anti"))
         if checked.isEmpty():
             return
-        ends = checked.select(F.col("a").alias("cls")).union(checked.select(F.col("b").alias("cls"))).distinct()
-        if self.sets is not None:
-            ends = ends.join(self.sets.select("cls"), "cls", "left_anti")
-        wanted = saved(self.classes.join(ends, "cls").select("cls", "doc_id"))
-        self.sets = _more(self.sets, sets_of(self.docs, wanted, self.words))
-        self.links = _more(self.links, verified(checked, self.sets, self.percent))
-        self.roots = saved(components(self.links, "a", "b"))
-
-
-def _more(old: DataFrame | None, new: DataFrame) -> DataFrame:
-    return new if old is None else old.unionByName(new)
+        self.tried = checked if self.tried is None else self.tried.unionByName(checked)
+        links = verified(self.docs, self.classes, checked, self.words, self.percent, self.keep)
+        if links.isEmpty():
+            return
+        if self.roots is not None:  # what is known are stars already
+            links = links.unionByName(self.roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        self.roots = self.keep.saved(components(links, "a", "b", self.keep.saved))
 
 
 def _with_root(rows: DataFrame, known: DataFrame | None) -> DataFrame:
@@ -313,12 +308,12 @@ def _with_root(rows: DataFrame, known: DataFrame | None) -> DataFrame:
     return rows.join(known.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
 
 
-def _rest(posts: DataFrame, classes: DataFrame, roots: DataFrame | None, percent: int) -> DataFrame:
+def _rest(posts: DataFrame, classes: DataFrame, roots: DataFrame | None, percent: int, keep: Scratch) -> DataFrame:
     """Pairs (a, b) of different components that share a cell of a list and pass all filters."""
     rows = _with_root(posts.select("h", "cls", "at", "cell"), roots)
     lists = rows.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
     place = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos")
-    rows = saved(rows.join(lists, "h").join(classes.select("cls", "n", "profile"), "cls").select("h", "cell", "cls", "root", "n", place, "profile"))
+    rows = keep.saved(rows.join(lists, "h").join(classes.select("cls", "n", "profile"), "cls").select("h", "cell", "cls", "root", "n", place, "profile"))
     others = rows.select(*[F.col(c).alias(f"other_{c}") for c in rows.columns])
     fits = (F.col("root") < F.col("other_root")) & _possible(percent) & _apart("profile", "other_profile", F.col("n"), F.col("other_n"), percent)
     same = (F.col("h") == F.col("other_h")) & (F.col("cell") == F.col("other_cell"))
@@ -326,14 +321,31 @@ def _rest(posts: DataFrame, classes: DataFrame, roots: DataFrame | None, percent
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without near copies: of each component the row with the smallest id stays.
+    """``docs`` without near copies: of each component one row stays.
 
-    Of rows that repeat an id and a text one stays; rows without an id all stay.
+    It is the one with the smallest id, of equal ids the text with the smallest
+    class name, of rows that repeat both any one. A row goes for its own text,
+    whatever else carries its id. Rows without an id make no link: they go for an
+    equal text only. Rows with an empty set all stay.
     """
-    found = join_components(docs.select("doc_id", "text"), words, percent)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    ids = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if ids.isEmpty():
-        return left
-    return left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(left.where("doc_id IS NULL"))
+    keep = Scratch(docs.sparkSession)
+    named, _ = _grouped(docs.select("doc_id", "text"), words, percent, keep)
+    copies = keep.rows.where("cls IS NOT NULL").groupBy("cls").agg(F.count("*").alias("copies"))
+    first = named.groupBy("root").agg(F.min(F.struct("doc_id", "cls")).alias("first"))
+    told = named.select("cls", "root").join(first, "root").join(copies, "cls")
+    stay = F.when(F.col("cls") == F.col("first.cls"), F.col("first.doc_id")).alias("stay_id")
+    leaving = keep.saved(told.where("cls <> first.cls OR copies > 1").select(F.col("cls").alias("left_cls"), stay))
+    if leaving.count() <= SMALL_ROWS:
+        leaving = F.broadcast(leaving)
+    rows = append_columns(docs, [StructField(CLASS, LongType())], _namer(docs.columns.index("text"), words))
+    out = rows.join(leaving, F.col(CLASS) == F.col("left_cls"), "left").where("left_cls IS NULL OR doc_id = stay_id").select(*docs.columns, CLASS)
+    repeats = keep.saved(keep.rows.where("cls IS NOT NULL").groupBy("doc_id", "cls").count().where("count > 1").select(F.col("doc_id").alias("again_id"), F.col("cls").alias("again_cls")))
+    if not repeats.isEmpty():
+        again = F.col("doc_id").eqNullSafe(F.col("again_id")) & (F.col(CLASS) == F.col("again_cls"))
+        out = keep.saved(out)
+        out = out.join(repeats, again, "left_anti").unionByName(out.join(repeats, again, "left_semi").dropDuplicates(["doc_id", CLASS]))
+    return keep.result(out.select(*docs.columns))
+
+
+def _namer(at: int, words: int) -> Callable[[pa.RecordBatch], list[pa.Array]]:
+    return lambda b: [pa.array([class_name(v) if len(v) else None for _, v in shingle_sets(b.column(at), words)], pa.int64())]
