@@ -137,13 +137,25 @@ _POWERS: dict[str, np.ndarray] = {}
 
 
 def _grown(key: str, base: int, n: int) -> np.ndarray:
+    if n > 2 * CHUNK_BYTES + 1:  # one very long run; its powers are not kept
+        return powers(n, base)
     if key not in _POWERS or len(_POWERS[key]) < n:
-        _POWERS[key] = powers(max(n, CHUNK_BYTES + 1), base)
+        _POWERS[key] = powers(n, base)
     return _POWERS[key]
 
 
 def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte run data[start:end], by polynomial prefix sums."""
+    """A 64-bit hash of each byte run data[start:end], by polynomial prefix sums; runs are sorted and apart.
+
+    A long text is taken some runs at a time; the hashes do not depend on where.
+    """
+    if len(data) <= 2 * CHUNK_BYTES or len(starts) < 2:
+        return _run_hashes(data, starts, ends)
+    cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(data), CHUNK_BYTES)), len(starts)))
+    return np.concatenate([_run_hashes(data[starts[a] : ends[z - 1]], starts[a:z] - starts[a], ends[a:z] - starts[a]) for a, z in zip(cuts[:-1], cuts[1:], strict=True)])
+
+
+def _run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _grown("up", POLY, len(data) + 1)[: len(data)], out=sums[1:])
     back = _grown("down", POLY_INVERSE, len(data) + 1)
@@ -179,7 +191,7 @@ class PresenceModel:
 def presence_chunks(array: pa.Array, features: Callable, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Distinct (text, feature) pairs chunk by chunk, as (text index, feature index), sorted by text."""
     for first, _, data, offsets in text_chunks(array):
-        keys = [(r.astype(np.int64) << bits) | i.astype(np.int64) for r, i in features(data, offsets, bits)]
+        keys = [np.unique((r.astype(np.int64) << bits) | i.astype(np.int64)) for r, i in features(data, offsets, bits)]
         found = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
         yield ((found >> bits) + first).astype(np.int32), (found & ((1 << bits) - 1)).astype(np.int32)
 

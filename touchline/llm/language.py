@@ -28,22 +28,22 @@ results are replaced. Without training rows every text is ``und``.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField
 
-from .common import append_columns, held_out, text_chunks
+from .common import CHUNK_BYTES, append_columns, held_out, text_chunks
 
 SYMBOLS = 256
 OTHER = SYMBOLS - 1  # no byte of UTF-8
 LEAST_UNIFORM = 6  # bits of the uniform choice at least
 PAD = 32  # stands before every text
 ORDER = 3
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 STRINGS_AT_ONCE = 1 << 20  # counted strings that a task keeps before it hands them on
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -181,28 +181,38 @@ class Model:
         return at, known[at] == wanted if len(known) else np.zeros(len(wanted), bool)
 
     def lengths(self, array: pa.Array) -> np.ndarray:
-        """Code length in bits of every text under every language."""
+        """Code length in bits of every text under every language; a very long text is summed part by part."""
         out = np.zeros((len(array), len(self.langs)))
         for first, end, data, offsets in text_chunks(array):
             if not len(data) or not len(self.known):
                 continue
             code = codes(self.table[data], offsets, self.pad)
-            slot, there = self._places(self.known, code)
-            missing = np.flatnonzero(~there)
-            code = code[missing]
-            context, there = self._places(self.contexts, code >> 8)
-            context[~there] = len(self.contexts)
-            code &= 0xFFFFFF
-            slot3, there = self._places(self.known3, code)
-            short = np.flatnonzero(~there)
-            code = code[short]
-            full = np.flatnonzero(np.diff(offsets) > 0)
-            for i in range(len(self.langs)):
-                less = self.cost3[i][slot3]
-                less[short] = self.escape2[i][code >> 8] + self.shorter[i][code & 0xFFFF]
-                cost = self.full[i][slot]
-                cost[missing] = self.escape3[i][context] + less
-                out[first + full, i] = np.add.reduceat(cost, offsets[full], dtype=np.float64)
+            if len(code) <= 2 * CHUNK_BYTES:
+                out[first:end] = self._sums(code, offsets)
+                continue
+            for a in range(0, len(code), CHUNK_BYTES):
+                part = code[a : a + CHUNK_BYTES]
+                out[first:end] += self._sums(part, np.array([0, len(part)]))
+        return out
+
+    def _sums(self, code: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(offsets) - 1, len(self.langs)))
+        slot, there = self._places(self.known, code)
+        missing = np.flatnonzero(~there)
+        code = code[missing]
+        context, there = self._places(self.contexts, code >> 8)
+        context[~there] = len(self.contexts)
+        code &= 0xFFFFFF
+        slot3, there = self._places(self.known3, code)
+        short = np.flatnonzero(~there)
+        code = code[short]
+        full = np.flatnonzero(np.diff(offsets) > 0)
+        for i in range(len(self.langs)):
+            less = self.cost3[i][slot3]
+            less[short] = self.escape2[i][code >> 8] + self.shorter[i][code & 0xFFFF]
+            cost = self.full[i][slot]
+            cost[missing] = self.escape3[i][context] + less
+            out[full, i] = np.add.reduceat(cost, offsets[full], dtype=np.float64)
         return out
 
 

@@ -11,8 +11,9 @@ holds it, so no source is sorted or gathered.
 
 Sources are ordered by code point, the null source last. Null texts have no
 words. A source without words has target 0 and gives nothing; rows with size 0
-are never taken. Rows that repeat an id share its hash and are
-taken together. Results do not depend on partitioning. An empty table gives an
+are never taken. The hash is of id and text; rows that repeat both, with or
+without an id, are numbered, so that the fraction divides them too. Results do
+not depend on partitioning. An empty table gives an
 empty result; extra columns pass through ``repeated`` and names of helper
 columns start with ``mix_``.
 """
@@ -53,11 +54,29 @@ def targets(sizes: DataFrame, epochs: int = EPOCHS) -> DataFrame:
     return sizes.withColumn("mix_target", F.least(most.cast("double"), F.lit(level) * F.col("mix_weight")))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with mix_copy: 0, or the number of a row among those equal in all columns.
+
+    Only rows that repeat an id and a text are gathered, by partial aggregates,
+    and made anew from their counts; equal rows are interchangeable.
+    """
+    text = F.xxhash64("text")
+    again = docs.groupBy(F.col("doc_id").alias("mix_id"), text.alias("mix_text")).count().where("count > 1").select("mix_id", "mix_text")
+    again = saved(again)
+    if again.isEmpty():
+        return docs.withColumn("mix_copy", F.lit(0))
+    same = F.col("doc_id").eqNullSafe(F.col("mix_id")) & (text == F.col("mix_text"))
+    counted = docs.join(again, same, "left_semi").groupBy(*docs.columns).agg(F.count("*").cast("int").alias("mix_count"))
+    made = counted.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_count") - 1))).drop("mix_count")
+    return docs.join(again, same, "left_anti").withColumn("mix_copy", F.lit(0)).unionByName(made)
+
+
 def plan(docs: DataFrame, seed: str = "mix", cycle: tuple[int, ...] = (1, 2, 3), epochs: int = EPOCHS) -> tuple[DataFrame, DataFrame]:
     """(rows, sources): rows with mix_key, mix_size and mix_u; sources with targets, whole repetitions and the stop."""
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    told = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "mix_copy", "text")]
+    key = F.concat(F.lit(f"{seed}:"), told[0], F.lit(":"), told[1], F.lit(":"), told[2])
     u = F.conv(F.substring(F.md5(key), 1, 5), 16, 10).cast("long")  # 20 bits
-    rows = docs.withColumn("mix_size", words(F.col("text"))).withColumn("mix_u", u)
+    rows = numbered(docs).withColumn("mix_size", words(F.col("text"))).withColumn("mix_u", u)
     narrow = saved(rows.select(F.col("source").alias("mix_source"), "mix_size", "mix_u"))
     sizes = saved(narrow.groupBy("mix_source").agg(F.sum("mix_size").alias("mix_size")))
     aimed = saved(targets(saved(weights(sizes, cycle)), epochs))

@@ -28,35 +28,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import saved
+from .common import ByteCache, saved
 
 CAPACITY = 2048
 END_ID = 0
 PART_ROWS = 1 << 16
-CACHE_WORDS = 400_000  # words of a generation of a worker's cache
+CACHE_BYTES = 24 << 20  # of a generation of either cache of a worker
 PLAIN = re.compile("[\t-\r -~¡-įı-ſ]*")  # characters that lower-case one by one
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")  # white space to str.split() alone
 
 
-class Cache(dict):
-    """Two generations of at most ``CACHE_WORDS`` entries each."""
-
-    def __init__(self, make) -> None:  # noqa: ANN001
-        super().__init__()
-        self.make, self.old = make, {}
-
-    def __missing__(self, key: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.old = dict(self)
-            self.clear()
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(key) <= 64:
-            self[key] = value
-        return value
-
-
 class Encoder:
     """Ids of whole texts as little-endian bytes, equal to the tokenizer's own.
 
@@ -74,7 +55,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.merge = self.tokenizer.model.tokenize
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-        self.by_piece, self.by_word = Cache(self._piece), Cache(self._word)
+        self.by_piece, self.by_word = ByteCache(self._piece, CACHE_BYTES), ByteCache(self._word, CACHE_BYTES)
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
         others = [b for b in range(256) if b not in printable]
         self.letters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}

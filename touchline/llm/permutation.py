@@ -17,7 +17,8 @@ all rows is spread over tasks; each block meets the queries in parts of
 searched again exhaustively.
 
 Vectors that are null, zero or hold null or non-finite components take no part.
-Ties go to the smaller id; no row is found by a query of its own id. Vectors
+Ties go to the smaller id; no row is found by a query of its own id; query rows
+that repeat an id are ranked one by one. Vectors
 shorter than the longest count as padded with zeros. An empty table gives an
 empty result; other columns are not read.
 """
@@ -40,7 +41,7 @@ RERANKED = 0.5
 RERANKED_LEAST = 64
 FILE_ROWS = 8192
 QUERY_ROWS = 4096
-FOUND = "query_id long, vec_id long, score double"
+FOUND = "asked long, query_id long, vec_id long, score double"
 
 
 def matrix(column, width: int) -> np.ndarray:  # noqa: ANN001
@@ -74,7 +75,7 @@ def search_block(left: pd.DataFrame, right: pd.DataFrame, width: int, pivots: in
         place[order[:, j], np.arange(len(ids))] = j
     steps = np.arange(prefix, dtype=np.int16)
     out = []
-    for q, vector, places, opened in zip(left["vec_id"], left["embedding"], left["places"], left["turn"], strict=True):
+    for row, q, vector, places, opened in zip(left["asked"], left["vec_id"], left["embedding"], left["places"], left["turn"], strict=True):
         own = np.frombuffer(places, np.uint16)
         at = np.flatnonzero(ids != q)
         if opened:  # met already in a file that is nearer to the query
@@ -89,9 +90,9 @@ def search_block(left: pd.DataFrame, right: pd.DataFrame, width: int, pivots: in
         v[: len(vector)] = vector
         scores = (x[at] * v).sum(1)
         best = top_of(scores, ids[at], k)
-        out.append((np.full(len(best), q), ids[at][best], scores[best]))
-    columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-    return pd.DataFrame({"query_id": columns[0].astype(np.int64), "vec_id": columns[1].astype(np.int64), "score": columns[2].astype(float)})
+        out.append((np.full(len(best), row), np.full(len(best), q), ids[at][best], scores[best]))
+    columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
+    return pd.DataFrame({name: c.astype(float if name == "score" else np.int64) for name, c in zip(("asked", "query_id", "vec_id", "score"), columns, strict=True)})
 
 
 def _meet(queries: DataFrame, files: DataFrame, one) -> DataFrame:  # noqa: ANN001
@@ -100,10 +101,10 @@ def _meet(queries: DataFrame, files: DataFrame, one) -> DataFrame:  # noqa: ANN0
     blocks = {r["file"]: max(1, -(-r["count"] // FILE_ROWS)) for r in sizes}
     if not blocks:
         return files.sparkSession.createDataFrame([], FOUND)
-    parts = max(1, -(-queries.select("vec_id").distinct().count() // QUERY_ROWS))
+    parts = max(1, -(-queries.select("asked").distinct().count() // QUERY_ROWS))
     split = F.create_map(*[F.lit(x) for item in blocks.items() for x in item])
     dealt = files.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(3)), split[F.col("file")])).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    asked = queries.where(split[F.col("file")].isNotNull()).withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(4)), F.lit(parts)).cast("int"))
+    asked = queries.where(split[F.col("file")].isNotNull()).withColumn("part", F.pmod(F.xxhash64("asked", F.lit(4)), F.lit(parts)).cast("int"))
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), (split[F.col("file")] - 1).cast("long"))))
     keys = ["file", "block", "part"]
     return asked.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(one, FOUND)
@@ -116,13 +117,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, pivots: int = PIVOTS, pr
     chosen = rows.orderBy(F.xxhash64("vec_id", F.lit("pivot")), "vec_id").limit(pivots).collect()
     width = rows.agg(F.max(F.size("embedding"))).first()[0]
     if not chosen:
-        return ranked(rows.sparkSession.createDataFrame([], FOUND), k)
+        return ranked(rows.sparkSession.createDataFrame([], FOUND), k).drop("asked")
     m = len(chosen)
     depth, posted, probed = min(prefix, m), min(posted, m), min(probed, m)
     index = saved(with_order(rows, matrix([r["embedding"] for r in chosen], width), depth))
     files = index.select("vec_id", "embedding", "places", F.explode(F.slice("near", 1, posted)).alias("file"))
-    queries = index.where(is_query)
-    opened = queries.select("vec_id", "embedding", "places", F.posexplode(F.slice("near", 1, probed)).alias("turn", "file"))
+    queries = saved(index.where(is_query).withColumn("asked", F.monotonically_increasing_id()))
+    opened = queries.select("asked", "vec_id", "embedding", "places", F.posexplode(F.slice("near", 1, probed)).alias("turn", "file"))
 
     def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return search_block(left, right, width, m, depth, posted, k, share)
@@ -132,9 +133,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, pivots: int = PIVOTS, pr
 
     found = saved(ranked(_meet(opened, files, one), k))
     total = index.count()
-    got = found.groupBy("query_id").count()
-    few = saved(queries.join(got, F.col("vec_id") == F.col("query_id"), "left").where(F.coalesce("count", F.lit(0)) < min(k, total - 1)).select("vec_id", "embedding", "places").withColumn("turn", F.lit(0)).withColumn("file", F.lit(0)))
+    got = found.groupBy("asked").count()
+    few = saved(queries.join(got, "asked", "left").where(F.coalesce("count", F.lit(0)) < min(k, total - 1)).select("asked", "vec_id", "embedding", "places").withColumn("turn", F.lit(0)).withColumn("file", F.lit(0)))
     if few.isEmpty():
-        return found
+        return found.drop("asked")
     rest = ranked(_meet(few, index.select("vec_id", "embedding", "places").withColumn("file", F.lit(0)), whole), k)
-    return found.join(few, F.col("query_id") == few["vec_id"], "left_anti").unionByName(rest)
+    return found.join(few, "asked", "left_anti").unionByName(rest).drop("asked")

@@ -100,13 +100,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int =
     chosen = sample_of_labels(labels, label, parts, part, rows, label)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
 
-    def one_task(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "text"], kind="stable")
-        frame = frame.iloc[pd.util.hash_array(frame["doc_id"].to_numpy()).argsort(kind="stable")]
-        model = fit_texts(pa.array(frame["text"], pa.string()), frame["label"].to_numpy())
-        return pd.DataFrame({"weights": [model.weights.tobytes()], "bias": [model.bias]})
-
-    found = sample.groupBy(F.lit(0).alias("all")).applyInPandas(one_task, "weights binary, bias double").collect()
+    def one_task(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        dealt = pd.util.hash_array(rows.column("doc_id").to_numpy()).argsort(kind="stable")  # no order of ids while learning
+        rows = rows.take(pa.array(dealt))
+        model = fit_texts(rows.column("text"), rows.column("label").to_numpy())
+        return pa.table({"weights": pa.array([model.weights.tobytes()], pa.binary()), "bias": [model.bias]})
+
+    found = sample.groupBy(F.lit(0).alias("all")).applyInArrow(one_task, "weights binary, bias double").collect()
     if not found:
         return PresenceModel(BITS, np.zeros(1 << BITS, np.float32), 0.0)
     return PresenceModel(BITS, np.frombuffer(found[0]["weights"], np.float32), found[0]["bias"])

@@ -1,11 +1,14 @@
 """Toxicity: linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-A text is the set of its hashed character n-grams (``SIZES`` characters, letters
-lower-cased, every other run one space). Feature f has the ratio
+A text is the set of its hashed character n-grams (``SIZES`` characters). Below
+U+0250 letters and digits are lower-cased and every other character is a space;
+characters from there on stay as they are. Feature f has the ratio
 r_f = log((p_f + a) / (P + 2a)) - log((q_f + a) / (Q + 2a)), from the labelled
 texts of either class that hold it; the classifier is a logistic regression
 over presence times r, so that a weight of the scorer is w_f * r_f. Features
-with a small ratio get weight zero.
+whose ratio is nearer to zero than ``MIN_RATIO``, or that fewer than ``LEAST_TEXTS``
+texts of the sample hold, get weight zero. A very long text is read in windows
+that overlap by an n-gram, so it takes no more working memory than others.
 
 Texts that are null or empty hold no feature and score the bias alone. Rows are
 scored one by one: repeated rows score alike, an empty table gives an empty
@@ -19,17 +22,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField
 
-from .common import NGRAM_FACTOR, PresenceModel, append_columns, mixed, presence_chunks, presence_rows, sample_of_labels
+from .common import CHUNK_BYTES, NGRAM_FACTOR, PresenceModel, append_columns, mixed, presence_chunks, presence_rows, sample_of_labels
 
 SIZES = (3, 4, 5, 6)
 BITS = 20
-FIT_ROWS = 6000  # bound of the labelled sample
+FIT_ROWS = 8000  # bound of the labelled sample
 SMOOTHING = 1.0
+LEAST_TEXTS = 3
+PAIRS_AT_ONCE = 1 << 20  # of text and feature, in a step of the fit
 MIN_RATIO = 1.0  # features whose ratio is nearer to zero weigh nothing
 RIDGE = 5.0
 STEPS = 80
@@ -49,6 +53,13 @@ def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(text index, n-gram bucket) of every n-gram that lies inside one text."""
+    if len(offsets) == 2 and len(data) > 2 * CHUNK_BYTES:
+        first = np.flatnonzero((data & 0xC0) != 0x80)  # of the characters
+        step, more = CHUNK_BYTES // 2, max(SIZES) - 1
+        for a in range(0, len(first), step):
+            part = data[first[a] : first[a + step + more] if a + step + more < len(first) else len(data)]
+            yield from features(part, np.array([0, len(part)]), bits)
+        return
     points, places = characters(data, offsets)
     padded = np.concatenate([points.astype(np.uint64), np.full(max(SIZES), 32, np.uint64)])
     n = len(points)
@@ -76,7 +87,7 @@ def fit_texts(texts: pa.Array, labels: np.ndarray, bits: int = BITS) -> Presence
         p += np.bincount(i[positive], minlength=1 << bits)
         q += np.bincount(i[~positive], minlength=1 << bits)
     ratio = np.log((p + SMOOTHING) / (pos + 2 * SMOOTHING)) - np.log((q + SMOOTHING) / (neg + 2 * SMOOTHING))
-    ratio[(np.abs(ratio) < MIN_RATIO) | (p + q < 3)] = 0
+    ratio[(np.abs(ratio) < MIN_RATIO) | (p + q < LEAST_TEXTS)] = 0
     names = np.flatnonzero(ratio)
     rows, index = presence_rows(texts, features, bits, ratio != 0)  # a second pass keeps what weighs
     place = (np.cumsum(ratio != 0) - 1)[index].astype(np.int32)
@@ -85,9 +96,16 @@ def fit_texts(texts: pa.Array, labels: np.ndarray, bits: int = BITS) -> Presence
     w, bias = np.zeros(len(names)), float(np.log(pos / neg))
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for step in range(1, STEPS + 1):  # Adam on the whole sample
-        z = np.bincount(rows, weights=w[place] * x, minlength=len(y)) + bias
+        z = np.full(len(y), bias)
+        for a in range(0, len(x), PAIRS_AT_ONCE):
+            part = slice(a, a + PAIRS_AT_ONCE)
+            z += np.bincount(rows[part], weights=w[place[part]] * x[part], minlength=len(y))
         error = 1 / (1 + np.exp(-np.clip(z, -60, 60))) - y
-        gradient = np.append(np.bincount(place, weights=error[rows] * x, minlength=len(names)) / len(y) + RIDGE * w / len(y), error.mean())
+        slope = np.zeros(len(names))
+        for a in range(0, len(x), PAIRS_AT_ONCE):
+            part = slice(a, a + PAIRS_AT_ONCE)
+            slope += np.bincount(place[part], weights=error[rows[part]] * x[part], minlength=len(names))
+        gradient = np.append(slope / len(y) + RIDGE * w / len(y), error.mean())
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
@@ -105,12 +123,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 4
     chosen = sample_of_labels(labels, label, parts, part, rows, label)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
 
-    def one_task(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "text"], kind="stable")
-        model = fit_texts(pa.array(frame["text"], pa.string()), frame["label"].to_numpy())
-        return pd.DataFrame({"weights": [model.weights.tobytes()], "bias": [model.bias]})
+    def one_task(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        model = fit_texts(rows.column("text"), rows.column("label").to_numpy())
+        return pa.table({"weights": pa.array([model.weights.tobytes()], pa.binary()), "bias": [model.bias]})
 
-    found = sample.groupBy(F.lit(0).alias("all")).applyInPandas(one_task, "weights binary, bias double").collect()
+    found = sample.groupBy(F.lit(0).alias("all")).applyInArrow(one_task, "weights binary, bias double").collect()
     if not found:
         return PresenceModel(BITS, np.zeros(1 << BITS, np.float32), -60.0)
     return PresenceModel(BITS, np.frombuffer(found[0]["weights"], np.float32), found[0]["bias"])
