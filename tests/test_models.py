@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from touchline.models import figs as FG, linear as LI, neighbors as NB, prepare as PR, resample as RS, trees as TR, attribution as AT
+from touchline.models import figs as FG, hashed as HN, linear as LI, neighbors as NB, prepare as PR, resample as RS
 
 
 def frame(spark, x, **cols):
@@ -154,23 +154,6 @@ def test_softmax_regression_is_stationary(spark):
     assert len(more.weights) == 4
 
 
-def test_sampled_fits_do_not_depend_on_partitions(spark):
-    rng = np.random.default_rng(13)
-    x = rng.normal(size=(600, 3)).round(1)
-    x[:200] = x[0]  # a third of all rows are equal
-    df = frame(spark, x, y=x[:, 0] + (x[:, 1] > 0))
-    seen = set()
-    for parts in (2, 4, 8):
-        mixed = df.orderBy(F.rand(parts)).repartition(parts)
-        forest = TR.random_forest_regressor(mixed, ["x0", "x1", "x2"], "y", trees=3, max_depth=3, parts=6)
-        boosted = TR.gradient_boosting_regressor(mixed, ["x0", "x1", "x2"], "y", rounds=3, row_share=0.5, parts=6)
-        both = [m.transform(df).orderBy("id").toPandas()["prediction"].round(9) for m in (forest, boosted)]
-        seen.add(tuple(map(tuple, both)))
-    assert len(seen) == 1
-    lots = PR.dealt(df, ["x0", "x1", "x2"], "y", 6)
-    assert lots.count() == 600 and lots.rdd.getNumPartitions() == 6
-
-
 def test_ridge_closed_form(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(200, 3))
@@ -219,11 +202,59 @@ def test_synthetic_rows(spark):
             np.testing.assert_allclose(np.array(r.vector), a + r.share * (b - a), atol=1e-9)
 
 
-def test_contributions_add_up(spark):
-    rng = np.random.default_rng(8)
-    x = rng.normal(size=(300, 3))
-    df = frame(spark, x, y=x[:, 0] * 2 + (x[:, 1] > 0))
-    m = TR.random_forest_regressor(df, ["x0", "x1", "x2"], "y", trees=4, max_depth=3)
-    attr = AT.tree_attribution(df, m, "id").groupBy("row_key").agg(F.sum("contribution").alias("c"), F.max("base").alias("b"))
-    both = attr.join(m.transform(df).select(F.col("id").alias("row_key"), "prediction"), "row_key").toPandas()
-    np.testing.assert_allclose(both["c"] + both["b"], both["prediction"], atol=1e-9)
+def brute_neighbors(x, k):
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    order = np.argsort(d, axis=1, kind="stable")[:, :k]
+    return order, np.take_along_axis(d, order, axis=1)
+
+
+def vectors(spark, x):
+    return spark.createDataFrame(pd.DataFrame({"id": np.arange(len(x)), "vector": list(x)}))
+
+
+@pytest.mark.parametrize("chunk", [37, 4096])
+def test_hashed_neighbors_in_one_bucket_are_exact(spark, chunk):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(240, 4))
+    x[:80] = x[0]
+    got = HN.hashed_knn(vectors(spark, x), vectors(spark, x), 3, chunk=chunk).orderBy("id", "rank").toPandas()
+    order, d = brute_neighbors(x, 3)
+    assert got["neighbor"].tolist() == order.ravel().tolist()
+    np.testing.assert_allclose(got["distance"], d.ravel(), atol=1e-12)
+
+
+def test_hashed_neighbors_recall_and_work(spark):
+    rng = np.random.default_rng(5)
+    met = []
+    for n in (400, 800, 1600):
+        centers = rng.normal(size=(n // 20, 16)) * 3
+        x = np.repeat(centers, 20, axis=0) + rng.normal(size=(n, 16)) * 0.5
+        df = vectors(spark, x)
+        got = HN.hashed_knn(df, df, 5, bucket_rows=50).toPandas()
+        want = brute_neighbors(x, 5)[0]
+        hits = sum(len(set(g["neighbor"]) & set(want[i])) for i, g in got.groupby("id"))
+        assert hits >= 0.95 * 5 * n and got.groupby("id").size().eq(5).all()
+        bits = int(np.ceil(np.log2(n / 50)))
+        met.append(HN._hashed(df.select(F.col("id").alias("key"), F.col("vector").alias("v")), np.zeros(16), HN.planes_of(16, 8, bits, 1), 16).count() / n)
+    assert max(met) <= 8 * 16  # rows shuffled per query stay below tables * probes at every size
+
+
+def test_crossings_are_the_nearest_sets_of_planes():
+    margin = np.random.default_rng(1).normal(size=(30, 6))
+    for row, masks in zip(margin, HN.crossings(margin, 8), strict=True):
+        cost = sorted((sum(abs(row[i]) for i in s), sum(1 << i for i in s)) for size in range(3) for s in itertools.combinations(range(6), size))
+        assert masks.tolist() == [m for _, m in cost[:8]]
+
+
+def test_hashed_neighbors_odd_rows(spark):
+    rows = [(1, [0.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [3.0, 4.0])]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    got = [(r.id, r.neighbor, r.distance, r["rank"]) for r in HN.hashed_knn(df, df, 2).orderBy("id", "rank").collect()]
+    assert got == [(1, 2, 0.0, 1), (1, 4, 5.0, 2), (2, 1, 0.0, 1), (2, 4, 5.0, 2), (4, 1, 5.0, 1), (4, 2, 5.0, 2)]
+    assert HN.hashed_knn(df.limit(0), df, 2).count() == HN.hashed_knn(df, df.limit(0), 2).count() == 0
+
+
+def test_class_weights(spark):
+    df = spark.createDataFrame([(0,), (0,), (0,), (1,), (None,)], "y int")
+    assert sorted((r.y, round(r.weight, 9)) for r in PR.class_weight_balanced(df, "y").collect()) == [(0, round(4 / 6, 9))] * 3 + [(1, 2.0)]

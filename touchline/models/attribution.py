@@ -1,102 +1,145 @@
-"""Path attributions of forests: prediction minus base, split over features.
-
-Each step down a tree changes the node value; the change is credited to the
-feature that was split on. The credits of a row add up to its prediction minus
-the forest's base value.
+"""Shapley values of tree ensembles, from the paths and covers of their trees.
+
+The value of a set S of features is the expected output when splits on features
+of S follow the row and all others go both ways in proportion to the cover of
+the children. For a leaf with value v whose path splits on m features, feature i
+is worth ``v * (o_i - z_i) * sum_s s! (m - 1 - s)! / m! * c_s`` with z the share
+of cover that a feature's splits let through, o whether the row passes them,
+and c_s the coefficients of the product of (z_j + o_j t) over the other
+features of the path. That is polynomial in the depth; there are no samples and no subsets.
+Values of a row add up to its score minus the base, per output.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator, Sequence
+from math import factorial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.ordered import top_per_group
-from ..session import shared_folder
-from .linear import Regressor
+from .ensembles import Tree, TreeEnsemble, matrix
+
+TABLE_FEATURES = 10  # of a path up to which all patterns of passed splits are tabulated
+
+
+class Leaf:
+    """A leaf's path: features with the interval that passes and the share of cover."""
+
+    def __init__(self, features: list[int], low: list[float], high: list[float], share: list[float], value: np.ndarray) -> None:
+        self.features, self.low, self.high, self.share, self.value = features, low, high, np.array(share), value
+        m = len(features)
+        self.table = self.credits((np.arange(1 << m)[:, None] >> np.arange(m)) & 1) if m <= TABLE_FEATURES else None
+
+    def credits(self, passed: np.ndarray) -> np.ndarray:
+        """Shapley values of the path's features per unit of leaf value, for rows of 0 and 1."""
+        m = len(self.features)
+        weight = np.array([factorial(s) * factorial(m - 1 - s) / factorial(m) for s in range(m)])
+        out = np.zeros(passed.shape)
+        for i in range(m):
+            poly = np.ones((len(passed), 1))
+            for j in range(m):
+                if j != i:
+                    longer = np.zeros((len(passed), poly.shape[1] + 1))
+                    longer[:, :-1] = poly * self.share[j]
+                    longer[:, 1:] += poly * passed[:, j : j + 1]
+                    poly = longer
+            out[:, i] = (passed[:, i] - self.share[i]) * (poly @ weight)
+        return out
+
+    def of_rows(self, x: np.ndarray) -> np.ndarray:
+        pattern = np.zeros(len(x), np.int64)
+        for bit, (f, low, high) in enumerate(zip(self.features, self.low, self.high, strict=True)):
+            pattern |= ((x[:, f] > low) & (x[:, f] <= high)).astype(np.int64) << bit
+        if self.table is not None:
+            return self.table[pattern]
+        seen, at = np.unique(pattern, return_inverse=True)
+        return self.credits((seen[:, None] >> np.arange(len(self.features))) & 1)[at]
+
+    @property
+    def expected(self) -> np.ndarray:
+        return self.value * self.share.prod()
+
+
+def leaves_of(tree: Tree) -> list[Leaf]:
+    out = []
+
+    def walk(node: int, path: dict[int, tuple[float, float, float]]) -> None:
+        f = tree.feature[node]
+        if f < 0:
+            cells = list(path.values())
+            out.append(Leaf(list(path), [c[0] for c in cells], [c[1] for c in cells], [c[2] for c in cells], np.array(tree.value[node])))
+            return
+        low, high, share = path.get(f, (-np.inf, np.inf, 1.0))
+        cut, total = tree.threshold[node], tree.cover[node] or 1.0
+        for child, bounds in ((tree.left[node], (low, min(high, cut))), (tree.right[node], (max(low, cut), high))):
+            walk(child, path | {f: (*bounds, share * tree.cover[child] / total)})
+
+    walk(0, {})
+    return out
+
+
+class Shapley:
+    def __init__(self, model: TreeEnsemble) -> None:
+        self.columns, self.width = model.columns, model.width
+        self.leaves, base = [], np.array(model.base)
+        for tree, group in zip(model.trees, model.groups, strict=True):
+            for leaf in leaves_of(tree):
+                value = leaf.value * model.rate if group < 0 else np.eye(self.width)[group] * leaf.value[0] * model.rate
+                leaf.value = value
+                base = base + leaf.expected
+                if leaf.features and value.any():
+                    self.leaves.append(leaf)
+        self.base = base
 
+    def contributions(self, x: np.ndarray) -> np.ndarray:
+        """(row, feature, output)."""
+        out = np.zeros((len(x), x.shape[1], self.width))
+        for leaf in self.leaves:
+            credits = leaf.of_rows(x)
+            live = np.flatnonzero(leaf.value)
+            for j, f in enumerate(leaf.features):
+                for k in live:
+                    out[:, f, k] += credits[:, j] * leaf.value[k]
+        return out
 
-def node_table(model: Regressor) -> pd.DataFrame:
-    """Nodes of the fitted forest, read back from its saved form.
 
-    Bounded by trees x 2 ** (depth + 1) rows.
-    """
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.getActiveSession()
-    path = f"{shared_folder(spark)}/forest-{uuid.uuid4().hex}"
-    model.model.save(path)
-    data = spark.read.parquet(f"{path}/data")
-    nodes = data.select("treeID", "nodeData.*")
-    return nodes.select(
-        F.col("treeID").alias("tree"), F.col("id").alias("node"), "prediction", F.col("leftChild").alias("left"),
-        F.col("rightChild").alias("right"), F.col("split.featureIndex").alias("feature"),
-        F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
-    ).orderBy("tree", "node").toPandas()
-
-
-class ForestPaths:
-    def __init__(self, nodes: pd.DataFrame, columns: Sequence[str]):
-        self.columns = list(columns)
-        self.trees = []
-        for _, t in nodes.groupby("tree", sort=True):
-            t = t.set_index("node").sort_index()
-            size = int(t.index.max()) + 1
-            arrays = {k: np.full(size, -1, dtype=int) for k in ("left", "right", "feature")}
-            value, cut = np.zeros(size), np.zeros(size)
-            idx = t.index.to_numpy()
-            for k in arrays:
-                arrays[k][idx] = t[k].fillna(-1).to_numpy().astype(int)
-            value[idx] = t["prediction"].to_numpy()
-            cut[idx] = t["threshold"].fillna(0.0).to_numpy().astype(float)
-            self.trees.append((arrays["left"], arrays["right"], arrays["feature"], cut, value))
-        self.base = float(np.mean([t[4][0] for t in self.trees]))
+def tree_attribution(df: DataFrame, model: TreeEnsemble, key: str) -> DataFrame:
+    """Rows ``(key, output, feature, feature_value, contribution, base)``; one narrow pass.
 
-    def contributions(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros_like(x)
-        rows = np.arange(len(x))
-        for left, right, feature, cut, value in self.trees:
-            at = np.zeros(len(x), dtype=int)
-            while True:
-                inner = left[at] >= 0
-                if not inner.any():
-                    break
-                live, node = rows[inner], at[inner]
-                f = feature[node]
-                nxt = np.where(x[live, f] <= cut[node], left[node], right[node])
-                np.add.at(out, (live, f), value[nxt] - value[node])
-                at[inner] = nxt
-        return out / len(self.trees)
-
-
-def tree_attribution(df: DataFrame, model: Regressor, key: str) -> DataFrame:
-    """Rows ``(key, feature, feature_value, contribution, base)``."""
-    paths = ForestPaths(node_table(model), model.columns)
-    columns = list(model.columns)
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = pdf[columns].to_numpy(dtype=float)
-            c = paths.contributions(x)
-            yield pd.DataFrame({
-                "row_key": np.repeat(pdf["row_key"].to_numpy(), len(columns)), "feature": np.tile(columns, len(pdf)),
-                "feature_value": x.ravel(), "contribution": c.ravel(), "base": paths.base,
-            })
+    Boosted classes are explained on the scale of their scores.
+    """
+    shares = Shapley(model)
+    columns, medians = model.columns, [model.medians.get(c, np.nan) for c in model.columns]
+    d, k = len(columns), model.width
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 1024):
+                b = whole.slice(at, 1024)
+                x, n = matrix(b, range(1, d + 1), medians), len(b)
+                c = shares.contributions(x)
+                yield pa.RecordBatch.from_arrays([
+                    b.column(0).take(pa.array(np.repeat(np.arange(n), d * k))), pa.array(np.tile(np.arange(k), n * d)), pa.array(columns).take(pa.array(np.tile(np.repeat(np.arange(d), k), n))),
+                    pa.array(np.repeat(x.reshape(-1), k)), pa.array(c.reshape(-1)), pa.array(np.tile(shares.base, n * d)),
+                ], names=["row_key", "output", "feature", "feature_value", "contribution", "base"])
 
     src = df.select(F.col(key).cast("long").alias("row_key"), *[F.col(c).cast("double").alias(c) for c in columns])
-    return src.mapInPandas(walk, "row_key long, feature string, feature_value double, contribution double, base double")
+    return src.mapInArrow(walk, "row_key long, output long, feature string, feature_value double, contribution double, base double")
 
 
 def global_attribution(attr: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Mean absolute value of each feature over rows and outputs."""
     return attr.groupBy(*keys, "feature").agg(F.avg(F.abs("contribution")).alias("mean_abs_contribution"))
 
 
 def local_attribution(attr: DataFrame, k: int = 30) -> DataFrame:
-    """The k largest contributions of each row."""
-    return top_per_group(attr, ["row_key"], [F.abs("contribution").desc(), F.col("feature")], k)
+    """The k largest contributions of each row, for the output with the largest sum of sizes (ties: the first)."""
+    sums = attr.groupBy("row_key", "output").agg(F.sum(F.abs("contribution")).alias("_size"))
+    chosen = sums.groupBy("row_key").agg(F.min_by("output", F.struct((-F.col("_size")).alias("less"), F.col("output"))).alias("output"))
+    return top_per_group(attr.join(chosen, ["row_key", "output"]), ["row_key"], [F.abs("contribution").desc(), F.col("feature")], k)
 
 
 def top_feature_timeline(attr: DataFrame, minute: str) -> DataFrame:

@@ -69,28 +69,10 @@ def assemble(df: DataFrame, columns: Sequence[str], name: str = "features") -> D
     return VectorAssembler(inputCols=list(columns), outputCol=name).transform(df)
 
 
-PARTS = 64  # partitions of a sampled fit; a fit's draws depend on this number, the rows and the seed alone
-LOT = 4096  # equal rows that stay together
-
-
-def dealt(df: DataFrame, columns: Sequence[str], label: str, parts: int = PARTS) -> DataFrame:
-    """``columns`` and ``label`` in ``parts`` sorted partitions that depend on the rows alone.
-
-    Forests and sampled boosting draw by partition and row order, so without this
-    the model would change with files and cores. Equal rows are counted first and
-    dealt in lots, so a row repeated by a third of the input fills no partition.
-    """
-    names = list(dict.fromkeys([*columns, label]))
-    counted = df.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
-    lots = F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / LOT).cast("long"))
-    placed = counted.withColumn("_lot", F.explode(lots)).repartition(parts, *names, "_lot").sortWithinPartitions(*names, "_lot")
-    rows = F.least(F.lit(LOT).cast("long"), F.col("_n") - F.col("_lot") * LOT)
-    return placed.select(*names, F.explode(F.sequence(F.lit(1).cast("long"), rows)).alias("_copy")).drop("_copy")
-
-
 def class_weight_balanced(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
-    """n / (K * n_k) per row; the class table has one row per class."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nk"))
-    total = counts.agg((F.sum("_nk") / F.count(F.lit(1))).alias("_r"))
-    weights = counts.select(label, (total.scalar() / F.col("_nk")).alias(name))
-    return df.join(weights, label)
+    """n / (K * n_k) per row, as one expression over the classes, which are few; rows without a label get none."""
+    counts = {r[label]: r["count"] for r in df.where(F.col(label).isNotNull()).groupBy(label).count().collect()}
+    total, weight = sum(counts.values()), F.lit(None).cast("double")
+    for value, n in counts.items():
+        weight = F.when(F.col(label) == value, F.lit(total / (len(counts) * n))).otherwise(weight)
+    return df.withColumn(name, weight).where(F.col(label).isNotNull())

@@ -1,7 +1,8 @@
 """Synthetic minority rows (SMOTE, borderline SMOTE, ADASYN), training rows only.
 
-Neighbors are exact. Every random choice is a hash of the sample number, so the
-synthetic rows do not depend on partitioning.
+Neighbors come from projection hashing (exact up to a bucket of rows, see
+``hashed``). Every random choice is a hash of the sample number, so the synthetic
+rows do not depend on partitioning.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.hashing import uniform_hash
 from ..operators.ordered import sequence
 from ..session import cut_lineage
-from .neighbors import exact_knn
+from .hashed import hashed_knn
 
 
 def _interpolate(a: str, b: str, share: str):
@@ -24,7 +25,7 @@ def _draw(seeds: DataFrame, samples: int, minority: DataFrame, k: int, key: str,
     ``seeds`` has ``key``, ``vector`` and cumulative sample numbers ``first`` and
     ``last``: sample s starts from the row with first <= s < last.
     """
-    near = exact_knn(seeds, minority, k, key, vector).select(F.col(key), F.col("rank"), "neighbor")
+    near = hashed_knn(seeds, minority, k, key, vector).select(F.col(key), F.col("rank"), "neighbor")
     have = near.groupBy(key).agg(F.max("rank").alias("_have"))
     chosen = seeds.join(have, key).withColumn("sample", F.explode(F.sequence("first", F.col("last") - 1)))
     u, v = uniform_hash(F.lit(seed + 1), F.col("sample")), uniform_hash(F.lit(seed + 2), F.col("sample"))
@@ -71,7 +72,7 @@ def danger_rows(df: DataFrame, label: str, value, key: str = "id", vector: str =
     """Minority rows whose m nearest rows are mostly, but not all, of other classes."""
     minority = df.where(F.col(label) == value)
     other = df.select(F.col(key).cast("long").alias("neighbor"), (F.col(label) != value).cast("int").alias("_other"))
-    near = exact_knn(minority, df, m, key, vector).join(other, "neighbor")
+    near = hashed_knn(minority, df, m, key, vector).join(other, "neighbor")
     counts = near.groupBy(key).agg(F.sum("_other").alias("others"), F.count(F.lit(1)).alias("seen"))
     return counts.where((F.col("others") * 2 >= F.col("seen")) & (F.col("others") < F.col("seen"))).select(key)
 
@@ -93,7 +94,7 @@ def adasyn(df: DataFrame, label: str, value, key: str = "id", vector: str = "vec
     n, top = _sizes(df, label, value)
     minority = cut_lineage(_plain(df.where(F.col(label) == value), key, vector))
     other = df.select(F.col(key).cast("long").alias("neighbor"), (F.col(label) != value).cast("int").alias("_other"))
-    shares = exact_knn(minority, df, k, key, vector).join(other, "neighbor").groupBy(key).agg(F.avg("_other").alias("_ratio"))
+    shares = hashed_knn(minority, df, k, key, vector).join(other, "neighbor").groupBy(key).agg(F.avg("_other").alias("_ratio"))
     total = shares.agg(F.sum("_ratio")).first()[0] or 0.0
     if total == 0:
         raise ValueError("no row of another class among the neighbors")

@@ -1,78 +1,57 @@
-"""Forests and boosting on pyspark.ml, on rows dealt the same way at every size and core count."""
+"""Forests and boosting in the forms that the experiments use."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
-from .linear import FEATURES, Classifier, Regressor
-from .prepare import PARTS, assemble, dealt
+from .ensembles import BINS, TreeEnsemble, boosted_trees, random_forest
 
-_CLASS = dict(featuresCol=FEATURES, labelCol="_label", probabilityCol="_probability", rawPredictionCol="_raw", predictionCol="_prediction")
 
+def _keyed(df: DataFrame, columns: Sequence[str], label: str, key: str | None) -> tuple[DataFrame, str]:
+    """Rows without a key of their own draw by their values, so equal rows draw alike."""
+    return (df, key) if key else (df.withColumn("_key", F.xxhash64(*columns, label)), "_key")
 
-def _rows(df: DataFrame, columns: Sequence[str], label: str, parts: int) -> DataFrame:
-    return assemble(dealt(df, columns, label, parts), columns, FEATURES).select(FEATURES, F.col(label).cast("double").alias("_label"))
 
+def _classes(df: DataFrame, label: str) -> int:
+    top = df.agg(F.max(label)).first()[0]
+    return 1 if top is None else int(top) + 1
 
-def random_forest_classifier(df: DataFrame, columns: Sequence[str], label: str, trees: int = 200, max_depth: int = 5, min_leaf: int = 3, seed: int = 42, parts: int = PARTS) -> Classifier:
-    rf = RandomForestClassifier(numTrees=trees, maxDepth=max_depth, minInstancesPerNode=min_leaf, seed=seed, **_CLASS)
-    model = rf.fit(_rows(df, columns, label, parts))
-    return Classifier(model, columns, range(model.numClasses))
 
+def random_forest_classifier(df: DataFrame, columns: Sequence[str], label: str, trees: int = 200, max_depth: int = 5, min_leaf: int = 3, seed: int = 42, key: str | None = None, classes: int | None = None) -> TreeEnsemble:
+    df, key = _keyed(df, columns, label, key)
+    return random_forest(df, columns, label, key, classes or _classes(df, label), trees, max_depth, min_leaf, seed=seed)
 
-def random_forest_regressor(df: DataFrame, columns: Sequence[str], target: str, trees: int = 200, max_depth: int = 5, min_leaf: int = 3, seed: int = 42, parts: int = PARTS) -> Regressor:
-    rf = RandomForestRegressor(numTrees=trees, maxDepth=max_depth, minInstancesPerNode=min_leaf, seed=seed,
-                               featuresCol=FEATURES, labelCol="_label", predictionCol="_prediction")
-    return Regressor(rf.fit(_rows(df, columns, target, parts)), columns)
 
+def random_forest_regressor(df: DataFrame, columns: Sequence[str], target: str, trees: int = 200, max_depth: int = 5, min_leaf: int = 3, seed: int = 42, key: str | None = None) -> TreeEnsemble:
+    df, key = _keyed(df, columns, target, key)
+    return random_forest(df, columns, target, key, 0, trees, max_depth, min_leaf, seed=seed)
 
-def gradient_boosting_regressor(
-    df: DataFrame, columns: Sequence[str], target: str, rounds: int = 100, rate: float = 0.04, max_depth: int = 2,
-    loss: str = "absolute", row_share: float = 1.0, column_share: str = "all", bins: int = 32, seed: int = 42, parts: int = PARTS,
-) -> Regressor:
-    """Boosted trees. Huber loss is not offered by Spark: 'absolute' is the robust
-    choice, 'squared' the plain one. Row and column shares and a bin count give
-    the histogram variant."""
-    gbt = GBTRegressor(maxIter=rounds, stepSize=rate, maxDepth=max_depth, lossType=loss, subsamplingRate=row_share,
-                       featureSubsetStrategy=column_share, maxBins=bins, seed=seed,
-                       featuresCol=FEATURES, labelCol="_label", predictionCol="_prediction")
-    return Regressor(gbt.fit(_rows(df, columns, target, parts)), columns)
-
-
-class BoostedClassifier:
-    """One boosted model per class; their probabilities are normalized."""
 
-    def __init__(self, models, columns: Sequence[str]):
-        self.models, self.columns = models, list(columns)
-
-    def transform(self, df: DataFrame, names: Sequence[str]) -> DataFrame:
-        out = assemble(df, self.columns, FEATURES)
-        for name, model in zip(names, self.models):
-            out = model.transform(out).withColumn(name, vector_to_array("_probability")[1]).drop("_probability", "_raw", "_prediction")
-        total = sum((F.col(n) for n in names[1:]), F.col(names[0]))
-        out = out.withColumn("_total", total)
-        return out.withColumns({n: F.try_divide(F.col(n), F.col("_total")) for n in names}).drop("_total", FEATURES)
+def gradient_boosting_regressor(
+    df: DataFrame, columns: Sequence[str], target: str, rounds: int = 100, rate: float = 0.04, max_depth: int = 2, loss: str = "huber",
+    row_share: float = 1.0, bins: int = BINS, seed: int = 42, key: str | None = None, history: list[float] | None = None,
+) -> TreeEnsemble:
+    df, key = _keyed(df, columns, target, key)
+    return boosted_trees(df, columns, target, key, 0, rounds, rate, max_depth, loss, row_share=row_share, bins=bins, seed=seed, history=history)
 
 
 def gradient_boosting_classifier(
-    df: DataFrame, columns: Sequence[str], label: str, classes: int, rounds: int = 100, rate: float = 0.04, max_depth: int = 2,
-    row_share: float = 1.0, column_share: str = "all", bins: int = 32, seed: int = 42, parts: int = PARTS,
-) -> BoostedClassifier:
-    """Multiclass boosting as one-vs-rest; the assembled input is shared."""
-    data = _rows(df, columns, label, parts).withColumnRenamed("_label", "_class").persist()
-    try:
-        models = []
-        for k in range(classes):
-            gbt = GBTClassifier(maxIter=rounds, stepSize=rate, maxDepth=max_depth, subsamplingRate=row_share,
-                                featureSubsetStrategy=column_share, maxBins=bins, seed=seed,
-                                featuresCol=FEATURES, labelCol="_label", predictionCol="_prediction")
-            gbt = gbt.setProbabilityCol("_probability").setRawPredictionCol("_raw")
-            models.append(gbt.fit(data.withColumn("_label", F.when(F.col("_class") == k, 1.0).otherwise(0.0))))
-    finally:
-        data.unpersist()
-    return BoostedClassifier(models, columns)
+    df: DataFrame, columns: Sequence[str], label: str, classes: int | None = None, rounds: int = 100, rate: float = 0.04, max_depth: int = 2,
+    row_share: float = 1.0, bins: int = BINS, seed: int = 42, key: str | None = None, history: list[float] | None = None,
+) -> TreeEnsemble:
+    """Multinomial deviance; every round grows one tree per class."""
+    df, key = _keyed(df, columns, label, key)
+    return boosted_trees(df, columns, label, key, classes or _classes(df, label), rounds, rate, max_depth, row_share=row_share, bins=bins, seed=seed, history=history)
+
+
+def histogram_boosting(
+    df: DataFrame, columns: Sequence[str], label: str, classes: int = 0, rounds: int = 150, rate: float = 0.04, max_depth: int = 3, ridge: float = 1.0,
+    row_share: float = 0.85, column_share: float = 0.8, bins: int = BINS, seed: int = 42, key: str | None = None, history: list[float] | None = None,
+) -> TreeEnsemble:
+    """Second-order boosting with sampled rows and columns; numbers without ``classes``."""
+    df, key = _keyed(df, columns, label, key)
+    return boosted_trees(
+        df, columns, label, key, classes, rounds, rate, max_depth, newton=True, ridge=ridge, row_share=row_share, column_share=column_share, bins=bins, seed=seed, history=history,
+    )

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import columns as C
-from ..models import attribution as AT, calibrate as CA, figs as FG, kernel as KE, linear as LI, neighbors as NB, prepare as PR, resample as RS, sweep as SW, trees as TR
+from ..functions import hashing as H
+from ..models import attribution as AT, calibrate as CA, ensembles as EN, figs as FG, hashed as HN, kernel as KE, linear as LI, neighbors as NB, prepare as PR, resample as RS, sweep as SW, trees as TR
 from ..operators import folds as FO, ordered as O, scoring as SC
 from ..sources import adapters as A
 from .forecasts import LOSS, forecasts
@@ -114,53 +114,119 @@ def margin_clip(spark, sf_dir):
 # -- trees -------------------------------------------------------------------------
 
 
+OUTCOMES = ("p_A", "p_D", "p_H")
+
+
+def _probabilities(model, df):
+    return final(model.transform(df, OUTCOMES).select("row_id", *OUTCOMES), 6)
+
+
 @query("random_forest_classifier")
 def random_forest_classifier(spark, sf_dir):
     df = items(spark, sf_dir)
-    m = TR.random_forest_classifier(df, X, "y", trees=20)
-    return final(m.transform(df, ("p_A", "p_D", "p_H")).select("row_id", "p_A", "p_D", "p_H"), 6)
+    return _probabilities(TR.random_forest_classifier(df, X, "y", key="row_id", classes=3), df)
 
 
 @query("random_forest_regressor")
 def random_forest_regressor(spark, sf_dir):
     df = items(spark, sf_dir)
-    return final(TR.random_forest_regressor(df, X, "price", trees=20).transform(df).select("row_id", "prediction"), 6)
+    return final(TR.random_forest_regressor(df, X, "price", key="row_id").transform(df).select("row_id", "prediction"), 6)
 
 
 @query("gradient_boosting_regressor")
 def gradient_boosting_regressor(spark, sf_dir):
     df = items(spark, sf_dir)
-    return final(TR.gradient_boosting_regressor(df, X, "price", rounds=10, rate=0.2).transform(df).select("row_id", "prediction"), 6)
+    return final(TR.gradient_boosting_regressor(df, X, "price", key="row_id").transform(df).select("row_id", "prediction"), 6)
 
 
 @query("gradient_boosting_classifier")
 def gradient_boosting_classifier(spark, sf_dir):
     df = items(spark, sf_dir)
-    m = TR.gradient_boosting_classifier(df, X, "y", 3, rounds=5, rate=0.2)
-    return final(m.transform(df, ("p_A", "p_D", "p_H")).select("row_id", "p_A", "p_D", "p_H"), 6)
+    return _probabilities(TR.gradient_boosting_classifier(df, X, "y", 3, key="row_id"), df)
 
 
 @query("histogram_boosting")
 def histogram_boosting(spark, sf_dir):
     df = items(spark, sf_dir)
-    m = TR.gradient_boosting_regressor(df, X, "price", rounds=10, rate=0.2, max_depth=3, loss="squared", row_share=0.85, column_share="0.8", bins=64)
-    return final(m.transform(df).select("row_id", "prediction"), 6)
+    return final(TR.histogram_boosting(df, X, "price", key="row_id").transform(df).select("row_id", "prediction"), 6)
 
 
-# The same forests at the size of the reference.
+@query("histogram_boosting_classifier")
+def histogram_boosting_classifier(spark, sf_dir):
+    df = items(spark, sf_dir)
+    return _probabilities(TR.histogram_boosting(df, X, "y", 3, key="row_id"), df)
 
 
 @query("random_forest_classifier_200")
 def random_forest_classifier_200(spark, sf_dir):
-    df = items(spark, sf_dir)
-    m = TR.random_forest_classifier(df, X, "y", trees=200)
-    return final(m.transform(df, ("p_A", "p_D", "p_H")).select("row_id", "p_A", "p_D", "p_H"), 6)
+    return random_forest_classifier(spark, sf_dir)
 
 
 @query("random_forest_regressor_200")
 def random_forest_regressor_200(spark, sf_dir):
-    df = items(spark, sf_dir)
-    return final(TR.random_forest_regressor(df, X, "price", trees=200).transform(df).select("row_id", "prediction"), 6)
+    return random_forest_regressor(spark, sf_dir)
+
+
+# Small fits that SQL can follow: trees of one split.
+
+ITEMS_SQL = "SELECT l_orderkey * 8 + l_linenumber AS row_id, l_quantity, l_discount, l_tax, l_extendedprice / 10000.0 AS price FROM lineitem"
+
+
+def _uniform_sql(draw: int, key: str, seed: int = 42) -> str:
+    p = H.PRIME
+    x = f"({draw} * 1000003::BIGINT + {key} % {p} * 7919 + {seed}) % {p}"
+    x = f"(({x}) * ({x}) % {p} + {draw} * 104729::BIGINT) % {p}"
+    return f"list_reduce([({x}), {key} % {p}], lambda a, k: (((a * a) % {p} + k * 15485863) % {p}) * (((a * a) % {p} + k * 15485863) % {p}) % {p}) / {float(p)}::DOUBLE"
+
+
+def _poisson_sql(u: str) -> str:
+    cases = " ".join(f"WHEN u < {c!r}::DOUBLE THEN {n}" for n, c in enumerate(H.POISSON_CDF))
+    return f"(SELECT CASE {cases} ELSE {len(H.POISSON_CDF)} END FROM (SELECT {u} AS u))"
+
+
+def _best_stump_sql(src: str, value: str, weight: str, least: int) -> str:
+    """(i, threshold, lv, rv, n): the best split of ``src`` by weighted squared error; ties to the first feature and cut."""
+    parts = [f"SELECT {i} AS i, {x} AS v, sum({weight}) AS n, sum({weight} * {value}) AS s FROM {src} GROUP BY {x}" for i, x in enumerate(X)]
+    return f"""SELECT i, (v + nv) / 2 AS threshold, sl / nl AS lv, (s - sl) / (n - nl) AS rv, n FROM (
+  SELECT i, v, lead(v) OVER (PARTITION BY i ORDER BY v) AS nv, sum(n) OVER (PARTITION BY i ORDER BY v) AS nl, sum(s) OVER (PARTITION BY i ORDER BY v) AS sl,
+    sum(n) OVER (PARTITION BY i) AS n, sum(s) OVER (PARTITION BY i) AS s FROM ({' UNION ALL '.join(parts)}))
+  WHERE nv IS NOT NULL AND nl >= {least} AND n - nl >= {least} ORDER BY sl * sl / nl + (s - sl) * (s - sl) / (n - nl) - s * s / n DESC, i, v LIMIT 1"""
+
+
+def _stumps_frame(spark, model):
+    """One row per tree of one split; the trees are few."""
+    rows = [(t, model.columns[x.feature[0]], float(x.threshold[0]), float(x.value[1][0]), float(x.value[2][0]), int(x.cover[0])) for t, x in enumerate(model.trees)]
+    return final(spark.createDataFrame(rows, "tree long, feature string, threshold double, left_value double, right_value double, rows long"), 6)
+
+
+def _stump_row(t: int, src: str, n: str) -> str:
+    return f"SELECT {t}::BIGINT AS tree, {X}[i + 1] AS feature, round(threshold, 6) AS threshold, round(lv, 6) AS left_value, round(rv, 6) AS right_value, {n} AS rows FROM {src}"
+
+
+STUMPS = 5
+
+
+@query("forest_stumps", " UNION ALL ".join(_stump_row(t, f"b{t}", "CAST(n AS BIGINT)") for t in range(STUMPS)), extra={
+    "it": ITEMS_SQL,
+    **{k: v for t in range(STUMPS) for k, v in ((f"w{t}", f"SELECT *, {_poisson_sql(_uniform_sql(t + 1, 'row_id'))} AS w FROM it"), (f"b{t}", _best_stump_sql(f"w{t}", "price", "w", 3)))}})
+def forest_stumps(spark, sf_dir):
+    """The first trees of a forest, cut to one split: bootstrap weights and splits as plain SQL."""
+    return _stumps_frame(spark, TR.random_forest_regressor(items(spark, sf_dir), X, "price", trees=STUMPS, max_depth=1, key="row_id"))
+
+
+def _boosting_sql():
+    out = {"it": ITEMS_SQL, "s0": "SELECT *, price - (SELECT avg(price) FROM it) AS r FROM it"}
+    for t in range(STUMPS):
+        out[f"b{t}"] = _best_stump_sql(f"s{t}", "r", "1", 1)
+        value = f"[{', '.join(X)}][i + 1] <= threshold"
+        out[f"s{t + 1}"] = f"SELECT s{t}.* EXCLUDE (r), r - CAST(0.3 AS DOUBLE) * CASE WHEN {value} THEN lv ELSE rv END AS r FROM s{t}, b{t}"
+    return out
+
+
+@query("boosting_stumps", " UNION ALL ".join(_stump_row(t, f"b{t}", "CAST(n AS BIGINT)") for t in range(STUMPS)), extra=_boosting_sql())
+def boosting_stumps(spark, sf_dir):
+    """Rounds of boosted single splits with squared loss; the oracle follows the residuals."""
+    return _stumps_frame(spark, TR.gradient_boosting_regressor(items(spark, sf_dir), X, "price", rounds=STUMPS, rate=0.3, max_depth=1, loss="squared", key="row_id"))
 
 
 @query("rbf_ridge")
@@ -378,18 +444,109 @@ def adasyn(spark, sf_dir):
     return final(_shape(RS.adasyn(v, "label", small_class(v))))
 
 
+# All synthetic rows: neighbors, draws and interpolation as plain SQL.
+
+NEAR_SQL = """SELECT a.vec_id AS id, b.vec_id AS neighbor, b.label AS other, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d
+FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.label = (SELECT label FROM c ORDER BY n, label LIMIT 1)"""
+SYNTHETIC = {
+    "c": "SELECT label, count(*) AS n FROM embeddings GROUP BY 1",
+    "z": "SELECT label, n, (SELECT max(n) FROM c) - n AS samples FROM c ORDER BY n, label LIMIT 1",
+    "nr": NEAR_SQL,
+    "nk": "SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, neighbor) AS rank FROM nr, z WHERE other = label QUALIFY rank <= 3",
+}
+EVEN = """SELECT *, sum(k) OVER (ORDER BY id) - k AS first FROM (SELECT id, samples // count(*) OVER () + CASE WHEN row_number() OVER (ORDER BY id) <= samples % count(*) OVER () THEN 1 ELSE 0 END AS k FROM {src}, z)"""
+DRAWN = f"""SELECT sample, id, rank, {_uniform_sql(44, 'sample')} AS share FROM (
+  SELECT id, CAST(unnest(range(CAST(first AS BIGINT), CAST(first + k AS BIGINT))) AS BIGINT) AS sample FROM sd) JOIN (SELECT id, max(rank) AS have FROM nk GROUP BY id) USING (id), LATERAL (SELECT floor({_uniform_sql(43, 'sample')} * have) + 1 AS rank)"""
+SYNTHETIC_SQL = """SELECT sample, r.id AS seed_id, neighbor AS neighbor_id, round(share, 9) AS share, (SELECT label FROM z)::BIGINT AS label,
+  round(a.embedding[1] + share * (b.embedding[1]::DOUBLE - a.embedding[1]), 6) AS first_value,
+  round(list_sum([i * (a.embedding[i] + share * (b.embedding[i]::DOUBLE - a.embedding[i])) FOR i IN range(1, 65)]), 4) AS weighted_sum
+FROM dr r JOIN nk ON nk.id = r.id AND nk.rank = r.rank JOIN embeddings a ON a.vec_id = r.id JOIN embeddings b ON b.vec_id = nk.neighbor"""
+
+
+def _rows(df):
+    """Synthetic rows with the first value and a weighted sum of their vectors."""
+    places = F.sequence(F.lit(1), F.size("vector"))
+    weighted = F.aggregate(F.zip_with("vector", places, lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x)
+    out = df.select("sample", "seed_id", "neighbor_id", "share", F.col("label").cast("long").alias("label"), F.round(F.get("vector", F.lit(0)), 6).alias("first_value"), F.round(weighted, 4).alias("weighted_sum"))
+    return final(out)
+
+
+@query("smote_rows", SYNTHETIC_SQL, extra={**SYNTHETIC, "mn": "SELECT vec_id AS id FROM embeddings JOIN z USING (label)", "sd": EVEN.format(src="mn"), "dr": DRAWN})
+def smote_rows(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    return _rows(RS.smote(v, "label", small_class(v)))
+
+
+@query("borderline_smote_rows", SYNTHETIC_SQL, extra={
+    **SYNTHETIC, "dg": """SELECT id FROM (SELECT id, other <> label AS differs FROM nr, z QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, neighbor) <= 10)
+GROUP BY id HAVING 2 * count_if(differs) >= count(*) AND count_if(differs) < count(*)""", "sd": EVEN.format(src="dg"), "dr": DRAWN})
+def borderline_smote_rows(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    return _rows(RS.borderline_smote(v, "label", small_class(v)))
+
+
+@query("adasyn_rows", SYNTHETIC_SQL, extra={
+    **SYNTHETIC, "sh": """SELECT id, avg(CAST(differs AS INTEGER)) AS share FROM (SELECT id, other <> label AS differs FROM nr, z QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, neighbor) <= 3) GROUP BY id""",
+    "sd": """SELECT id, round((upto - share) * f) AS first, round(upto * f) - round((upto - share) * f) AS k FROM (
+  SELECT *, sum(share) OVER (ORDER BY id) AS upto, samples / sum(share) OVER () AS f FROM sh, z)""", "dr": DRAWN})
+def adasyn_rows(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    return _rows(RS.adasyn(v, "label", small_class(v)))
+
+
+@query("hashed_knn", """
+SELECT id, neighbor, CAST(rank AS BIGINT) AS rank, round(d, 6) AS distance FROM (
+  SELECT a.vec_id AS id, b.vec_id AS neighbor, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d,
+    row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), b.vec_id) AS rank
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) WHERE rank <= 3""")
+def hashed_knn(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    return final(HN.hashed_knn(v, v, 3), 6)
+
+
 # -- attribution ----------------------------------------------------------------------------
 
 
 def _attribution(spark, sf_dir):
     df = _labelled(spark, sf_dir)
-    model = TR.random_forest_regressor(df, ODDS, "goal_margin", trees=5, max_depth=4)
+    model = TR.random_forest_regressor(df, ODDS, "goal_margin", key="match_id")
     return df, model, AT.tree_attribution(df, model, "match_id")
 
 
+ODDS_STUMP = " UNION ALL ".join(f"SELECT {i} AS i, b365{x} AS v, count(*) AS n, CAST(sum(greatest(least(home_score - away_score, 5), -5)) AS DOUBLE) AS s FROM m GROUP BY 2" for i, x in enumerate("hda"))
+
+
+@query("stump_attribution", """
+SELECT match_id AS row_key, 0::BIGINT AS output, ['b365h', 'b365d', 'b365a'][f.i + 1] AS feature, round([b365h, b365d, b365a][f.i + 1], 6) AS feature_value,
+  round(CASE WHEN f.i <> b.i THEN 0 WHEN [b365h, b365d, b365a][f.i + 1] <= threshold THEN lv - mean ELSE rv - mean END, 6) AS contribution, round(mean, 6) AS base
+FROM m, bs b, (SELECT unnest([0, 1, 2]) AS i) f""", "m", {
+    "st": ODDS_STUMP,
+    "bs": """SELECT i, (v + nv) / 2 AS threshold, sl / nl AS lv, (s - sl) / (n - nl) AS rv, s / n AS mean FROM (
+  SELECT i, v, lead(v) OVER (PARTITION BY i ORDER BY v) AS nv, sum(n) OVER (PARTITION BY i ORDER BY v) AS nl, sum(s) OVER (PARTITION BY i ORDER BY v) AS sl,
+    sum(n) OVER (PARTITION BY i) AS n, sum(s) OVER (PARTITION BY i) AS s FROM st)
+  WHERE nv IS NOT NULL AND nl >= 3 AND n - nl >= 3 ORDER BY sl * sl / nl + (s - sl) * (s - sl) / (n - nl) - s * s / n DESC, i, v LIMIT 1"""})
+def stump_attribution(spark, sf_dir):
+    """Shapley values of a single split: the split feature takes the leaf's difference from the mean."""
+    df = _labelled(spark, sf_dir)
+    model = EN.random_forest(df, ODDS, "goal_margin", "match_id", trees=1, max_depth=1, bootstrap=False)
+    return final(AT.tree_attribution(df, model, "match_id"), 6)
+
+
+@query("class_attribution", "SELECT CAST(count(*) AS BIGINT) AS rows, CAST(0 AS DOUBLE) AS largest_gap FROM orders")
+def class_attribution(spark, sf_dir):
+    """Shapley values per class of a forest add up to its probabilities minus the base."""
+    df = _labelled(spark, sf_dir)
+    model = TR.random_forest_classifier(df, ODDS, "y", key="match_id", classes=3)
+    attr = AT.tree_attribution(df, model, "match_id")
+    total = attr.groupBy("row_key").pivot("output", [0, 1, 2]).agg((F.sum("contribution") + F.max("base")).alias("p"))
+    both = total.join(model.transform(df, OUTCOMES).select(F.col("match_id").alias("row_key"), *OUTCOMES), "row_key")
+    gap = F.greatest(*[F.abs(F.col(str(k)) - F.col(x)) for k, x in enumerate(OUTCOMES)])
+    return final(both.agg(F.count(F.lit(1)).alias("rows"), F.max(gap).alias("largest_gap")), 6)
+
+
 @query("tree_attribution", "SELECT count(*) AS rows, CAST(0 AS DOUBLE) AS largest_gap FROM orders")
 def tree_attribution(spark, sf_dir):
-    """Contributions of each row must add up to its prediction minus the base."""
+    """Shapley values of each row must add up to its prediction minus the base."""
     df, model, attr = _attribution(spark, sf_dir)
     total = attr.groupBy("row_key").agg(F.sum("contribution").alias("c"), F.max("base").alias("base"))
     pred = model.transform(df).select(F.col("match_id").alias("row_key"), "prediction")
@@ -404,7 +561,7 @@ def global_attribution(spark, sf_dir):
 
 @query("local_attribution")
 def local_attribution(spark, sf_dir):
-    return final(AT.local_attribution(_attribution(spark, sf_dir)[2], 2).select("row_key", "feature", "contribution", "rank"), 6)
+    return final(AT.local_attribution(_attribution(spark, sf_dir)[2]).select("row_key", "feature", "contribution", "rank"), 6)
 
 
 @query("attribution_timeline")
