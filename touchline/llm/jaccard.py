@@ -268,7 +268,7 @@ def _grouped(docs: DataFrame, words: int, percent: int, keep: Scratch) -> tuple[
     found = _Found(docs, classes, words, percent, keep)
     stars = posts.where("cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct()
     found.check(filtered(stars, classes, percent))
-    sizes = posts.groupBy("h").count().where(F.col("count") > CELL)
+    sizes = keep.saved(posts.groupBy("h").count().where(F.col("count") > CELL))
     hot = keep.saved(posts.join(sizes, "h").withColumn("cells", F.ceil(F.col("count") / CELL)).select("h", "cls", "at", "cells"))
     if not hot.isEmpty():
         turns = hot.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(ROUNDS - 1))))
@@ -311,7 +311,8 @@ def _with_root(rows: DataFrame, known: DataFrame | None) -> DataFrame:
 def _rest(posts: DataFrame, classes: DataFrame, roots: DataFrame | None, percent: int, keep: Scratch) -> DataFrame:
     """Pairs (a, b) of different components that share a cell of a list and pass all filters."""
     rows = _with_root(posts.select("h", "cls", "at", "cell"), roots)
-    lists = rows.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
+    # written first: so few lists that they need no shuffle of the rows, which would gather long ones, are known to be few
+    lists = keep.saved(rows.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h"))
     place = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos")
     rows = keep.saved(rows.join(lists, "h").join(classes.select("cls", "n", "profile"), "cls").select("h", "cell", "cls", "root", "n", place, "profile"))
     others = rows.select(*[F.col(c).alias(f"other_{c}") for c in rows.columns])
