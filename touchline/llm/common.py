@@ -188,21 +188,33 @@ class PresenceModel:
         return 1.0 / (1.0 + np.exp(-np.clip(out + self.bias, -60, 60)))
 
 
-def presence_chunks(array: pa.Array, features: Callable, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Distinct (text, feature) pairs chunk by chunk, as (text index, feature index), sorted by text."""
-    for first, _, data, offsets in text_chunks(array):
-        keys = [np.unique((r.astype(np.int64) << bits) | i.astype(np.int64)) for r, i in features(data, offsets, bits)]
-        found = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-        yield ((found >> bits) + first).astype(np.int32), (found & ((1 << bits) - 1)).astype(np.int32)
+def presence_chunks(array: pa.Array, features: Callable, bits: int, live: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct (text, feature) pairs chunk by chunk, as (text index, feature index), sorted by text; only ``live`` features if given."""
+    slot = np.zeros(1 << bits, np.int32)
+    for first, end, data, offsets in text_chunks(array):
+        parts = []
+        for rows, index in features(data, offsets, bits):
+            if live is not None:
+                hit = live[index]
+                rows, index = rows[hit], index[hit]
+            parts.append((index, np.searchsorted(rows, np.arange(end - first + 1))))
+        counts, out = np.zeros(end - first, np.int64), []
+        for t in range(end - first):
+            own = np.concatenate([index[bounds[t] : bounds[t + 1]] for index, bounds in parts]) if parts else np.zeros(0, np.int64)
+            place = np.arange(len(own), dtype=np.int32)
+            slot[own] = place  # the last occurrence stays
+            own = own[slot[own] == place]
+            counts[t] = len(own)
+            out.append(own.astype(np.int32))
+        yield np.repeat(np.arange(first, end, dtype=np.int32), counts), np.concatenate(out)
 
 
 def presence_rows(array: pa.Array, features: Callable, bits: int, live: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of all texts, only those of ``live`` features if given."""
+    """The pairs of all texts."""
     rows, index = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
-    for r, i in presence_chunks(array, features, bits):
-        keep = slice(None) if live is None else live[i]
-        rows.append(r[keep])
-        index.append(i[keep])
+    for r, i in presence_chunks(array, features, bits, live):
+        rows.append(r)
+        index.append(i)
     return np.concatenate(rows), np.concatenate(index)
 
 

@@ -33,7 +33,7 @@ BITS = 20
 FIT_ROWS = 8000  # bound of the labelled sample
 SMOOTHING = 1.0
 LEAST_TEXTS = 3
-PAIRS_AT_ONCE = 1 << 20  # of text and feature, in a step of the fit
+PAIRS_AT_ONCE = 1 << 21  # of text and feature, in a step of the fit
 MIN_RATIO = 1.0  # features whose ratio is nearer to zero weigh nothing
 RIDGE = 5.0
 STEPS = 80
@@ -75,6 +75,16 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> Iterator[tuple
             yield rows[inside], (mixed(h[inside]) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def _parts(ends: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of texts of about ``PAIRS_AT_ONCE`` pairs together, at least one text each."""
+    out, a = [], 0
+    while a < len(ends) - 1:
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + PAIRS_AT_ONCE, "right")) - 1)
+        out.append((a, b))
+        a = b
+    return out
+
+
 def fit_texts(texts: pa.Array, labels: np.ndarray, bits: int = BITS) -> PresenceModel:
     """Ratios and weights from the texts of the sample."""
     pos, neg = int((labels == 1).sum()), int((labels != 1).sum())
@@ -91,21 +101,22 @@ def fit_texts(texts: pa.Array, labels: np.ndarray, bits: int = BITS) -> Presence
     names = np.flatnonzero(ratio)
     rows, index = presence_rows(texts, features, bits, ratio != 0)  # a second pass keeps what weighs
     place = (np.cumsum(ratio != 0) - 1)[index].astype(np.int32)
-    x = ratio.astype(np.float32)[index]
-    y = (labels == 1).astype(float)
+    del index
+    r, y = ratio[names], (labels == 1).astype(float)
+    ends = np.searchsorted(rows, np.arange(len(y) + 1))  # rows are sorted
+    del rows
+    parts = _parts(ends)
     w, bias = np.zeros(len(names)), float(np.log(pos / neg))
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for step in range(1, STEPS + 1):  # Adam on the whole sample
-        z = np.full(len(y), bias)
-        for a in range(0, len(x), PAIRS_AT_ONCE):
-            part = slice(a, a + PAIRS_AT_ONCE)
-            z += np.bincount(rows[part], weights=w[place[part]] * x[part], minlength=len(y))
+        z, slope, scaled = np.full(len(y), bias), np.zeros(len(names)), w * r
+        for a, b in parts:
+            sums = np.append(0.0, np.cumsum(scaled[place[ends[a] : ends[b]]]))
+            z[a:b] += np.diff(sums[ends[a : b + 1] - ends[a]])
         error = 1 / (1 + np.exp(-np.clip(z, -60, 60))) - y
-        slope = np.zeros(len(names))
-        for a in range(0, len(x), PAIRS_AT_ONCE):
-            part = slice(a, a + PAIRS_AT_ONCE)
-            slope += np.bincount(place[part], weights=error[rows[part]] * x[part], minlength=len(names))
-        gradient = np.append(slope / len(y) + RIDGE * w / len(y), error.mean())
+        for a, b in parts:
+            slope += np.bincount(place[ends[a] : ends[b]], weights=np.repeat(error[a:b], np.diff(ends[a : b + 1])), minlength=len(names))
+        gradient = np.append(slope * r / len(y) + RIDGE * w / len(y), error.mean())
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
