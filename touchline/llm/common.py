@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -42,6 +43,18 @@ def filesystem(folder: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(folder)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for the jobs run inside, as rows that hold whole texts need."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Scratch:
     """Written copies of intermediate tables, dropped together once nothing reads them any more."""
 

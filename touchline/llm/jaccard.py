@@ -46,12 +46,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import LongType, StructField
 
-from .common import NGRAM_FACTOR, Scratch, append_columns, mixed, run_hashes, text_chunks
+from .common import NGRAM_FACTOR, Scratch, append_columns, mixed, run_hashes, small_batches, text_chunks
 from .components import components
 
 SKETCH_BITS = 20
 SKETCH_ROW = 1 << 14  # counters per row while summing
 RANGES = 32  # of the suffix profile
+PAIR_ROWS = 128  # pairs of whole texts in a batch
 SMALL_ROWS = 1 << 20  # wanted rows up to which their ids are sent to all tasks
 CLASS = "jaccard_class_of_text"  # helper column
 CELL = 16  # classes of a long list that are compared with each other
@@ -242,7 +243,9 @@ def verified(docs: DataFrame, classes: DataFrame, checked: DataFrame, words: int
                 link.append(100 * common >= percent * (len(x) + len(y) - common))
             yield b.select(["a", "b"]).filter(pa.array(link, pa.bool_()))
 
-    return keep.saved(one.join(two, "a").select("a", "b", "one", "two").mapInArrow(verify, "a long, b long").distinct())
+    linked = one.join(two, "a").select("a", "b", "one", "two").mapInArrow(verify, "a long, b long").distinct()
+    with small_batches(docs.sparkSession, PAIR_ROWS):
+        return keep.saved(linked)
 
 
 def join_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
