@@ -6,6 +6,7 @@ and the same formula runs in any SQL engine.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 PRIME = 2147483647
@@ -35,3 +36,17 @@ def poisson_one(u: Column) -> Column:
     for n, edge in enumerate(POISSON_CDF[1:], start=1):
         out = out.when(u < edge, n)
     return out.otherwise(len(POISSON_CDF))
+
+
+def uniforms(draw, key: np.ndarray, seed: int = 42) -> np.ndarray:
+    """``uniform_hash`` for arrays of draws and of keys that are already reduced modulo PRIME."""
+    d = np.asarray(draw, np.int64) % PRIME
+    x = (d * 1000003 + key * 7919 + seed) % PRIME
+    x = ((x * x) % PRIME + d * 104729) % PRIME
+    x = ((x * x) % PRIME + key * 15485863) % PRIME
+    return ((x * x) % PRIME) / float(PRIME)
+
+
+def poisson_ones(u: np.ndarray) -> np.ndarray:
+    """``poisson_one`` for arrays."""
+    return np.searchsorted(np.array(POISSON_CDF), u, side="right")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import columns as C, constants as K
+from . import isotonic
 from .linear import apply_softmax, multinomial_logistic
 
 P = ("p_A", "p_D", "p_H")
@@ -42,7 +42,7 @@ class IsotonicModel:
     def transform(self, df: DataFrame, p: Sequence[str] = P, names: Sequence[str] = P) -> DataFrame:
         out = df.withColumns({f"_q{i}": x for i, x in enumerate(C.clipped_probabilities(p))})
         for i, m in enumerate(self.models):
-            out = m.transform(out.withColumnRenamed(f"_q{i}", "_x")).withColumnRenamed("_x", f"_q{i}").withColumnRenamed("_iso", f"_i{i}")
+            out = m.transform(out, f"_q{i}", f"_i{i}")
         raw = [F.col(f"_i{i}") for i in range(len(self.models))]
         empty = sum(raw[1:], raw[0]) <= 1e-15
         kept = [F.when(empty, F.col(f"_q{i}")).otherwise(r) for i, r in enumerate(raw)]
@@ -58,7 +58,7 @@ def isotonic_calibrate(df: DataFrame, actual: str = "actual", p: Sequence[str] =
     for i, k in enumerate(K.CLASSES[: len(p)]):
         merged = base.groupBy(F.col(f"q{i}").alias("_x")).agg(
             F.avg(F.when(F.col(actual) == k, 1.0).otherwise(0.0)).alias("_y"), F.count(F.lit(1)).cast("double").alias("_w"))
-        models.append(IsotonicRegression(featuresCol="_x", labelCol="_y", weightCol="_w", predictionCol="_iso").fit(merged))
+        models.append(isotonic.fit(merged, "_x", "_y", "_w"))
     return IsotonicModel(models)
 
 
@@ -84,16 +84,26 @@ class PhasePlatt:
 
 
 class PhaseIsotonic:
+    """An isotonic model per phase in one pass; rows without a minute keep their probabilities."""
+
     def __init__(self, models: dict[str, IsotonicModel]):
         self.models = models
 
     def transform(self, df: DataFrame, minute: str = "snapshot_minute", p: Sequence[str] = P, names: Sequence[str] = P) -> DataFrame:
         phase = C.match_phase(minute)
-        parts = [m.transform(df.where(phase == k), p, names) for k, m in self.models.items()]
-        out = parts[0]
-        for x in parts[1:]:
-            out = out.unionByName(x)
-        return out
+        out = df.withColumn("_phase", F.when(F.col(minute).isNotNull(), phase)).withColumns({f"_raw{i}": F.col(x) for i, x in enumerate(p)})
+        raw, made = [f"_raw{i}" for i in range(len(p))], {}
+        for k, m in self.models.items():
+            made[k] = [f"_{k}{i}" for i in range(len(p))]
+            out = m.transform(out, raw, made[k])
+        kept = C.clipped_probabilities(raw)
+        for i, name in enumerate(names):
+            value = kept[i]
+            for k in self.models:
+                value = F.when(F.col("_phase") == k, F.col(made[k][i])).otherwise(value)
+            out = out.withColumn(f"_out{i}", value)
+        out = out.drop(*[n for n in names if n in out.columns])
+        return out.withColumnsRenamed({f"_out{i}": n for i, n in enumerate(names)}).drop("_phase", *raw, *[x for xs in made.values() for x in xs])
 
 
 def phase_calibrate(df: DataFrame, minute: str = "snapshot_minute", actual: str = "actual", p: Sequence[str] = P, method: str = "platt"):

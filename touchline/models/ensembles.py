@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..functions.hashing import POISSON_CDF, PRIME
+from ..functions.hashing import PRIME, poisson_ones, uniforms
 from ..session import shared_folder
 from .prepare import median_impute
 
@@ -40,22 +40,6 @@ DIRECT_BYTES = 1 << 25
 SCALE_BITS = 61  # of a fixed-point sum
 
 
-# -- draws -------------------------------------------------------------------------
-
-
-def uniforms(draw: int, key: np.ndarray, seed: int) -> np.ndarray:
-    """The uniform hash of the column functions, for arrays of keys reduced modulo PRIME."""
-    d = int(draw) % PRIME
-    x = (d * 1000003 + key * 7919 + seed) % PRIME
-    x = ((x * x) % PRIME + d * 104729) % PRIME
-    x = ((x * x) % PRIME + key * 15485863) % PRIME
-    return ((x * x) % PRIME) / float(PRIME)
-
-
-def poisson_ones(u: np.ndarray) -> np.ndarray:
-    return np.searchsorted(np.array(POISSON_CDF), u, side="right")
-
-
 # -- binned rows -------------------------------------------------------------------
 
 

@@ -2,26 +2,75 @@
 
 A draw gives every row a Poisson(1) count, the large-sample form of drawing n
 rows with replacement, which needs no knowledge of n and no row shipping. Counts
-come from arithmetic on (draw, row key). Draws are generated per row and summed
-inside the task, so at most ``draws`` sums per group and task are shuffled.
+come from arithmetic on (draw, row key). A task keeps one vector of weighted sums
+per group, with a place per draw; only these vectors are shuffled, and they add up
+in any number of steps.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
 
-from ..functions.hashing import poisson_one, uniform_hash
-from ..session import spread
+from ..functions.hashing import PRIME, poisson_ones, uniforms
+
+ROWS_AT_ONCE = 256  # rows by draws are worked on in blocks
+VECTOR_BYTES = 1 << 26  # of a task's vectors before it hands them on
+
+
+def _vectors(batches: Iterator[pa.RecordBatch], groups: int, draws: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Per group the sums of weight * total and weight * size of every draw."""
+    held: dict[tuple, np.ndarray] = {}
+    numbers = np.arange(1, draws + 1, dtype=np.int64)
+
+    def hand_on() -> pa.RecordBatch:
+        columns = [pa.array([key[i] for key in held], schema.field(i).type) for i in range(groups)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([v.tobytes() for v in held.values()], pa.binary())], schema=schema)
+
+    for b in batches:
+        keys = list(zip(*[b.column(i).to_pylist() for i in range(groups)], strict=True)) if groups else [()] * len(b)
+        places: dict[tuple, list[int]] = {}
+        for i, key in enumerate(keys):
+            places.setdefault(key, []).append(i)
+        unit, both = b.column(groups).to_numpy(), np.stack([b.column(groups + j).to_numpy(zero_copy_only=False) for j in (1, 2)], axis=1) if len(b) else np.zeros((0, 2))
+        for key, rows in places.items():
+            sums = held.setdefault(key, np.zeros((draws, 2)))
+            for at in range(0, len(rows), ROWS_AT_ONCE):
+                part = rows[at : at + ROWS_AT_ONCE]
+                sums += poisson_ones(uniforms(numbers[:, None], unit[part][None, :])) @ both[part]
+        if len(held) * draws * 16 > VECTOR_BYTES:
+            yield hand_on()
+            held.clear()
+    if held:
+        yield hand_on()
 
 
 def _draw_means(df: DataFrame, groups: Sequence[str], unit: str, total: str, weight: str, draws: int) -> DataFrame:
-    drawn = spread(df).select(*groups, unit, total, weight, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    w = poisson_one(uniform_hash(F.col("draw"), F.col(unit)))
-    return drawn.withColumn("_w", w).groupBy(*groups, "draw").agg(
-        F.try_divide(F.sum(F.col("_w") * F.col(total)), F.sum(F.col("_w") * F.col(weight))).alias("statistic")
-    )
+    """(groups, draw, statistic): the weighted mean of every draw; NULL if a draw has no weight."""
+    kept = [df.schema[g] for g in groups]
+    rows = df.select(*groups, F.pmod(F.col(unit).cast("long"), F.lit(PRIME)).alias("_unit"), F.col(total).cast("double").alias("_total"), F.col(weight).cast("double").alias("_weight"))
+    rows = rows.where("_unit IS NOT NULL AND _total IS NOT NULL AND _weight IS NOT NULL")
+    sums = StructType([*kept, StructField("_sums", BinaryType())])
+    out = StructType([*kept, StructField("draw", LongType()), StructField("statistic", DoubleType())])
+    n = len(groups)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        yield from _vectors(batches, n, draws, to_arrow_schema(sums))
+
+    def means(table: pa.Table) -> pa.Table:
+        parts = sorted(x.as_py() for x in table.column("_sums"))  # one order of adding, whatever arrived first
+        whole = sum(np.frombuffer(x).reshape(draws, 2) for x in parts)
+        statistic = [t / w if w else None for t, w in whole.tolist()]
+        columns = [table.column(g).combine_chunks().take(pa.array(np.zeros(draws, np.int64))) for g in groups]
+        return pa.Table.from_arrays([*columns, pa.array(np.arange(1, draws + 1)), pa.array(statistic, pa.float64())], names=[*groups, "draw", "statistic"])
+
+    return rows.mapInArrow(partial, sums).groupBy(*(groups or [F.lit(0).alias("_all")])).applyInArrow(means, out)
 
 
 def _interval(per_draw: DataFrame, groups: Sequence[str], level: float) -> DataFrame:

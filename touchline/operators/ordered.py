@@ -64,7 +64,8 @@ class Sequence_:
         return w.orderBy(BLOCK)
 
     def _join(self, carried: DataFrame) -> DataFrame:
-        return self.df.join(F.broadcast(carried), self.part, "left")
+        # a row per block: Spark sends it to all tasks while it is small and joins on (keys, block) beyond
+        return self.df.join(carried, self.part, "left")
 
     # -- operators -----------------------------------------------------------
 

@@ -233,14 +233,14 @@ def boosting_stumps(spark, sf_dir):
 def rbf_ridge(spark, sf_dir):
     df = items(spark, sf_dir)
     df = PR.standard_scale(df, X).transform(df)
-    return final(KE.rbf_ridge(df, X, "price", "row_id", landmarks=40, gamma=0.1).transform(df).select("row_id", "prediction"), 4)
+    return final(KE.rbf_ridge(df, X, "price", "row_id", landmarks=100, gamma=0.1).transform(df).select("row_id", "prediction"), 4)
 
 
 @query("rbf_logistic")
 def rbf_logistic(spark, sf_dir):
     df = items(spark, sf_dir)
     df = PR.standard_scale(df, X).transform(df)
-    m = KE.rbf_logistic(df, X, "y", "row_id", landmarks=20, gamma=0.1)
+    m = KE.rbf_logistic(df, X, "y", "row_id", landmarks=100, gamma=0.1)
     return final(m.transform(df, ("p_A", "p_D", "p_H")).select("row_id", "p_A", "p_D", "p_H"), 3)
 
 
@@ -268,30 +268,42 @@ def figs_first_split(spark, sf_dir):
 @query("figs_fit")
 def figs_fit(spark, sf_dir):
     df = items(spark, sf_dir)
-    m = FG.figs_regressor(df, X, "price", max_rules=6, max_trees=3, backfit=True)
+    m = FG.figs_regressor(df, X, "price", max_rules=12, max_trees=5, backfit=True)
     return final(m.predict(df).select("row_id", "prediction"), 6)
 
 
 @query("figs_classify")
 def figs_classify(spark, sf_dir):
     df = items(spark, sf_dir)
-    m = FG.figs_classifier(df, X, "y", max_rules=4, class_weight="balanced")
+    m = FG.figs_classifier(df, X, "y", max_rules=12, max_trees=5, class_weight="balanced", backfit=True)
     return final(m.predict_proba(df, ("p_A", "p_D", "p_H")).select("row_id", "p_A", "p_D", "p_H"), 6)
 
 
 @query("figs_rules")
 def figs_rules(spark, sf_dir):
-    m = FG.figs_regressor(items(spark, sf_dir), X, "price", max_rules=4)
+    m = FG.figs_regressor(items(spark, sf_dir), X, "price", max_rules=12, max_trees=5)
     return final(m.rules_frame(spark), 6)
 
 
 @query("cart_best_first")
 def cart_best_first(spark, sf_dir):
     df = items(spark, sf_dir)
-    m = FG.cart_best_first(df, X, "y", [0, 1, 2], max_rules=4)
+    m = FG.cart_best_first(df, X, "y", [0, 1, 2], max_rules=12)
     return final(m.leaf_shares(df, ("p_A", "p_D", "p_H")).select("row_id", "p_A", "p_D", "p_H"), 6)
 
 
+WIDE = [f"e{i}" for i in range(64)]
+
+
+@query("figs_wide")
+def figs_wide(spark, sf_dir):
+    """Twelve rules over 64 features whose values hardly repeat."""
+    v = vectors(spark, sf_dir)
+    df = v.select("id", F.col("label").cast("double").alias("target"), *[F.get("vector", F.lit(i)).alias(x) for i, x in enumerate(WIDE)])
+    m = FG.figs_regressor(df, WIDE, "target", max_rules=12, max_trees=5, backfit=True)
+    return final(m.predict(df).select("id", "prediction"), 6)
+
+
 # -- calibration ---------------------------------------------------------------------
 
 

@@ -174,21 +174,47 @@ def ingestion_coverage(spark, sf_dir):
     return final(TB.coverage(_log(spark, sf_dir)))
 
 
-@query("table_manifest")
+# Columns of the shared tables: i whole numbers, s texts, d numbers with fractions, t times, f lists of numbers.
+COLUMNS = {
+    "benchmark": "item_id:i text:s",
+    "conversations": "conv_id:i turn:i role:s text:s",
+    "customer": "c_custkey:i c_name:s c_nationkey:i c_acctbal:d c_mktsegment:s",
+    "documents": "doc_id:i text:s lang:s source:s n_chars:i",
+    "embeddings": "vec_id:i embedding:f label:i",
+    "events": "event_id:i ts:t user_id:i event_type:s value:d props:s",
+    "labels": "doc_id:i quality:i toxic:i",
+    "lineitem": "l_orderkey:i l_partkey:i l_suppkey:i l_linenumber:i l_quantity:d l_extendedprice:d l_discount:d l_tax:d l_returnflag:s l_linestatus:s l_shipdate:t",
+    "nation": "n_nationkey:i n_name:s n_regionkey:i",
+    "orders": "o_orderkey:i o_custkey:i o_orderstatus:s o_totalprice:d o_orderdate:t o_orderpriority:s",
+    "pages": "page_id:i url:s html:s",
+    "part": "p_partkey:i p_name:s p_brand:s p_type:s p_size:i p_retailprice:d",
+    "region": "r_regionkey:i r_name:s",
+    "supplier": "s_suppkey:i s_name:s s_nationkey:i s_acctbal:d",
+}
+ALL_TABLES = tuple(COLUMNS)
+
+
+def _manifest_sql():
+    told = {
+        "i": "CAST({} AS VARCHAR)", "s": "{}", "d": "CAST(CAST(round({} * 1000000) AS BIGINT) AS VARCHAR)", "t": "CAST(epoch_us({}) AS VARCHAR)",
+        "f": "array_to_string([coalesce(CAST(CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT) AS VARCHAR), 'n') FOR x IN {}], ',')"}
+    parts = []
+    for table, columns in COLUMNS.items():
+        texts = [f"coalesce('v' || {told[c.split(':')[1]].format(c.split(':')[0])}, 'n')" for c in columns.split()]
+        digest = f"CAST('0x' || substr(md5(concat_ws(chr(31), {', '.join(texts)})), 1, 15) AS BIGINT)"
+        parts.append(f"SELECT '{table}' AS table_name, count(*) AS rows, {len(texts)}::BIGINT AS columns, CAST(coalesce(sum(CAST({digest} AS HUGEINT)) % {TB.DIGEST_PRIME}, 0) AS BIGINT) AS digest FROM {table}")
+    return " UNION ALL ".join(parts)
+
+
+@query("table_manifest", _manifest_sql())
 def table_manifest(spark, sf_dir):
-    """Content digests use Spark's xxhash64, so there is no SQL twin."""
-    names = ("orders", "events", "lineitem", "embeddings")
-    return TB.table_manifest({n: A.table(spark, sf_dir, n) for n in names})
-
-
-ALL_TABLES = ("benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "pages", "part",
-              "region", "supplier")
+    """Rows, columns and content digest of every table."""
+    return TB.table_manifest({n: A.table(spark, sf_dir, n) for n in ALL_TABLES})
 
 
-@query("table_manifest_all")
+@query("table_manifest_all", _manifest_sql())
 def table_manifest_all(spark, sf_dir):
-    """The manifest of every table."""
-    return TB.table_manifest({n: A.table(spark, sf_dir, n) for n in ALL_TABLES})
+    return table_manifest(spark, sf_dir)
 
 
 # -- joins and set operations --------------------------------------------------

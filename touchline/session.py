@@ -55,18 +55,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and continue from the written copy."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-SMALL_SHARE = 32 * 1024 * 1024  # bytes per core below which an input counts as small
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores before per-row heavy work, if the input is small.
-
-    A small table may arrive as one or two partitions and leave cores idle. The
-    decision uses the optimizer's size estimate, so nothing is executed for it;
-    large inputs pass through without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * SMALL_SHARE else df

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.quality import require, require_unique
 
@@ -145,14 +145,42 @@ def coverage(log: DataFrame) -> DataFrame:
     )
 
 
+DIGEST_PRIME = (1 << 61) - 1
+BETWEEN = "\x1f"
+
+
+def _told(value: Column, kind: str) -> Column:
+    """A value as text that other engines can write too: numbers with fractions in millionths, times in microseconds."""
+    if kind in ("double", "float") or kind.startswith("decimal"):
+        number = value.cast("double")
+        return F.when(F.isnan(number) | (F.abs(number) == float("inf")), number.cast("string")).otherwise(F.round(number * 1000000).cast("long").cast("string"))
+    if kind.startswith("timestamp"):
+        return F.unix_micros(value.cast("timestamp")).cast("string")
+    if kind.startswith("array<"):
+        inner = kind[6:-1]
+        return F.array_join(F.transform(value, lambda x: F.coalesce(_told(x, inner), F.lit("n"))), ",")
+    if kind.startswith(("map<", "struct<")):
+        return F.to_json(value)
+    return value.cast("string")
+
+
+def row_text(df: DataFrame) -> Column:
+    """All columns of a row as one text; a NULL differs from every value."""
+    return F.concat_ws(BETWEEN, *[F.coalesce(F.concat(F.lit("v"), _told(F.col(f"`{n}`"), kind)), F.lit("n")) for n, kind in df.dtypes])
+
+
 def table_manifest(tables: dict[str, DataFrame]) -> DataFrame:
-    """Row count and an order-insensitive content digest per table."""
+    """Rows, columns and a digest of the content per table.
+
+    The digest adds up a hash of every row's text, so the order of rows does not
+    matter while repeated rows, which would cancel under exclusive or, count.
+    """
     out = None
     for name, df in tables.items():
+        hashed = F.conv(F.substring(F.md5(row_text(df).cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
         row = df.agg(
-            F.lit(name).alias("table_name"),
-            F.count(F.lit(1)).alias("rows"),
-            F.coalesce(F.bit_xor(F.xxhash64(*df.columns)), F.lit(0)).alias("digest"),
+            F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("rows"), F.lit(len(df.columns)).cast("long").alias("columns"),
+            F.coalesce(F.sum(hashed) % F.lit(DIGEST_PRIME).cast("decimal(38,0)"), F.lit(0)).cast("long").alias("digest"),
         )
         out = row if out is None else out.unionByName(row)
     return out
