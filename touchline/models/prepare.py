@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.feature import VectorAssembler
@@ -76,3 +76,29 @@ def class_weight_balanced(df: DataFrame, label: str, name: str = "weight") -> Da
     for value, n in counts.items():
         weight = F.when(F.col(label) == value, F.lit(total / (len(counts) * n))).otherwise(weight)
     return df.withColumn(name, weight).where(F.col(label).isNotNull())
+
+
+class Prepared:
+    """A model behind the medians, and if wanted the scales, of its training rows."""
+
+    def __init__(self, steps: Sequence, model) -> None:  # noqa: ANN001
+        self.steps, self.model = list(steps), model
+
+    def transform(self, df: DataFrame, *names) -> DataFrame:  # noqa: ANN002
+        for step in self.steps:
+            df = step.transform(df)
+        return self.model.transform(df, *names)
+
+
+def prepared(fit: Callable, scale: bool = True) -> Callable:
+    """``fit(train, columns, ...)`` on imputed, and if wanted scaled, columns."""
+
+    def run(train: DataFrame, columns: Sequence[str], **params) -> Prepared:
+        steps = [median_impute(train, columns)]
+        train = steps[0].transform(train)
+        if scale:
+            steps.append(standard_scale(train, columns))
+            train = steps[1].transform(train)
+        return Prepared(steps, fit(train, columns, **params))
+
+    return run

@@ -136,7 +136,7 @@ def event_history(spark, sf_dir):
     stats = E.team_match_stats(A.events(spark, sf_dir)).withColumn("xg", F.round("xg", 9))
     day0 = F.lit("2020-01-01").cast("timestamp_ntz")
     rows = stats.select(
-        "match_id", F.timestamp_add("DAY", F.col("match_id").cast("int"), day0).alias("clean_date"),
+        "match_id", F.timestamp_add("DAY", F.col("match_id"), day0).alias("clean_date"),
         F.concat("team", (F.col("match_id") % 7).cast("string")).alias("team"),
         F.when(F.col("team") == "Home", 1).otherwise(0).alias("is_home"), "shots", "xg", "completed_passes",
     )
@@ -167,6 +167,44 @@ def rounded_features(df, features):
     return df.withColumns({x: F.round(x, 9) for x in features if kinds[x] == "double"})
 
 
+# All eighteen event metrics of the histories, on the fixtures of the event view.
+
+WHOLE_EVENT = {
+    "fx": """SELECT match_id, TIMESTAMP '2020-01-01' + to_days(CAST(match_id AS INTEGER)) AS clean_date, match_id % 7 AS pair,
+  count(*) FILTER (WHERE type = 'Shot' AND shot_outcome = 'Goal' AND team = 'Home') AS hs, count(*) FILTER (WHERE type = 'Shot' AND shot_outcome = 'Goal' AND team = 'Away') AS aw FROM e GROUP BY match_id""",
+    "st": f"SELECT match_id, team AS side, {flag_sums(K.EVENT_SUMS)}, count(DISTINCT possession) AS possessions FROM e GROUP BY 1, 2",
+    "l": f"""SELECT fx.match_id, clean_date, side || CAST(pair AS VARCHAR) AS team, CASE side WHEN 'Home' THEN 1 ELSE 0 END AS is_home,
+  CASE side WHEN 'Home' THEN hs ELSE aw END AS goals_for, CASE side WHEN 'Home' THEN aw ELSE hs END AS goals_against,
+  CASE WHEN hs = aw THEN 1 WHEN (hs > aw) = (side = 'Home') THEN 3 ELSE 0 END AS points, {', '.join((*K.EVENT_SUMS, 'possessions'))} FROM fx JOIN st ON fx.match_id = st.match_id""",
+    "h": history_sql(K.EVENT_METRICS, "event_"),
+}
+
+
+def event_rows(spark, sf_dir):
+    """Two rows per match of the event view with all event metrics; one fixture a day, seven pairs of teams."""
+    ev = A.events(spark, sf_dir)
+    stats = E.team_match_stats(ev).withColumn("xg", F.round("xg", 9))
+    goals = event_fixtures(ev).select("match_id", "home_score", "away_score")
+    home, day0 = F.col("team") == "Home", F.lit("2020-01-01").cast("timestamp_ntz")
+    own, other = F.when(home, F.col("home_score")).otherwise(F.col("away_score")), F.when(home, F.col("away_score")).otherwise(F.col("home_score"))
+    return stats.join(goals, "match_id").select(
+        "match_id", F.timestamp_add("DAY", F.col("match_id"), day0).alias("clean_date"), F.concat("team", (F.col("match_id") % 7).cast("string")).alias("team"),
+        home.cast("int").alias("is_home"), own.alias("goals_for"), other.alias("goals_against"), F.when(own > other, 3).when(own == other, 1).otherwise(0).alias("points"),
+        *K.EVENT_SUMS, "possessions")
+
+
+@query("event_history_whole", "SELECT * EXCLUDE (is_home, clean_date), CAST(is_home AS BIGINT) AS is_home FROM h", "e", WHOLE_EVENT)
+def event_history_whole(spark, sf_dir):
+    df, features = H.entity_history(event_rows(spark, sf_dir), K.EVENT_METRICS, "event_")
+    return final(df.select("match_id", "team", "is_home", *features))
+
+
+@query("event_pivot_whole", _pivot_sql(K.EVENT_METRICS, "event_"), "e", WHOLE_EVENT)
+def event_pivot_whole(spark, sf_dir):
+    df, features = H.entity_history(event_rows(spark, sf_dir), K.EVENT_METRICS, "event_")
+    return final(H.pivot_home_away(rounded_features(df, features), features))
+
+
 @query("recent_form_5", f"""
 SELECT match_id, team, round(coalesce(avg(goals_for) {frame(5)}, 0), 9) AS recent_goals_for,
   round(coalesce(avg(goals_against) {frame(5)}, 0), 9) AS recent_goals_against,

@@ -285,7 +285,7 @@ def network_history(spark, sf_dir):
     """Lagged histories of network metrics, one fixture per match of the event view."""
     rows = N.network_team_metrics(N.zone_metrics(network_inputs(spark, sf_dir)[2]), centrality=False)
     day0 = F.lit("2020-01-01").cast("timestamp_ntz")
-    rows = rows.select("match_id", F.timestamp_add("DAY", F.col("match_id").cast("int"), day0).alias("clean_date"),
+    rows = rows.select("match_id", F.timestamp_add("DAY", F.col("match_id"), day0).alias("clean_date"),
                        F.concat("layer", (F.col("match_id") % 7).cast("string")).alias("team"), *[F.round(m, 6).alias(m) for m in NET])
     # A team plays at most once per match: matches bound the rows per team.
     bound = A.table(spark, sf_dir, "events").select("user_id").distinct().count()
@@ -298,3 +298,19 @@ def network_team_centrality(spark, sf_dir):
     """All thirteen network metrics of the history family per match and side."""
     z = N.zone_metrics_with_centrality(network_inputs(spark, sf_dir)[2])
     return final(N.network_team_metrics(z).select("match_id", "layer", *K.NETWORK_METRICS), 6)
+
+
+def network_rows(spark, sf_dir):
+    """All thirteen network metrics per match and side, as rows for histories; one fixture a day."""
+    z = N.zone_metrics_with_centrality(network_inputs(spark, sf_dir)[2])
+    day0 = F.lit("2020-01-01").cast("timestamp_ntz")
+    return N.network_team_metrics(z).select(
+        "match_id", F.timestamp_add("DAY", F.col("match_id"), day0).alias("clean_date"), F.concat("layer", (F.col("match_id") % 7).cast("string")).alias("team"),
+        F.when(F.col("layer") == "home", 1).otherwise(0).alias("is_home"), *[F.round(x, 9).alias(x) for x in K.NETWORK_METRICS])
+
+
+@query("network_history_whole")
+def network_history_whole(spark, sf_dir):
+    """Histories of all network metrics, centralities included."""
+    df, features = H.entity_history(network_rows(spark, sf_dir), K.NETWORK_METRICS, "net_")
+    return final(df.select("match_id", "team", "is_home", *features), 5)

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import columns as C
-from ..models import calibrate as CA, linear as LI
+from ..functions import columns as C, constants as K
+from ..models import calibrate as CA, linear as LI, prepare as PR, sweep as SW
 from ..operators import history as H, outputs as OU, relate as R, scoring as SC, snapshots as SN
+from ..session import cut_lineage
 from ..sources import adapters as A
 from .fits import ODDS, _labelled
 from .forecasts import LOSS, _metrics_sql, losses
-from .histories import long_rows
+from .histories import event_rows, long_rows
 from .inplay import SNAP
+from .networks import network_rows
 from .registry import final, query
 from .scalars import MARKET_SQL
 
@@ -107,3 +109,39 @@ def prematch_table(spark, sf_dir):
                     C.outcome("home_score", "away_score").alias("outcome"), C.clipped_margin("home_score", "away_score").alias("goal_margin"))
     rows, features = H.entity_history(long_rows(spark, sf_dir), ("goals_for", "goals_against", "points"), "event_")
     return base.join(H.pivot_home_away(rows, features), "match_id")
+
+
+# -- the whole pre-match table and fits on it ------------------------------------------
+
+
+def whole_table(spark, sf_dir):
+    """Event and network histories of both sides with differences, context, market and targets: 391 features."""
+    m = R.add_market(A.matches(spark, sf_dir))
+    events = event_rows(spark, sf_dir)
+    event, event_features = H.entity_history(events, K.EVENT_METRICS, "event_")
+    network = network_rows(spark, sf_dir)
+    net, net_features = H.entity_history(network, K.NETWORK_METRICS, "net_")
+    results = events.where("is_home = 1").select("match_id", C.outcome("goals_for", "goals_against").alias("outcome"), C.clipped_margin("goals_for", "goals_against").alias("goal_margin"))
+    base = m.select(
+        "match_id", "clean_date", "season_name", "market_prob_A", "market_prob_D", "market_prob_H", "bookie_margin",
+        (F.dayofyear("clean_date") / 366.0).alias("season_progress"), *[v.alias(k) for k, v in C.calendar("clean_date").items()])
+    out = results.join(H.pivot_home_away(event, event_features), "match_id").join(H.pivot_home_away(net, net_features), "match_id")
+    return base.join(out, "match_id")
+
+
+@query("prematch_whole")
+def prematch_whole(spark, sf_dir):
+    """The modeling table with all features; first matches of a team have NULL histories."""
+    df = whole_table(spark, sf_dir)
+    groups = H.feature_groups(df.columns)
+    return final(df.select("match_id", "outcome", "goal_margin", *[F.col(x).cast("double").alias(x) for x in groups["combined"]]), 6)
+
+
+@query("prematch_whole_fits")
+def prematch_whole_fits(spark, sf_dir):
+    """A model by feature group on the whole table: medians and scales of the training half, metrics of the other."""
+    df = cut_lineage(whole_table(spark, sf_dir).withColumns({"y": F.when(F.col("outcome") == "A", 0).when(F.col("outcome") == "D", 1).otherwise(2), "actual": F.col("outcome")}))
+    groups = H.feature_groups(df.columns)
+    logistic = PR.prepared(lambda t, cols: LI.multinomial_logistic(t, cols, "y", 0.3, max_iter=50, classes=3))
+    specs = [SW.Spec("logistic", logistic, groups[g], g) for g in ("market", "conventional", "network", "combined")]
+    return final(SW.model_sweep(df.where(F.col("match_id") % 2 == 0), df.where(F.col("match_id") % 2 == 1), specs, ["match_id", "actual"])[0], 5)
