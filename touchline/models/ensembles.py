@@ -111,7 +111,10 @@ def _score_lists(s: np.ndarray) -> pa.Array:
 
 def _arrays(b: pa.RecordBatch, features: int, wide: bool, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     kind = np.dtype("<u2") if wide else np.dtype("u1")
-    codes = np.frombuffer(b"".join(b.column(0).to_pylist()), kind).reshape(len(b), features)
+    column = b.column(0)  # all of one length, so the values stand side by side
+    start = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset] if features else 0
+    flat = np.frombuffer(column.buffers()[2], np.uint8)[start : start + len(b) * features * kind.itemsize] if features else np.zeros(0, np.uint8)
+    codes = flat.view(kind).reshape(len(b), features)
     scores = b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(len(b), classes)
     return codes, b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(), scores
 
