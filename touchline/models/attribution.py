@@ -114,11 +114,12 @@ def tree_attribution(df: DataFrame, model: TreeEnsemble, key: str) -> DataFrame:
     shares = Shapley(model)
     columns, medians = model.columns, [model.medians.get(c, np.nan) for c in model.columns]
     d, k = len(columns), model.width
+    step = max(256, min(8192, (1 << 22) // (d * k)))  # rows at a time
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, len(whole), 1024):
-                b = whole.slice(at, 1024)
+            for at in range(0, len(whole), step):
+                b = whole.slice(at, step)
                 x, n = matrix(b, range(1, d + 1), medians), len(b)
                 c = shares.contributions(x)
                 yield pa.RecordBatch.from_arrays([
