@@ -33,7 +33,7 @@ from .common import ByteCache, saved
 CAPACITY = 2048
 END_ID = 0
 PART_ROWS = 1 << 16
-CACHE_BYTES = 24 << 20  # of a generation of either cache of a worker
+WORD_BYTES, PIECE_BYTES = 40 << 20, 8 << 20  # of a generation of a worker's caches
 PLAIN = re.compile("[\t-\r -~¡-įı-ſ]*")  # characters that lower-case one by one
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")  # white space to str.split() alone
 
@@ -55,7 +55,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.merge = self.tokenizer.model.tokenize
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-        self.by_piece, self.by_word = ByteCache(self._piece, CACHE_BYTES), ByteCache(self._word, CACHE_BYTES)
+        self.by_piece, self.by_word = ByteCache(self._piece, PIECE_BYTES), ByteCache(self._word, WORD_BYTES)
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
         others = [b for b in range(256) if b not in printable]
         self.letters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
