@@ -109,8 +109,8 @@ def append_columns(df: DataFrame, fields: list[StructField], batch_columns: Call
     return df.mapInArrow(run, schema)
 
 
-def text_chunks(array: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets of the rows and the end) for runs of whole texts of about ``size`` bytes; null counts as empty."""
+def text_chunks(array: pa.Array, size: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets of the rows and the end) for runs of whole texts of about ``size`` bytes (``CHUNK_BYTES``); null counts as empty."""
     if isinstance(array, pa.ChunkedArray):
         array = array.combine_chunks()
     array = array.fill_null("") if array.null_count else array
@@ -120,7 +120,7 @@ def text_chunks(array: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int,
     data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None and len(array) else np.zeros(0, np.uint8)
     first = 0
     while first < len(array):
-        end = max(int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1, first + 1)
+        end = max(int(np.searchsorted(offsets, offsets[first] + (size or CHUNK_BYTES), "right")) - 1, first + 1)
         yield first, end, data[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first]
         first = end
 
