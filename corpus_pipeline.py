@@ -14,18 +14,33 @@ from touchline.llm import jaccard, mixing, packing, quality, toxicity
 from touchline.llm.common import read, saved
 from touchline.llm.queries import THRESHOLD, tokenizer
 
+BATCH_BYTES = 1 << 20  # of whole texts in an Arrow batch
+
+
+def small_texts(spark: SparkSession) -> None:
+    """Arrow batches bounded by bytes from here on.
+
+    By rows alone a batch holds ten thousand whole texts; Spark's buffers and both
+    Python workers of an executor grow with it and keep that memory through all
+    stages. It stays set: a stage's result is read after the stage has returned.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_texts(spark)
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"), "toxic", 4, 2)
     return toxicity.score(docs, model, out="toxicity_score").where(F.col("toxicity_score") < THRESHOLD).select(*docs.columns)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_texts(spark)
     model = quality.fit(docs, read(spark, sf_dir, "labels"), "quality", 5, 0)
     return quality.score(docs, model, out="quality_score").where(F.col("quality_score") >= THRESHOLD).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_texts(spark)
     return jaccard.keep_one(docs, words=5, percent=80)
 
 
@@ -34,6 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_texts(spark)
     return packing.pack(packing.pieces(docs, tokenizer()))
 
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_llm import brute_components, check_packing
 
-from touchline.llm import common, exhaustive, jaccard, language, mixing, permutation, quality, toxicity, urls
+from touchline.llm import common, exhaustive, jaccard, language, mixing, packing, permutation, quality, toxicity, urls
 from touchline.llm.queries import RULES, THRESHOLD
 
 BASE = "http://h.org/a/b/page.html?q=1"
@@ -263,3 +263,37 @@ def test_pipeline_stage_by_stage(spark, sf):
     assert sorted((r.doc_id, r.text) for r in docs.collect()) == sorted(want)
     texts = [(r.doc_id, r.text) for r in docs.collect()]
     check_packing(p.STAGES[4][1](spark, docs, sf).collect(), texts)
+
+
+@pytest.mark.parametrize("at, module, operator", [(0, toxicity, "fit"), (0, toxicity, "score"), (1, quality, "fit"), (1, quality, "score"), (2, jaccard, "keep_one"), (4, packing, "pieces")])
+def test_pipeline_stages_read_texts_in_batches_of_bytes(spark, tmp_path, monkeypatch, at, module, operator):
+    """Every operator that hands whole texts to Python gets them about a megabyte at a time, none left out or cut; also once the stage has returned."""
+    import corpus_pipeline as p
+
+    docs = spark.range(4000, numPartitions=1).select(F.col("id").alias("doc_id"), F.expr("repeat('0123456789', 200)").alias("text"))
+    docs.select("doc_id", F.lit(0).alias("toxic"), F.lit(1).alias("quality")).write.parquet(f"{tmp_path}/labels.parquet")
+    read = []
+
+    def told(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]})
+
+    def instead(given, *_, **__):
+        read.append(given.select("doc_id", "text").mapInArrow(told, "n long, size long"))
+        read.append(read[0].collect())
+        raise InterruptedError
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.unset(name)
+        if operator == "score":
+            monkeypatch.setattr(module, "fit", lambda *_, **__: None)
+        monkeypatch.setattr(module, operator, instead)
+        with pytest.raises(InterruptedError):
+            p.STAGES[at][1](spark, docs, str(tmp_path))
+        for rows in (read[1], read[0].collect()):
+            assert sum(r["n"] for r in rows) == 4000 and sum(r["size"] for r in rows) >= 8_000_000
+            assert max(r["size"] for r in rows) < 2 * p.BATCH_BYTES
+    finally:
+        spark.conf.set(name, before)
