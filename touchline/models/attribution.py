@@ -7,7 +7,9 @@ is worth ``v * (o_i - z_i) * sum_s s! (m - 1 - s)! / m! * c_s`` with z the share
 of cover that a feature's splits let through, o whether the row passes them,
 and c_s the coefficients of the product of (z_j + o_j t) over the other
 features of the path. That is polynomial in the depth; there are no samples and no subsets.
-Values of a row add up to its score minus the base, per output.
+Values of a row add up to its score minus the base, per output. They are the same
+for all rows between the same cuts, so neighboring trees of few features share a
+table of values (see ``lattice``); leaves of other trees are visited per row.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.ordered import top_per_group
 from .ensembles import Tree, TreeEnsemble, matrix
+from .lattice import OWN, SHARED, Group, Lattice
 
 TABLE_FEATURES = 10  # of a path up to which all patterns of passed splits are tabulated
 
@@ -53,10 +56,25 @@ class Leaf:
         pattern = np.zeros(len(x), np.int64)
         for bit, (f, low, high) in enumerate(zip(self.features, self.low, self.high, strict=True)):
             pattern |= ((x[:, f] > low) & (x[:, f] <= high)).astype(np.int64) << bit
+        return self.of_patterns(pattern)
+
+    def patterns(self, group: Group) -> np.ndarray:
+        """Which splits every row of a table passes, in the shape of its axes."""
+        pattern = np.zeros((1,) * len(group.shape), np.int64)
+        for bit, (f, low, high) in enumerate(zip(self.features, self.low, self.high, strict=True)):
+            i = group.features.index(f)
+            at = np.arange(group.shape[i])
+            first = 0 if low == -np.inf else np.searchsorted(group.cuts[i], low, "left") + 1
+            last = len(at) if high == np.inf else np.searchsorted(group.cuts[i], high, "left") + 1
+            passed = ((at >= first) & (at < last)).astype(np.int64) << bit
+            pattern = pattern | passed.reshape([-1 if j == i else 1 for j in range(len(group.shape))])
+        return pattern
+
+    def of_patterns(self, pattern: np.ndarray) -> np.ndarray:
         if self.table is not None:
             return self.table[pattern]
         seen, at = np.unique(pattern, return_inverse=True)
-        return self.credits((seen[:, None] >> np.arange(len(self.features))) & 1)[at]
+        return self.credits((seen[:, None] >> np.arange(len(self.features))) & 1)[at.reshape(pattern.shape)]
 
     @property
     def expected(self) -> np.ndarray:
@@ -85,25 +103,43 @@ class Shapley:
     def __init__(self, model: TreeEnsemble) -> None:
         self.columns, self.width = model.columns, model.width
         self.leaves, base = [], np.array(model.base)
+        self.trees: list[list[Leaf]] = []
         for tree, group in zip(model.trees, model.groups, strict=True):
+            self.trees.append([])
             for leaf in leaves_of(tree):
                 value = leaf.value * model.rate if group < 0 else np.eye(self.width)[group] * leaf.value[0] * model.rate
                 leaf.value = value
                 base = base + leaf.expected
                 if leaf.features and value.any():
                     self.leaves.append(leaf)
+                    self.trees[-1].append(leaf)
         self.base = base
+        self.lattice = Lattice(model.trees, "threshold", len(self.columns) * self.width, self._fill, shared=SHARED, own=OWN) if model.trees else None
+
+    def _fill(self, table: np.ndarray, group: Group, t: int) -> None:
+        table = table.reshape(*group.shape, len(self.columns), self.width)
+        for leaf in self.trees[t]:
+            credits = leaf.of_patterns(leaf.patterns(group))
+            live = np.flatnonzero(leaf.value)
+            for j, f in enumerate(leaf.features):
+                for k in live:
+                    table[..., f, k] += credits[..., j] * leaf.value[k]
 
     def contributions(self, x: np.ndarray) -> np.ndarray:
         """(row, feature, output)."""
+        if not self.lattice:
+            return np.zeros((len(x), x.shape[1], self.width))
+        return self.lattice.of(x, self._walked).reshape(len(x), x.shape[1], self.width)
+
+    def _walked(self, x: np.ndarray, first: int, last: int) -> np.ndarray:
         out = np.zeros((len(x), x.shape[1], self.width))
-        for leaf in self.leaves:
+        for leaf in (leaf for tree in self.trees[first:last] for leaf in tree):
             credits = leaf.of_rows(x)
             live = np.flatnonzero(leaf.value)
             for j, f in enumerate(leaf.features):
                 for k in live:
                     out[:, f, k] += credits[:, j] * leaf.value[k]
-        return out
+        return out.reshape(len(x), -1)
 
 
 def tree_attribution(df: DataFrame, model: TreeEnsemble, key: str) -> DataFrame:

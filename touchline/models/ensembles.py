@@ -9,6 +9,11 @@ numbers, so sums do not depend on the order of rows, and draws are integer hashe
 of (tree or round, key): a model depends on its rows alone, not on files,
 partitions or cores.
 
+If there are few different rows of bin numbers (cells), tasks sum per cell, and the
+driver grows trees from the cells' sums, which are those of the rows: forests and
+boosting without Huber's loss then need one pass over the rows, Huber's loss one
+per round. With more cells rows are reduced level by level as above.
+
 Thresholds are midpoints of neighboring values for features with up to ``bins``
 different ones, else midpoints between values around quantiles, as is usual for
 histogram methods. Missing values take the median of their column.
@@ -27,8 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..functions.hashing import PRIME, poisson_ones, uniforms
+from ..functions.hashing import PRIME, Draws, poisson_ones, uniforms  # noqa: F401
 from ..session import shared_folder
+from .lattice import Group, Lattice, boxes
 from .prepare import median_impute
 
 BINS = 256
@@ -38,6 +44,11 @@ REFRESH = 20  # boosting rounds between written scores
 RESIDUAL_BINS = 4096
 DIRECT_BYTES = 1 << 25
 SCALE_BITS = 61  # of a fixed-point sum
+CELLS = 1 << 16  # different rows of bin numbers up to which rows are reduced to sums per such row
+CELL_NUMBERS = 1 << 18  # bin numbers of all of them, which the driver keeps
+BLOCK = 1 << 15  # rows whose whole numbers are summed at once
+PACK = 256  # rows that are written as one where many passes read them
+SLOTS = 1 << 12  # numbers of a table from bin numbers to open nodes
 
 
 # -- binned rows -------------------------------------------------------------------
@@ -109,14 +120,107 @@ def _score_lists(s: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array((np.arange(len(s) + 1) * s.shape[1]).astype(np.int32)), pa.array(s.reshape(-1).astype(float)))
 
 
+def _flat(column: pa.Array, kind: str) -> np.ndarray:
+    """The numbers of a binary column, which stand side by side."""
+    if not len(column):
+        return np.zeros(0, kind)
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)
+    whole = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    return whole[offsets[column.offset] : offsets[column.offset + len(column)]].view(kind)
+
+
+def _is_packed(b: pa.RecordBatch) -> bool:
+    return not pa.types.is_floating(b.column(1).type)
+
+
 def _arrays(b: pa.RecordBatch, features: int, wide: bool, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    kind = np.dtype("<u2") if wide else np.dtype("u1")
-    column = b.column(0)  # all of one length, so the values stand side by side
-    start = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset] if features else 0
-    flat = np.frombuffer(column.buffers()[2], np.uint8)[start : start + len(b) * features * kind.itemsize] if features else np.zeros(0, np.uint8)
-    codes = flat.view(kind).reshape(len(b), features)
-    scores = b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(len(b), classes)
-    return codes, b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(), scores
+    codes = _flat(b.column(0), "<u2" if wide else "u1")
+    if _is_packed(b):
+        y, k, s = (_flat(b.column(i), kind) for i, kind in ((1, "<f8"), (2, "<i8"), (3, "<f8")))
+    else:
+        y, k, s = b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(), b.column(3).flatten().to_numpy(zero_copy_only=False)
+    return codes.reshape(len(y), features), y, k, s.reshape(len(y), classes)
+
+
+def _packs(ends: np.ndarray, values: np.ndarray) -> pa.Array:
+    """Rows of ``values`` up to each of the ``ends`` as one binary value."""
+    size = values.itemsize * (values.shape[1] if values.ndim > 1 else 1)
+    offsets = (np.concatenate([[0], ends]) * size).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
+
+
+def _pack_ends(n: int) -> np.ndarray:
+    return np.append(np.arange(PACK, n, PACK), n)
+
+
+def packed_rows(rows: DataFrame, features: int, wide: bool, outputs: int) -> DataFrame:
+    """Binned rows, ``PACK`` of them as one: passes then cost no time per row outside of Python."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                ends = _pack_ends(len(b))
+                yield pa.RecordBatch.from_arrays([_packs(ends, x) for x in _arrays(b, features, wide, outputs)], names=["codes", "y", "k", "s"])
+
+    return _saved(rows.mapInArrow(run, "codes binary, y binary, k binary, s binary"))
+
+
+# -- cells ---------------------------------------------------------------------------
+
+
+@dataclass
+class Cells:
+    """The different rows of bin numbers, in the order of their numbers in mixed radix."""
+
+    codes: np.ndarray  # (cell, feature)
+    radix: np.ndarray  # of each feature
+    sorted: np.ndarray
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        """Cell of each row."""
+        return np.searchsorted(self.sorted, codes.astype(np.int64) @ self.radix)
+
+
+def cells_of(rows: DataFrame, bins: Bins, different: int) -> Cells | None:
+    """The cells of binned ``rows`` with about ``different`` ones; None if they are too many."""
+    features, most = len(bins.columns), min(CELLS, CELL_NUMBERS // max(len(bins.columns), 1))
+    sizes = [len(e) + 1 for e in bins.edges]
+    if not features or different > 1.2 * most or float(np.prod(np.array(sizes, dtype=float))) >= 2.0**62:
+        return None
+    found = rows.select("codes").distinct().limit(most + 1).collect()
+    if len(found) > most or not found:
+        return None
+    kind = np.dtype("<u2") if bins.most > 256 else np.dtype("u1")
+    codes = np.frombuffer(b"".join(bytes(r["codes"]) for r in found), kind).reshape(len(found), features)
+    radix = np.array([int(np.prod(sizes[f + 1 :], dtype=np.int64)) for f in range(features)], np.int64)
+    numbers = codes.astype(np.int64) @ radix
+    order = np.argsort(numbers)
+    return Cells(codes[order].astype(np.int64), radix, numbers[order])
+
+
+def _halves(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whole numbers as low and high parts whose sums over a block are exact in doubles."""
+    low = values & 0x7FFFFFFF
+    return low.astype(float), ((values - low) >> 31).astype(float)
+
+
+def _add_halves(total: np.ndarray, place: np.ndarray, parts: tuple[np.ndarray, np.ndarray], weight: np.ndarray | None = None) -> None:
+    """Add weighted whole numbers by place; weights are small whole numbers."""
+    low, high = parts if weight is None else (parts[0] * weight, parts[1] * weight)
+    total += np.bincount(place, low, len(total)).astype(np.int64) + (np.bincount(place, high, len(total)).astype(np.int64) << 31)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        step = BLOCK // PACK if _is_packed(b) else BLOCK
+        for at in range(0, len(b), step):
+            yield b.slice(at, step)
+
+
+def _cell_histograms(cells: Cells, slot: np.ndarray, slots: int, width: int, stats: np.ndarray) -> np.ndarray:
+    """(slot, feature, bin, stat) sums over cells of their sums (cell, stat); slot -1 is left out."""
+    use = slot >= 0
+    return _histogram(cells.codes[use], slot[use], slots, width, list(stats[use].T), cells.codes.shape[1])
 
 
 # -- trees -------------------------------------------------------------------------
@@ -231,6 +335,28 @@ class _Growing:
             out.append(slot)
         return out
 
+    def finder(self) -> Callable[[np.ndarray], Iterator[tuple[int, int, int, np.ndarray]]]:
+        """A function from bin numbers to (tree, first slot, slots, slot of each row among them) of all trees with open nodes.
+
+        Rows that lie in no open node get the slot behind the last one.
+        """
+        told = []
+        slots = self.slots()
+        for t, tree in enumerate(self.trees):
+            if self.open[t]:
+                low, count = int(slots[t][self.open[t][0]]), len(self.open[t])
+                own = np.where(slots[t] < 0, count, slots[t] - low)
+                told.append((t, low, count, own, Lattice([tree], "cut", 1, partial(_fill_slots, tree=tree, own=own), self.bins.most, SLOTS, SLOTS, np.int64)))
+        trees = self.trees
+
+        def find(codes: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
+            columns = {f: codes[:, f].astype(np.intp) for f in {f for x in told for g in x[4].groups if g.table is not None for f in g.features}}
+            for t, low, count, own, lattice in told:
+                g = lattice.groups[0]
+                yield t, low, count, own[trees[t].nodes_of(codes)] if g.table is None else g.table[Lattice.rows(g, columns, len(codes)), 0]
+
+        return find
+
     def grow(self, sums: np.ndarray, gain_of: Callable, value_of: Callable, weight_of: Callable, last: bool) -> None:
         """Split the open nodes by the sums (slot, feature, bin, stat); the last level only gets its values."""
         at = 0
@@ -270,6 +396,11 @@ class _Growing:
         return tuple(int(i) for i in np.unravel_index(int(gain.argmax()), gain.shape))
 
 
+def _fill_slots(table: np.ndarray, group: Group, _: int, tree: Tree, own: np.ndarray) -> None:
+    for leaf, box in boxes(tree, "cut", group):
+        table[box] = own[leaf]
+
+
 def _columns_of(share: float | str, features: int) -> int:
     if share == "sqrt":
         return max(1, int(features**0.5))
@@ -304,8 +435,18 @@ class TreeEnsemble:
         return len(self.base)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        out = np.tile(np.array(self.base), (len(x), 1))
-        for tree, group in zip(self.trees, self.groups, strict=True):
+        return self._some(x, 0, len(self.trees))
+
+    def outputs(self, x: np.ndarray, lattice: Lattice | None = None) -> np.ndarray:
+        s = lattice.of(x, self._some) if lattice else self.scores(x)
+        if self.link == "softmax":
+            s = np.exp(s - s.max(axis=1, keepdims=True))
+            s /= s.sum(axis=1, keepdims=True)
+        return s
+
+    def _some(self, x: np.ndarray, first: int, last: int) -> np.ndarray:
+        out = np.tile(np.array(self.base if not first else [0.0] * self.width), (len(x), 1))
+        for tree, group in zip(self.trees[first:last], self.groups[first:last], strict=True):
             values = np.array(tree.value)[tree.leaves_of(x)] * self.rate
             if group < 0:
                 out += values
@@ -313,15 +454,19 @@ class TreeEnsemble:
                 out[:, group] += values[:, 0]
         return out
 
-    def outputs(self, x: np.ndarray) -> np.ndarray:
-        s = self.scores(x)
-        if self.link == "softmax":
-            s = np.exp(s - s.max(axis=1, keepdims=True))
-            s /= s.sum(axis=1, keepdims=True)
-        return s
+    def _fill(self, table: np.ndarray, group: Group, t: int) -> None:
+        if not t:
+            table += np.array(self.base)
+        values, output = np.array(self.trees[t].value) * self.rate, self.groups[t]
+        for leaf, box in boxes(self.trees[t], "threshold", group):
+            if output < 0:
+                table[box] += values[leaf]
+            else:
+                table[(*box, output)] += values[leaf, 0]
 
     def transform(self, df: DataFrame, names: Sequence[str] | str = "prediction") -> DataFrame:
         """``df`` with a column per output; one narrow Arrow pass."""
+        lattice = Lattice(self.trees, "threshold", self.width, self._fill) if self.trees else None
         names = [names] if isinstance(names, str) else list(names)
         kept = [f for f in df.schema.fields if f.name not in names]
         at = [df.columns.index(c) for c in self.columns]
@@ -330,7 +475,7 @@ class TreeEnsemble:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                out = self.outputs(matrix(b, at, medians))
+                out = self.outputs(matrix(b, at, medians), lattice)
                 yield pa.RecordBatch.from_arrays([b.column(i) for i in places] + [pa.array(out[:, j]) for j in range(len(names))], names=[f.name for f in schema.fields])
 
         return df.mapInArrow(run, schema)
@@ -383,44 +528,29 @@ def random_forest(
     cuts = bins_of(df, columns, bins)
     rows = binned_rows(df, cuts, label, key)
     tasks = rows.rdd.getNumPartitions()
-    told = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs("y")).alias("most")).first()
+    told = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs("y")).alias("most"), F.approx_count_distinct("codes").alias("cells")).first()
     n, features, width, wide = told["n"], len(columns), cuts.most, cuts.most > 256
     stats = classes or 2
     scale = _scale(told["most"] or 1.0, n)
     count = _columns_of(column_share if column_share is not None else ("sqrt" if classes else "all"), features)
+    cells = cells_of(rows, cuts, told["cells"])
     out: list[Tree] = []
-    together = max(1, LEVEL_NUMBERS // (features * width * stats * 2 ** max(max_depth - 1, 0)))
+    together = max(1, LEVEL_NUMBERS // (stats * (len(cells.codes) if cells else features * width * 2 ** max(max_depth - 1, 0))))
     for first in range(0, trees, together):
         members = range(first, min(first + together, trees))
         grown = _Growing(cuts, len(members), min_leaf, partial(_shifted, _subset(features, count, seed), first))
-
-        def level(batches: Iterator[pa.RecordBatch], grown: _Growing = grown, first: int = first) -> np.ndarray:
-            slots = grown.slots()
-            total = np.zeros((sum(len(o) for o in grown.open), features, width, stats), np.int64)
-            for b in batches:
-                if not len(b):
-                    continue
-                codes, y, k, _ = _arrays(b, features, wide, 0)
-                for t, tree in enumerate(grown.trees):
-                    if not grown.open[t]:
-                        continue
-                    w = poisson_ones(uniforms(first + t + 1, k, seed)) if bootstrap else np.ones(len(y), np.int64)
-                    slot = slots[t][tree.nodes_of(codes)]
-                    use = (slot >= 0) & (w > 0)
-                    own, base = w[use], grown.open[t][0]
-                    low = slots[t][base]
-                    if classes:
-                        each = [np.where(y[use] == c, own, 0) for c in range(classes)]
-                    else:
-                        each = [own, own * np.rint(y[use] * scale).astype(np.int64)]
-                    total[low : low + len(grown.open[t])] += _histogram(codes[use], slot[use] - low, len(grown.open[t]), width, each, features)
-            return total
-
+        weigh = partial(_bootstrap, first=first) if bootstrap else _ones
+        task = partial(_drawn_sums, features=features, width=width, wide=wide, classes=classes, scale=scale, seed=seed, weigh=weigh)
+        if cells:
+            whole = summed(rows, partial(task, cells=cells, trees=len(members)), len(members) * len(cells.codes) * stats, tasks).reshape(len(members), -1, stats)
         for depth in range(max_depth + 1):
             slots = sum(len(o) for o in grown.open)
             if not slots or (depth == max_depth and depth):
                 break  # the last level got its values with the split above it
-            sums = summed(rows, level, slots * features * width * stats, tasks).reshape(slots, features, width, stats)
+            if cells:
+                sums = _cell_level(cells, grown, width, whole)
+            else:
+                sums = summed(rows, partial(task, finder=grown.finder(), slots=slots), slots * features * width * stats, tasks).reshape(slots, features, width, stats)
             if classes:
                 grown.grow(sums, _gini_gain, lambda s: (s / max(s.sum(), 1)).tolist(), lambda s: s.sum(axis=-1), max_depth == 0)
             else:
@@ -429,6 +559,77 @@ def random_forest(
     return TreeEnsemble(columns, out, [-1 if classes else 0] * len(out), [0.0] * max(classes, 1), 1.0 / max(len(out), 1), "none", cuts.medians)
 
 
+def _bootstrap(draws: Draws, tree: int, first: int) -> np.ndarray:
+    return draws.poisson(first + tree + 1).astype(float)
+
+
+def _ones(draws: Draws, tree: int) -> np.ndarray:
+    return np.ones(len(draws.first))
+
+
+def _below(draws: Draws, tree: int, first: int, share: float) -> np.ndarray:
+    return draws.below(first + tree + 1, share).astype(float)
+
+
+def _cell_level(cells: Cells, grown: _Growing, width: int, stats: Sequence[np.ndarray]) -> np.ndarray:
+    """(slot, feature, bin, stat) of all open nodes from the sums (cell, stat) of each tree."""
+    out = []
+    for slots, tree, nodes, own in zip(grown.slots(), grown.trees, grown.open, stats, strict=True):
+        if nodes:
+            slot = slots[tree.nodes_of(cells.codes)]
+            out.append(_cell_histograms(cells, np.where(slot < 0, -1, slot - slots[nodes[0]]), len(nodes), width, own))
+    return np.concatenate(out)
+
+
+def _drawn_sums(
+    batches: Iterator[pa.RecordBatch], features: int, width: int, wide: bool, classes: int, scale: float, seed: int, weigh: Callable[[Draws, int], np.ndarray],
+    finder: Callable | None = None, slots: int = 0, cells: Cells | None = None, trees: int = 0, scores: int = 0, start: float = 0.0,
+) -> np.ndarray:
+    """Weighted sums of whole numbers: per (tree, cell, stat) of ``trees`` trees, or per (slot, feature, bin, stat) of the open nodes.
+
+    The stats are the rows of each class, or the rows and their labels less ``start``.
+    """
+    each = classes + 1 if classes else 2  # labels that are no class come behind the classes
+    total = np.zeros((trees, each, len(cells.codes)) if cells else (features, slots, width, each), np.int64)
+    if cells and classes:
+        total = np.zeros((trees, len(cells.codes) * each), np.int64)
+    for b in _blocks(batches):
+        codes, y, k, _ = _arrays(b, features, wide, scores)
+        draws = Draws(k, seed)
+        if classes:
+            label = np.full(len(y), classes)
+            for c in range(classes):
+                label[y == c] = c
+        else:
+            parts = _halves(np.rint((y - start) * scale).astype(np.int64))
+        if cells:
+            at = cells.of(codes) if not classes else cells.of(codes) * each + label
+            for t in range(trees):
+                w = weigh(draws, t)
+                if classes:
+                    total[t] += np.bincount(at, w, total.shape[1]).astype(np.int64)
+                else:
+                    total[t, 0] += np.bincount(at, w, total.shape[2]).astype(np.int64)
+                    _add_halves(total[t, 1], at, parts, w)
+            continue
+        columns = [codes[:, f].astype(np.intp) for f in range(features)]
+        for t, low, count, slot in finder(codes):
+            w = weigh(draws, t)
+            at, size = slot * width, (count + 1) * width  # the last slot is that of rows in closed leaves
+            for f in range(features):
+                place, own = at + columns[f], total[f, low : low + count]
+                if classes:
+                    own += np.bincount(place * each + label, w, size * each).astype(np.int64).reshape(count + 1, width, each)[:count]
+                else:
+                    own[:, :, 0] += np.bincount(place, w, size).astype(np.int64).reshape(count + 1, width)[:count]
+                    summed_up = np.zeros(size, np.int64)
+                    _add_halves(summed_up, place, parts, w)
+                    own[:, :, 1] += summed_up.reshape(count + 1, width)[:count]
+    if cells:
+        return total.reshape(trees, -1, each)[:, :, :classes] if classes else total.transpose(0, 2, 1)
+    return (total[..., :classes] if classes else total).transpose(1, 0, 2, 3)
+
+
 def _shifted(allowed: Callable[[int, int], np.ndarray], first: int, tree: int, node: int) -> np.ndarray:
     return allowed(first + tree, node)
 
@@ -485,7 +686,13 @@ def boosted_trees(
     rows = binned_rows(df, cuts, label, key, start)
     tasks = rows.rdd.getNumPartitions()
     bound, kept, groups = reach, [], []
-    fresh: list[tuple[Tree, int]] = []  # since the scores were written
+    fresh = _Fresh([], outputs, rate, width)  # since the scores were written
+    cells = cells_of(rows, cuts, rows.agg(F.approx_count_distinct("codes")).first()[0])
+    if cells and (not classes or sum(told[f"k{c}"] for c in range(classes)) == n):
+        by_cell = _CellRounds(rows, cells, loss, classes, start, scale, reach, rounds, row_share, seed, features, wide, tasks, history is not None)
+    else:
+        by_cell, rows = None, packed_rows(rows, features, wide, outputs)
+        tasks = rows.rdd.getNumPartitions()
     if loss == "huber":
         bound = _quantile(summed(rows, partial(_residuals, features=features, wide=wide, reach=reach), RESIDUAL_BINS, tasks), quantile, reach)
     columns_of_round = _subset(features, _columns_of(column_share, features), seed)
@@ -493,16 +700,21 @@ def boosted_trees(
         allowed = columns_of_round(r, 0)
         grown = _Growing(cuts, outputs, min_leaf, lambda t, node: allowed)  # noqa: B023
         next_bound = bound
+        if by_cell:
+            stats, tail = by_cell.sums(r, bound)
         for depth in range(max_depth):
             slots = sum(len(o) for o in grown.open)
             if not slots:
                 break
-            task = partial(
-                _boost_level, grown=grown, fresh=fresh, features=features, width=width, wide=wide, outputs=outputs, loss=loss, scale=scale, rate=rate,
-                bound=bound, reach=reach, draw=r + 1, row_share=row_share, seed=seed, first=depth == 0,
-            )
             size = slots * features * width * 3
-            sums = summed(rows, task, size + RESIDUAL_BINS + 1, tasks)
+            if by_cell:
+                sums = np.concatenate([_cell_level(cells, grown, width, stats).reshape(-1), tail])
+            else:
+                task = partial(
+                    _boost_level, finder=grown.finder(), slots=slots, fresh=fresh, features=features, width=width, wide=wide, outputs=outputs, loss=loss, scale=scale,
+                    bound=bound, reach=reach, draw=r + 1, row_share=row_share, seed=seed, first=depth == 0,
+                )
+                sums = summed(rows, task, size + RESIDUAL_BINS + 1, tasks)
             if depth == 0:
                 if history is not None:
                     history.append(float(sums[size + RESIDUAL_BINS]) / _scale(64.0 * reach**2, n) / max(n, 1))
@@ -520,24 +732,153 @@ def boosted_trees(
         bound = next_bound
         kept += grown.trees
         groups += list(range(outputs))
-        fresh += [(t, g) for g, t in enumerate(grown.trees)]
+        if by_cell:
+            by_cell.add(grown.trees, rate)
+            continue
+        fresh = _Fresh([*fresh.trees, *((t, g) for g, t in enumerate(grown.trees))], outputs, rate, width)
         if (r + 1) % REFRESH == 0 and r + 1 < rounds:
-            rows, fresh = _saved(rows.mapInArrow(partial(_with_scores, fresh=fresh, features=features, wide=wide, outputs=outputs, rate=rate), rows.schema)), []
+            rows, fresh = _saved(rows.mapInArrow(partial(_with_scores, fresh=fresh, features=features, wide=wide, outputs=outputs), rows.schema)), _Fresh([], outputs, rate, width)
             tasks = rows.rdd.getNumPartitions()
     return TreeEnsemble(columns, kept, groups, start, rate, "softmax" if classes else "none", cuts.medians)
 
 
-def _scored(codes: np.ndarray, scores: np.ndarray, fresh: list[tuple[Tree, int]], rate: float) -> np.ndarray:
-    scores = scores.copy()
-    for tree, group in fresh:
-        scores[:, group] += rate * np.array(tree.value)[tree.nodes_of(codes), 0]
-    return scores
+class _Fresh:
+    """Trees and what they add to the scores of binned rows."""
 
+    def __init__(self, trees: list[tuple[Tree, int]], outputs: int, rate: float, width: int) -> None:
+        self.trees, self.outputs, self.rate = trees, outputs, rate
+        self.lattice = Lattice([t for t, _ in trees], "cut", outputs, self._fill, width) if trees else None
 
-def _with_scores(batches: Iterator[pa.RecordBatch], fresh, features: int, wide: bool, outputs: int, rate: float) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-    for b in batches:
+    def _fill(self, table: np.ndarray, group: Group, t: int) -> None:
+        tree, output = self.trees[t]
+        for leaf, box in boxes(tree, "cut", group):
+            table[(*box, output)] += self.rate * tree.value[leaf][0]
+
+    def _walked(self, codes: np.ndarray, first: int, last: int) -> np.ndarray:
+        out = np.zeros((len(codes), self.outputs))
+        for tree, output in self.trees[first:last]:
+            out[:, output] += self.rate * np.array(tree.value)[tree.nodes_of(codes), 0]
+        return out
+
+    def scores(self, codes: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        return scores + self.lattice.of(codes, self._walked) if self.lattice else scores
+
+
+def _with_scores(batches: Iterator[pa.RecordBatch], fresh: _Fresh, features: int, wide: bool, outputs: int) -> Iterator[pa.RecordBatch]:
+    for b in _blocks(batches):
         codes, _, _, scores = _arrays(b, features, wide, outputs)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), _score_lists(_scored(codes, scores, fresh, rate))], names=["codes", "y", "k", "s"])
+        ends = np.cumsum([len(x.as_buffer()) for x in b.column(1)]) // 8
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), _packs(ends, fresh.scores(codes, scores))], names=["codes", "y", "k", "s"])
+
+
+class _CellRounds:
+    """Sums of gradient, curvature and rows per cell for each round of boosting.
+
+    Rows of a cell have the same scores. Classes and squared residuals then follow
+    from the rows, classes and labels of the cells that the rounds draw, which one pass
+    counts for many rounds. Huber's loss, and the squared loss if it is told, depend on each
+    label: one pass per round over (cell, label, key).
+    """
+
+    def __init__(
+        self, rows: DataFrame, cells: Cells, loss: str, classes: int, start: list[float], scale: float, reach: float, rounds: int, row_share: float, seed: int,
+        features: int, wide: bool, tasks: int, told: bool,
+    ) -> None:
+        self.rows, self.cells, self.loss, self.classes, self.start, self.scale, self.reach = rows, cells, loss, classes, start, scale, reach
+        self.rounds, self.row_share, self.seed, self.tasks, self.told = rounds, row_share, seed, tasks, told
+        self.features, self.wide = features, wide
+        self.scores = np.tile(np.array(start, dtype=float), (len(cells.codes), 1))
+        self.drawn, self.first = None, 0  # counted sums from round ``first`` on
+        self.counted = bool(classes) or (loss == "squared" and not told)
+        if not self.counted:
+            self.rows = _saved(rows.mapInArrow(self._placed, "cell binary, y binary, k binary"))
+            self.tasks = self.rows.rdd.getNumPartitions()
+        self.all = self._count(_ones, 1)[0] if classes and told and row_share < 1 else None
+
+    def _placed(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                codes, y, k, _ = _arrays(b, self.features, self.wide, len(self.start))
+                ends = _pack_ends(len(b))
+                drawn = k if self.row_share < 1 else k[:0]
+                yield pa.RecordBatch.from_arrays([
+                    _packs(ends, self.cells.of(codes).astype("<i4")), _packs(ends, y.astype("<f8")), _packs(ends if len(drawn) else ends * 0, drawn),
+                ], names=["cell", "y", "k"])
+
+    def __getstate__(self) -> dict:
+        return vars(self) | {"rows": None, "drawn": None, "all": None, "scores": None}
+
+    def _count(self, weigh: Callable, rounds: int) -> np.ndarray:
+        stats = self.classes or 2
+        task = partial(
+            _drawn_sums, features=self.features, width=0, wide=self.wide, classes=self.classes, scale=self.scale, seed=self.seed + 3, weigh=weigh, cells=self.cells,
+            trees=rounds, scores=len(self.start), start=self.start[0],
+        )
+        return summed(self.rows, task, rounds * len(self.cells.codes) * stats, self.tasks).reshape(rounds, -1, stats)
+
+    def _of_round(self, r: int) -> np.ndarray:
+        """(cell, stat) of the rows that round ``r`` draws."""
+        if self.drawn is None or (self.row_share < 1 and r >= self.first + len(self.drawn)):
+            if self.row_share < 1:
+                some = min(self.rounds - r, max(1, LEVEL_NUMBERS // (len(self.cells.codes) * (self.classes or 2))))
+                self.drawn, self.first = self._count(partial(_below, first=r, share=self.row_share), some), r
+            else:
+                self.drawn = self._count(_ones, 1)
+        return self.drawn[r - self.first if self.row_share < 1 else 0]
+
+    def sums(self, r: int, bound: float) -> tuple[list[np.ndarray], np.ndarray]:
+        """Per output the sums (cell, stat); the counts of residuals by size and the loss behind them."""
+        whole = lambda x: np.rint(x).astype(np.int64)
+        tail = np.zeros(RESIDUAL_BINS + 1, np.int64)
+        if not self.counted:
+            cells = len(self.cells.codes)
+            task = partial(
+                _cell_residuals, scores=self.scores[:, 0], loss=self.loss, bound=bound, scale=self.scale, reach=self.reach, draw=r, row_share=self.row_share, seed=self.seed, told=self.told,
+            )
+            out = summed(self.rows, task, 2 * cells + len(tail), self.tasks)
+            g, n = out[:cells], out[cells : 2 * cells]
+            return [np.stack([g, n * int(whole(self.scale)), n], axis=1)], out[2 * cells :]
+        own = self._of_round(r)
+        if not self.classes:
+            n, y = own.T
+            g = y - n * whole((self.scores[:, 0] - self.start[0]) * self.scale)
+            return [np.stack([g, n * int(whole(self.scale)), n], axis=1)], tail
+        p = np.exp(self.scores - self.scores.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        n = own.sum(axis=1)
+        stats = [
+            np.stack([own[:, t] * whole((1.0 - p[:, t]) * self.scale) + (n - own[:, t]) * whole((0.0 - p[:, t]) * self.scale), n * whole(p[:, t] * (1 - p[:, t]) * self.scale), n], axis=1)
+            for t in range(self.classes)
+        ]
+        if self.told:
+            lost = -np.log(np.maximum(p, 1e-15))
+            tail[-1] = ((own if self.all is None else self.all) * whole(lost * _loss_scale(self.scale, self.reach))).sum()
+        return stats, tail
+
+    def add(self, trees: list[Tree], rate: float) -> None:
+        for t, tree in enumerate(trees):
+            self.scores[:, t] += rate * np.array(tree.value)[tree.nodes_of(self.cells.codes), 0]
+
+
+def _cell_residuals(
+    batches: Iterator[pa.RecordBatch], scores: np.ndarray, loss: str, bound: float, scale: float, reach: float, draw: int, row_share: float, seed: int, told: bool,
+) -> np.ndarray:
+    """Sums of residuals, cut at ``bound`` for Huber's loss, and rows per cell, then counts of residuals by size and the loss."""
+    total, counts, spent = np.zeros((2, len(scores)), np.int64), np.zeros(RESIDUAL_BINS, np.int64), 0
+    for b in _blocks(batches):
+        cell, y = _flat(b.column(0), "<i4").astype(np.intp), _flat(b.column(1), "<f8")
+        residual = y - scores[cell]
+        w = _below(Draws(_flat(b.column(2), "<i8"), seed + 3), draw, 0, row_share) if row_share < 1 else None
+        g = np.clip(residual, -bound, bound) if loss == "huber" else residual
+        _add_halves(total[0], cell, _halves(np.rint(g * scale).astype(np.int64)), w)
+        total[1] += np.bincount(cell, w, len(scores)).astype(np.int64)
+        if loss == "huber":
+            counts += _residual_counts(np.abs(residual), reach)
+        if told:
+            small = np.abs(residual) <= bound if loss == "huber" else np.ones(len(y), bool)
+            lost = np.where(small, residual**2 / 2, bound * (np.abs(residual) - bound / 2))
+            spent += int(np.rint(lost * _loss_scale(scale, reach)).astype(np.int64).sum())
+    return np.concatenate([total.reshape(-1), counts, [spent]])
 
 
 def _residuals(batches: Iterator[pa.RecordBatch], features: int, wide: bool, reach: float) -> np.ndarray:
@@ -560,44 +901,45 @@ def _quantile(counts: np.ndarray, share: float, reach: float) -> float:
 
 
 def _boost_level(
-    batches: Iterator[pa.RecordBatch], grown: _Growing, fresh, features: int, width: int, wide: bool, outputs: int, loss: str, scale: float, rate: float,  # noqa: ANN001
+    batches: Iterator[pa.RecordBatch], finder: Callable, slots: int, fresh: _Fresh, features: int, width: int, wide: bool, outputs: int, loss: str, scale: float,
     bound: float, reach: float, draw: int, row_share: float, seed: int, first: bool,
 ) -> np.ndarray:
     """Sums of (gradient, curvature, count) per (slot, feature, bin), the residual counts and the loss."""
-    slots = grown.slots()
-    total = np.zeros((sum(len(o) for o in grown.open), features, width, 3), np.int64)
+    total = np.zeros((features, slots, width, 3), np.int64)
     counts, spent = np.zeros(RESIDUAL_BINS, np.int64), 0
-    for b in batches:
-        if not len(b):
-            continue
+    for b in _blocks(batches):
         codes, y, k, scores = _arrays(b, features, wide, outputs)
-        scores = _scored(codes, scores, fresh, rate)
+        scores = fresh.scores(codes, scores)
         if loss == "multinomial":
             p = np.exp(scores - scores.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             actual = (y[:, None] == np.arange(outputs)).astype(float)
             g, h = actual - p, p * (1 - p)
-            lost = -np.log(np.maximum(p[np.arange(len(y)), y.astype(np.int64)], 1e-15))
+            lost = -np.log(np.maximum(p[np.arange(len(y)), y.astype(np.int64)], 1e-15)) if first else None
         else:
             residual = y - scores[:, 0]
             small = np.abs(residual) <= bound if loss == "huber" else np.ones(len(y), bool)
-            g = np.clip(residual, -bound, bound)[:, None] if loss == "huber" else residual[:, None]
-            h = np.ones((len(y), 1))
+            g, h = np.clip(residual, -bound, bound)[:, None] if loss == "huber" else residual[:, None], None
             lost = np.where(small, residual**2 / 2, bound * (np.abs(residual) - bound / 2))
             if first and loss == "huber":
                 counts += _residual_counts(np.abs(residual), reach)
         if first:
             spent += int(np.rint(lost * _loss_scale(scale, reach)).astype(np.int64).sum())
-        use = uniforms(draw, k, seed + 3) < row_share if row_share < 1 else np.ones(len(y), bool)
-        for t, tree in enumerate(grown.trees):
-            if not grown.open[t]:
-                continue
-            low = slots[t][grown.open[t][0]]
-            slot = slots[t][tree.nodes_of(codes)]
-            own = use & (slot >= 0)
-            each = [np.rint(g[own, t] * scale).astype(np.int64), np.rint(h[own, t] * scale).astype(np.int64), np.ones(int(own.sum()), np.int64)]
-            total[low : low + len(grown.open[t])] += _histogram(codes[own], slot[own] - low, len(grown.open[t]), width, each, features)
-    return np.concatenate([total.reshape(-1), counts, [spent]])
+        w = _below(Draws(k, seed + 3), draw - 1, 0, row_share) if row_share < 1 else None
+        columns = [codes[:, f].astype(np.intp) for f in range(features)]
+        for t, low, count, slot in finder(codes):
+            start, size = slot * width, (count + 1) * width  # the last slot is that of rows in closed leaves
+            parts = [_halves(np.rint(x[:, t] * scale).astype(np.int64)) if x is not None else None for x in (g, h)]
+            for f in range(features):
+                place, own = start + columns[f], np.zeros((3, size), np.int64)
+                own[2] = np.bincount(place, w, size).astype(np.int64)
+                _add_halves(own[0], place, parts[0], w)
+                if h is None:
+                    own[1] = own[2] * int(np.rint(scale))
+                else:
+                    _add_halves(own[1], place, parts[1], w)
+                total[f, low : low + count] += own.reshape(3, count + 1, width)[:, :count].transpose(1, 2, 0)
+    return np.concatenate([total.transpose(1, 0, 2, 3).reshape(-1), counts, [spent]])
 
 
 def _loss_scale(scale: float, reach: float) -> float:
