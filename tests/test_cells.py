@@ -76,3 +76,23 @@ def test_shapley_tables_equal_leaf_sums(spark, monkeypatch):
             c.setattr(AT, "SHARED", 0)
             np.testing.assert_allclose(AT.Shapley(m).contributions(x), want, atol=1e-12)
             assert rows
+
+
+def test_hashed_neighbors_write_no_copy_per_bucket(spark, monkeypatch):
+    """Vectors travel per block, not per visited bucket, and blocks give what one search gives."""
+    from pyspark.sql import functions as F
+
+    from touchline.models import hashed as HN
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 8))
+    x[:400] = x[0]
+    pairs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    seen, explode = [], F.explode
+    monkeypatch.setattr(HN.F, "explode", lambda c: seen.append(c) or explode(c))
+    one = HN.hashed_knn(pairs, pairs, 3, bucket_rows=60).orderBy("id", "rank").toPandas()
+    copies = [int(spark.range(1).select(F.size(c)).first()[0]) for c in seen]
+    assert len(copies) == 2 and sum(copies) <= HN.TASKS + 2  # 8 tables * 16 probes before
+    several = HN.hashed_knn(pairs, pairs, 3, bucket_rows=60, chunk=400).orderBy("id", "rank").toPandas()
+    assert one["neighbor"].tolist() == several["neighbor"].tolist()
+    assert one[one["id"] == 0]["neighbor"].tolist() == [1, 2, 3] and one[one["id"] == 399]["neighbor"].tolist() == [0, 1, 2]
