@@ -96,3 +96,23 @@ def test_hashed_neighbors_write_no_copy_per_bucket(spark, monkeypatch):
     several = HN.hashed_knn(pairs, pairs, 3, bucket_rows=60, chunk=400).orderBy("id", "rank").toPandas()
     assert one["neighbor"].tolist() == several["neighbor"].tolist()
     assert one[one["id"] == 0]["neighbor"].tolist() == [1, 2, 3] and one[one["id"] == 399]["neighbor"].tolist() == [0, 1, 2]
+
+
+def test_cuts_of_values_that_hardly_repeat_take_few_passes(spark, monkeypatch):
+    from touchline.models import cuts as CU, figs as FG
+
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(3000, 16)), rng.integers(0, 10, 3000).astype(float)
+    names = [f"x{i}" for i in range(16)]
+    passes, one = [], CU.CutSearch._pass
+    monkeypatch.setattr(CU.CutSearch, "_pass", lambda *a: passes.append(1) or one(*a))
+    first = FG.figs_regressor(frame(spark, x, y=y), names, "y", max_rules=1).history[0]
+    assert len(passes) <= 4  # bins of all features were looked into 512 at a time
+    gains = []
+    for f in range(16):
+        order = np.argsort(x[:, f])
+        left, n = np.cumsum(y[order])[:-1], np.arange(1, 3000)
+        gains.append(left**2 / n + (y.sum() - left) ** 2 / (3000 - n) - y.sum() ** 2 / 3000)
+    f, at = np.unravel_index(np.argmax(gains), (16, 2999))
+    low, high = np.sort(x[:, f])[[at, at + 1]]
+    assert first["feature"] == f"x{f}" and abs(first["threshold"] - (low + high) / 2) < 1e-12 and abs(first["gain"] - np.max(gains)) < 1e-6
