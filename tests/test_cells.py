@@ -116,3 +116,15 @@ def test_cuts_of_values_that_hardly_repeat_take_few_passes(spark, monkeypatch):
     f, at = np.unravel_index(np.argmax(gains), (16, 2999))
     low, high = np.sort(x[:, f])[[at, at + 1]]
     assert first["feature"] == f"x{f}" and abs(first["threshold"] - (low + high) / 2) < 1e-12 and abs(first["gain"] - np.max(gains)) < 1e-6
+
+
+def test_kernel_ridge_without_feature_columns(spark, monkeypatch):
+    from touchline.models import kernel as KE, linear as LI
+
+    x, y = toy(800, seed=9)
+    df = frame(spark, x, y=y)
+    f = KE.rbf_features(df, X3, "id", 30, 0.1)
+    want = LI.ridge(f.transform(df), f.names, "y", 1.0).transform(f.transform(df)).orderBy("id").toPandas()["prediction"]
+    monkeypatch.setattr(KE.RbfFeatures, "transform", None)  # a column per feature is neither built for the fit nor for predictions
+    got = KE.rbf_ridge(df, X3, "y", "id", 30, 0.1).transform(df).orderBy("id").toPandas()["prediction"]
+    np.testing.assert_allclose(got, want, atol=1e-6)
