@@ -128,3 +128,16 @@ def test_kernel_ridge_without_feature_columns(spark, monkeypatch):
     monkeypatch.setattr(KE.RbfFeatures, "transform", None)  # a column per feature is neither built for the fit nor for predictions
     got = KE.rbf_ridge(df, X3, "y", "id", 30, 0.1).transform(df).orderBy("id").toPandas()["prediction"]
     np.testing.assert_allclose(got, want, atol=1e-6)
+
+
+def test_exact_neighbors_route_queries_once_per_block(spark, monkeypatch):
+    from touchline.models import neighbors as NB
+
+    x = np.random.default_rng(6).normal(size=(600, 24))
+    pairs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    written, cut = [], NB.cut_lineage
+    monkeypatch.setattr(NB, "cut_lineage", lambda df: written.append(cut(df)) or written[-1])
+    got = NB.exact_knn(pairs, pairs, 3, pivots=20).orderBy("id", "rank").toPandas()
+    assert [w.count() for w in written] == [600, 600]  # a row per visited cell before
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)) + np.where(np.eye(600) > 0, np.inf, 0)
+    assert got["neighbor"].tolist() == np.argsort(d, axis=1, kind="stable")[:, :3].ravel().tolist()
